@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrylight.llm import bpe, kdtree, lz, mixing, pii
+from quarrylight.llm import bpe, jaccard, kdtree, lz, mixing, pii
 from quarrylight.llm._common import table
 
 #: A vocabulary of the environment, read where it lies.
@@ -23,6 +23,10 @@ def op6_lz_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lz.edited_likeness(table(spark, sf_dir, "documents"))
 
 
+def op7_token_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.classes(table(spark, sf_dir, "documents"))
+
+
 def op8_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     shards = kdtree.assign(table(spark, sf_dir, "documents"), shards=24)
     return shards.select(F.col("id").alias("doc_id"), "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
@@ -37,7 +41,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op4_pii, op6_lz_fingerprint, op8_kd_shards, op9_byte_bpe, op10_mixing)
+    f.__name__: f for f in (op4_pii, op6_lz_fingerprint, op7_token_groups, op8_kd_shards, op9_byte_bpe, op10_mixing)
 }
 
 ORACLE_SQL: dict[str, str] = {}
