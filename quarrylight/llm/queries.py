@@ -8,13 +8,18 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrylight.llm import bpe, jaccard, kdtree, lz, mixing, pii
+from quarrylight.llm import bpe, jaccard, kdtree, lz, mixing, nndescent, pii
 from quarrylight.llm._common import table
 
 #: A vocabulary of the environment, read where it lies.
 VOCABULARY = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
 
+def op2_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return nndescent.search(vectors, vectors.where(F.col("vec_id") % 20 == 0).select("vec_id"), k=20).select("query_id", "rank", "vec_id", "score")
+
+
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(table(spark, sf_dir, "documents"))
 
@@ -41,7 +46,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op4_pii, op6_lz_fingerprint, op7_token_groups, op8_kd_shards, op9_byte_bpe, op10_mixing)
+    f.__name__: f for f in (op2_nn_descent, op4_pii, op6_lz_fingerprint, op7_token_groups, op8_kd_shards, op9_byte_bpe, op10_mixing)
 }
 
 ORACLE_SQL: dict[str, str] = {}
