@@ -21,7 +21,7 @@ from quarrylight.llm._common import written
 #: A word: anything but space, tab, line feed, vertical tab, form feed, carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Rows of a source that one task sums up.
-ROWS_OF_SLICE = 50_000
+ROWS_OF_SLICE = 5_000
 WEIGHTS = (5.0, 2.0, 1.0)
 
 
