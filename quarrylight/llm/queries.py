@@ -8,22 +8,38 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrylight.llm import bpe, jaccard, kdtree, lz, mixing, nndescent, pii
+from quarrylight.llm import bpe, jaccard, kdtree, lz, mixing, nndescent, pii, quality, separators, toxicity
 from quarrylight.llm._common import table
 
+#: A vocabulary in which 50,256 is free, so that it can end documents.
+ENGLISH, END_OF_DOCUMENT = public_tokenizers.path("byte_bpe_50k.tiktoken"), 50_256
 #: A vocabulary of the environment, read where it lies.
 VOCABULARY = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
 
+def op1_separator_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = separators.counts(table(spark, sf_dir, "documents"), ENGLISH, public_tokenizers.PATTERN, END_OF_DOCUMENT)
+    return found.select("doc_id", "n_tokens")
+
+
 def op2_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings")
     return nndescent.search(vectors, vectors.where(F.col("vec_id") % 20 == 0).select("vec_id"), k=20).select("query_id", "rank", "vec_id", "score")
 
 
+def op3_ordinal_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.severity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(table(spark, sf_dir, "documents"))
 
 
+def op5_co_training(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality.score(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
+
+
 def op6_lz_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lz.edited_likeness(table(spark, sf_dir, "documents"))
 
@@ -46,7 +62,7 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_nn_descent, op4_pii, op6_lz_fingerprint, op7_token_groups, op8_kd_shards, op9_byte_bpe, op10_mixing)
+    f.__name__: f for f in (op1_separator_scan, op2_nn_descent, op3_ordinal_toxicity, op4_pii, op5_co_training, op6_lz_fingerprint, op7_token_groups, op8_kd_shards, op9_byte_bpe, op10_mixing)
 }
 
 ORACLE_SQL: dict[str, str] = {}
