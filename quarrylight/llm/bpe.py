@@ -272,6 +272,24 @@ def decode(encoded: DataFrame, vocab_path: str, pattern: str, id_col: str = "doc
     return narrow.mapInArrow(run, f"id {kind}, bytes binary").withColumnRenamed("id", id_col)
 
 
+def tokenised(docs: DataFrame, vocab_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id, n_tokens, ids and decoded_sha256 for each row: the tokens, and the digest of what they decode to."""
+    get = _shared_codec(docs.sparkSession, vocab_path, pattern)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = get()
+        for batch in batches:
+            for start in range(0, batch.num_rows, 1_000):  # ids take more room than texts
+                part = batch.slice(start, 1_000)
+                ids = [own.encode(text.as_py() or "") for text in part.column(1)]
+                sums = [hashlib.sha256(own.decode(x)).hexdigest() for x in ids]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(x) for x in ids], pa.int64()), pa.array(ids, pa.list_(pa.int32())), pa.array(sums)], names=["id", "n_tokens", "ids", "decoded_sha256"])
+
+    narrow = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    kind = narrow.schema["id"].dataType.simpleString()
+    return narrow.mapInArrow(run, f"id {kind}, n_tokens long, ids array<int>, decoded_sha256 string").withColumnRenamed("id", id_col)
+
+
 def digest(docs: DataFrame, vocab_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Encodes each whole text, decodes the ids again and returns the digests of both.
 

@@ -98,17 +98,53 @@ def mix(docs: DataFrame, share: float = 1.5, most: float = 2.0, weights: tuple[f
     Runs on equal tables agree, as keys are hashes of id and source; repeated rows with
     equal ids stand beside each other.  Empty texts give nothing, an empty table no rows.
     """
+    joined, _ = _placed(docs, share, most, weights, seed, id_col, text_col, source_col)
+    return joined.select("id", "source", "size", "source_size", "target", (F.col("epochs") * F.col("size") + F.col("rest")).cast("long").alias("taken")).withColumnRenamed("id", id_col)
+
+
+def _key(seed: int, id_: Column, source: Column) -> Column:
+    return F.xxhash64(F.lit(seed), id_.cast("long"), source.cast("string"))
+
+
+def _placed(docs: DataFrame, share: float, most: float, weights: tuple[float, ...], seed: int, id_col: str, text_col: str, source_col: str) -> tuple[DataFrame, DataFrame]:
+    """Every row with its source's numbers, its place before it, its epochs and the words of the last one; and the sources."""
     first = docs.select(F.col(id_col).cast("long").alias("id"), F.col(source_col).cast("string").alias("source"), words_in(F.col(text_col)).alias("size"))
-    rows = written(first.withColumn("key", F.xxhash64(F.lit(seed), F.col("id"), F.col("source"))), "mix-rows")
-    sources = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("_n"))
-    n_rows = rows.count()
-    placed = running(rows, ["source"], "key", ["id", "size"], "size", n_rows)
-    shares = targets(sources.drop("_n"), share, most, weights).select(F.col("source").alias("_source"), "source_size", "target")
+    rows = written(first.withColumn("key", _key(seed, F.col("id"), F.col("source"))), "mix-rows")
+    sources = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
+    placed = running(rows, ["source"], "key", ["id", "size"], "size", rows.count())
     budget = F.round("target").cast("long")
-    epochs = F.when(F.col("source_size") > 0, F.floor(budget / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
-    rest = F.greatest(F.lit(0), F.least(F.col("size"), budget - epochs * F.col("source_size") - F.col("before")))
-    joined = placed.join(shares, F.col("source").eqNullSafe(F.col("_source")))
-    return joined.select("id", "source", "size", "source_size", "target", (epochs * F.col("size") + rest).cast("long").alias("taken")).withColumnRenamed("id", id_col)
+    shares = targets(sources, share, most, weights).select(F.col("source").alias("_source"), "source_size", "target", budget.alias("_budget"))
+    epochs = F.when(F.col("source_size") > 0, F.floor(F.col("_budget") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
+    joined = placed.join(shares.withColumn("epochs", epochs), F.col("source").eqNullSafe(F.col("_source")))
+    rest = F.greatest(F.lit(0), F.least(F.col("size"), F.col("_budget") - F.col("epochs") * F.col("source_size") - F.col("before")))
+    return joined.withColumn("rest", rest.cast("long")), shares
+
+
+def mixed(docs: DataFrame, share: float = 1.5, most: float = 2.0, weights: tuple[float, ...] = WEIGHTS, seed: int = 17, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", chars_col: str = "n_chars") -> DataFrame:
+    """The mix itself: the columns of ``docs``, a row for each time that a document is taken.
+
+    A source's whole epochs repeat its documents; of the last epoch, the documents that stand
+    before the source's cut are taken, and of the one on the cut the words up to it.  The cut
+    is a key, an id and a size, so texts meet a table with one row for each source and are
+    not shuffled.  Documents without words, and those after the cut of a source that gives no
+    whole epoch, are not in the mix.  Rows equal in id, source and size stand on the same side.
+    """
+    joined, _ = _placed(docs, share, most, weights, seed, id_col, text_col, source_col)
+    # the last row that gives something is the one on the cut: a partial maximum for each source
+    at_cut = F.max(F.when(F.col("rest") > 0, F.struct("key", "id", "size", "rest"))).alias("cut")
+    cuts = written(joined.groupBy("source", "epochs").agg(at_cut).select(F.col("source").alias("_source"), "epochs", "cut"), "mix-cuts")
+    rows = docs.withColumn("_size", words_in(F.col(text_col))).withColumn("_key", _key(seed, F.col(id_col), F.col(source_col)))
+    met = rows.join(cuts, F.col(source_col).cast("string").eqNullSafe(F.col("_source")))
+    here = F.struct(F.col("_key").alias("key"), F.col(id_col).cast("long").alias("id"), F.col("_size").alias("size"))
+    cut = F.struct(F.col("cut.key").alias("key"), F.col("cut.id").alias("id"), F.col("cut.size").alias("size"))
+    extra = F.when(F.col("cut").isNull() | (here > cut), 0).when(here.eqNullSafe(cut), F.col("cut.rest")).otherwise(F.col("_size")).cast("long")
+    times = F.concat(F.array_repeat("_size", F.col("epochs").cast("int")), F.when(extra > 0, F.array(extra)).otherwise(F.array().cast("array<bigint>")))
+    taken = met.where("_size > 0").withColumn("_words", F.explode(times))
+    text = F.when(F.col("_words") < F.col("_size"), head_words(F.col(text_col), F.col("_words"))).otherwise(F.col(text_col))
+    out = taken.withColumn(text_col, text)
+    if chars_col in docs.columns:
+        out = out.withColumn(chars_col, F.length(text_col).cast(docs.schema[chars_col].dataType))
+    return out.select(*docs.columns)
 
 
 def head_words(text: Column, n: Column) -> Column:

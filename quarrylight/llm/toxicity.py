@@ -11,21 +11,23 @@ that of an empty text.  Repeated rows are scored one by one.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import regex
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Labelled documents that the model is fitted on, at most; hashed features; least documents of a feature.
-SAMPLE, FEATURES, LEAST_DOCS = 12_000, 1 << 20, 4
+SAMPLE, FEATURES, LEAST_DOCS = 10_000, 1 << 20, 6
+#: A feature enters if its chi-square against "toxic at all" and its log odds ratio are at least so large.
+CHI_SQUARE, LOG_ODDS = 20.0, 2.0
 #: Lengths of the word beginnings that are features beside the word itself.
 HEADS = (4, 5)
-_WORD = regex.compile(r"\w+")
+_WORD = re.compile(r"\w+")
 
 
 def _features(word: str) -> list[int]:
@@ -61,7 +63,21 @@ def _sums(values: np.ndarray, ptr: np.ndarray) -> np.ndarray:
     return np.add.reduceat(np.append(values, 0.0), np.minimum(ptr[:-1], len(values))) * (np.diff(ptr) > 0)
 
 
-def fit(ptr: np.ndarray, ids: np.ndarray, grades: np.ndarray, steps: int = 300, ridge: float = 1e-3) -> Model:
+def telling_features(row: np.ndarray, column: np.ndarray, width: int, grades: np.ndarray) -> np.ndarray:
+    """Which features tell grades above 0 from grade 0 in enough documents; common words that only follow length don't."""
+    in_row, of_column = np.divmod(np.unique(row.astype(np.int64) * width + column), max(1, width))
+    toxic = grades > 0
+    a = np.bincount(of_column, weights=toxic[in_row], minlength=width)
+    b = np.bincount(of_column, minlength=width) - a
+    c, d = toxic.sum() - a, (~toxic).sum() - b
+    total = len(grades)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        chi = np.nan_to_num(total * (a * d - b * c) ** 2 / ((a + b) * (c + d) * (a + c) * (b + d)))
+    odds = np.abs(np.log((a + 0.5) * (d + 0.5) / ((b + 0.5) * (c + 0.5))))
+    return (a + b >= LEAST_DOCS) & (chi >= CHI_SQUARE) & (odds >= LOG_ODDS)
+
+
+def fit(ptr: np.ndarray, ids: np.ndarray, grades: np.ndarray, steps: int = 400, ridge: float = 3e-5) -> Model:
     """Maximum likelihood with a ridge, by gradient steps with adapted lengths (Adam).
 
     ``ids[ptr[i]:ptr[i+1]]`` are the features of document i.  Thresholds are the first and
@@ -71,10 +87,10 @@ def fit(ptr: np.ndarray, ids: np.ndarray, grades: np.ndarray, steps: int = 300,
     top = max(top, 1)
     kept, column = np.unique(ids, return_inverse=True)
     row = np.repeat(np.arange(n), np.diff(ptr))
-    often = np.bincount(column, minlength=len(kept)) >= LEAST_DOCS
-    place = np.cumsum(often) - 1
-    use = often[column]
-    row, column, kept = row[use], place[column[use]], kept[often]
+    chosen = telling_features(row, column, len(kept), grades)
+    place = np.cumsum(chosen) - 1
+    use = chosen[column]
+    row, column, kept = row[use], place[column[use]], kept[chosen]
     ptr = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=n))])
     w = np.zeros(len(kept))
     theta = np.concatenate([[1.0], np.zeros(top - 1)])
@@ -95,7 +111,7 @@ def fit(ptr: np.ndarray, ids: np.ndarray, grades: np.ndarray, steps: int = 300,
         d_cuts = np.zeros(top)
         np.add.at(d_cuts, np.minimum(grades, top - 1), np.where(grades < top, -db / p / n, 0.0))
         np.add.at(d_cuts, np.maximum(grades - 1, 0), np.where(grades > 0, da / p / n, 0.0))
-        d_w = np.bincount(column, weights=d_score[row], minlength=len(kept)) + ridge * w / max(1, n) ** 0.5
+        d_w = np.bincount(column, weights=d_score[row], minlength=len(kept)) + ridge * w
         tail = np.cumsum(d_cuts[::-1])[::-1]
         grad = np.concatenate([d_w, [tail[0]], tail[1:] * gaps])
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
@@ -108,7 +124,7 @@ def grades_of(labelled: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Features and severity grades of a bounded sample of labelled documents (text, toxic 0/1).
 
     Where labels only tell toxic from clean, the grade of a toxic document is the third in
-    which its share of telling words lies, from 1 to 3; clean ones are 0.  Telling words are
+    which its number of telling words lies, from 1 to 3; clean ones are 0.  Telling words are
     those that are found in toxic documents ten times as often as in others.
     """
 
@@ -127,9 +143,9 @@ def grades_of(labelled: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     count = lambda which: np.bincount(np.concatenate([np.zeros(0, np.int32), *(np.unique(w) for w, t in zip(words, toxic, strict=True) if t == which)]), minlength=FEATURES)
     inside, outside = count(1), count(0)
     telling = (inside >= LEAST_DOCS) & (inside / max(1, (toxic == 1).sum()) > 10 * (outside + 0.1) / max(1, (toxic == 0).sum()))
-    share = np.array([telling[w].sum() / max(1, len(w)) for w in words])
-    bounds = np.quantile(share[toxic == 1], [1 / 3, 2 / 3]) if (toxic == 1).any() else np.zeros(2)
-    grades = np.where(toxic == 1, 1 + np.searchsorted(bounds, share, "right"), 0)
+    number = np.array([telling[w].sum() for w in words])
+    bounds = np.quantile(number[toxic == 1], [1 / 3, 2 / 3]) if (toxic == 1).any() else np.zeros(2)
+    grades = np.where(toxic == 1, 1 + np.searchsorted(bounds, number, "right"), 0)
     ptr = np.concatenate([[0], np.cumsum([len(s) for s in sets])])
     return ptr, np.concatenate([np.zeros(0, np.int32), *sets]), np.minimum(grades, 3)
 
