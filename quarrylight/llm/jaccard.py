@@ -29,13 +29,13 @@ from quarrylight.llm._common import remove, written
 #: Tokens that the order puts last, at most: a bound on the broadcast, not on what is joined.
 FREQUENT = 1 << 17
 #: Documents of one part of the corpus that share a token before it counts as frequent.
-FREQUENT_FROM = 4
+FREQUENT_FROM = 2
 #: Documents of a family that the others are first compared with.
 PIVOTS = 32
-#: Members of a group, and queries that are compared with it in one task.
-GROUP, QUERIES = 256, 1024
+#: Members of a group, tokens of a group, and queries that are compared with it in one task.
+GROUP, GROUP_TOKENS, QUERIES = 256, 250_000, 1024
 #: Prefix tokens that one task sorts.
-TOKENS_OF_TASK = 1_000_000
+TOKENS_OF_TASK = 500_000
 
 _U = np.uint64
 _MUL, _M1, _M2 = _U(0x9E3779B97F4A7C15), _U(0xBF58476D1CE4E5B9), _U(0x94D049BB133111EB)
@@ -45,7 +45,7 @@ class _Words(dict):
     """64-bit hash of each word, kept for the words seen; emptied when it has grown large."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
+        if len(self) > 200_000:
             self.clear()
         value = self[word] = xxhash.xxh64_intdigest(word)
         return value
@@ -127,7 +127,7 @@ def _digests(texts: DataFrame, words: int) -> DataFrame:
                     seen.add(key)
                     held.append(tokens)
                     size += len(tokens)
-                    if size > 4_000_000:
+                    if size > 2_000_000:
                         count()
             none = pa.nulls(len(ns), pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ns, pa.int64()), pa.array(k1s, pa.int64()), pa.array(k2s, pa.int64()), none, none], names=["id", "n", "k1", "k2", "token", "count"])
@@ -261,6 +261,41 @@ def _prefixes(texts: DataFrame, frequent, words: int, percent: int) -> DataFrame
     return texts.where("id IS NOT NULL").mapInArrow(cut, "id long, n int, first long, prefix binary").where("n > 0")
 
 
+_PAIR = np.dtype([("id", "i8"), ("target", "i8")])
+
+
+def _pairs(ids: np.ndarray, targets: np.ndarray) -> np.ndarray:
+    out = np.empty(len(ids), _PAIR)
+    out["id"], out["target"] = ids, targets
+    return out
+
+
+def _pair_batch(pairs: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(pairs["id"]), pa.array(pairs["target"])], names=["id", "target"])
+
+
+def _asked(here: np.ndarray, percent: int) -> Iterator[np.ndarray]:
+    """Queries and target components among the documents that share one token.
+
+    Components stand by falling number of documents here; each asks those before it, unless
+    all sizes there are too far from the query's.
+    """
+    names, where, sizes = np.unique(here["component"], return_inverse=True, return_counts=True)
+    rank = np.empty(len(names), np.int64)
+    rank[np.lexsort((names, -sizes))] = np.arange(len(names))
+    place = rank[where]
+    order = np.argsort(place, kind="stable")
+    here, place = here[order], place[order]
+    n = here["n"].astype(np.int64)
+    first = np.flatnonzero(np.append(True, place[1:] != place[:-1]))
+    least, most, targets = np.minimum.reduceat(n, first), np.maximum.reduceat(n, first), here["component"][first]
+    for start in range(0, len(here), 256):
+        q = slice(start, start + 256)
+        fits = (place[q, None] > np.arange(len(names))) & (100 * n[q, None] >= percent * least) & (100 * most >= percent * n[q, None])
+        asking, asked = np.nonzero(fits)
+        yield _pairs(here["id"][q][asking], targets[asked])
+
+
 def _candidates(prefixes: DataFrame, reps: DataFrame, percent: int, n_tasks: int) -> DataFrame:
     """Pairs (id, target): a query and a component, other than its own, with a member that shares a prefix token.
 
@@ -297,35 +332,24 @@ def _candidates(prefixes: DataFrame, reps: DataFrame, percent: int, n_tasks: int
         stops = np.append(starts[1:], len(rows))
         # tokens that stand in one component alone can't show a new link
         low, high = np.minimum.reduceat(rows["component"], starts), np.maximum.reduceat(rows["component"], starts)
-        pairs: set[tuple[int, int]] = set()
-
-        def batch_of(pairs: set[tuple[int, int]]) -> pa.RecordBatch:
-            a, b = zip(*pairs, strict=True)
-            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["id", "target"])
-
-        for start, stop in zip(starts[low != high], stops[low != high], strict=True):
-            here = rows[start:stop]
-            names, where, sizes = np.unique(here["component"], return_inverse=True, return_counts=True)
-            rank = np.empty(len(names), np.int64)
-            rank[np.lexsort((names, -sizes))] = np.arange(len(names))  # 0: the largest here
-            here = here[np.argsort(rank[where], kind="stable")]
-            bound = np.cumsum(np.sort(sizes)[::-1])
-            ns, spans = here["n"], []
-            for i in range(len(names)):
-                part = ns[bound[i - 1] if i else 0 : bound[i]]
-                spans.append((part.min(), part.max()))
-            least, most = np.array(spans).T
-            targets = here["component"][np.append(0, bound[:-1])]
-            for i in range(1, len(names)):
-                for q in here[bound[i - 1] : bound[i]]:
-                    # sizes too far apart can't reach the threshold
-                    fits = (100 * q["n"] >= percent * least[:i]) & (100 * most[:i] >= percent * q["n"])
-                    pairs.update((int(q["id"]), t) for t in targets[:i][fits].tolist())
-            if len(pairs) > 200_000:
-                yield batch_of(pairs)
-                pairs = set()
-        if pairs:
-            yield batch_of(pairs)
+        live, many = low != high, stops - starts
+        twos = starts[live & (many == 2)]  # most lists: one query, one target
+        one, two = rows[twos], rows[twos + 1]
+        fits = (100 * one["n"].astype(np.int64) >= percent * two["n"].astype(np.int64)) & (100 * two["n"].astype(np.int64) >= percent * one["n"].astype(np.int64))
+        held = [_pairs(two["id"][fits], one["component"][fits])]
+        size = len(held[0])
+        for start, stop in zip(starts[live & (many > 2)].tolist(), stops[live & (many > 2)].tolist(), strict=True):
+            for part in _asked(rows[start:stop], percent):
+                held.append(part)
+                size += len(part)
+                if size > 500_000:
+                    held = [np.unique(np.concatenate(held))]
+                    size = len(held[0])
+                    if size > 250_000:
+                        yield _pair_batch(held[0])
+                        held, size = [], 0
+        if size:
+            yield _pair_batch(np.unique(np.concatenate(held)))
 
     known = prefixes.join(reps.select("id", "component"), "id").select("id", "n", "prefix", "component")
     dealt = known.mapInArrow(deal, "bucket int, rows binary").repartitionById(1 << bits, "bucket")
@@ -363,10 +387,10 @@ def classes(docs: DataFrame, percent: int = 80, words: int = 5, id_col: str = "d
     remove(tokens, firsts)
 
     # then what is left: queries against the groups of other components that share a prefix token
-    first_round = reps.join(near.withColumnRenamed("node", "id"), "id", "left").select("id", F.coalesce("component", "id").alias("component")).distinct()
+    first_round = reps.join(near.withColumnRenamed("node", "id"), "id", "left").select("id", "n", F.coalesce("component", "id").alias("component")).distinct()
     known = written(first_round, "jaccard-known")
     wanted = written(_candidates(prefixes, known, percent, n_tasks), "jaccard-candidates")
-    sizes = known.groupBy("component").agg(F.ceil(F.count("*") / GROUP).cast("int").alias("groups"))
+    sizes = known.groupBy("component").agg(F.ceil(F.greatest(F.count("*") / GROUP, F.sum("n") / GROUP_TOKENS)).cast("int").alias("groups"))
     opened = wanted.select("target").distinct().join(sizes, F.col("target") == F.col("component")).select("component", "groups")
     name = lambda at: F.xxhash64("component", at)
     in_groups = known.join(opened, "component").select(name(F.pmod(F.xxhash64("id"), F.col("groups")).cast("int")).alias("grp"), "id")
