@@ -1,10 +1,463 @@
-"""Queries over the driver tables, each with its SQL twin where SQL can express it."""
+"""Queries over the driver tables, each with its SQL twin where SQL can express it.
+
+A document stands for a chunk of code: its source is the file, ``doc_<id>`` the symbol, its
+id the place in the index.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from quarrylight.functions import text as T
+from quarrylight.operators import budget, changes, context, expand, lexical, rank, savings
+from quarrylight.sources import filters
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+#: The batch of queries: id, text, and the vector whose neighbours it also asks for.
+BATCH = [
+    (1, "thing whre onstwh the", 7),
+    (2, "loser worthless idiot", 12),
+    (3, "released license mit", 33),
+    (4, "doc_42", 5),
+    (5, "mail example com mail", 101),
+    (6, "und der auf", 250),
+    (7, "la queux retion de", 77),
+]
+K = 5
+
+
+def _query(sql: str | None = None):
+    def keep(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return keep
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def documents_as_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = _table(spark, sf_dir, "documents")
+    kind = F.when(F.col("doc_id") % 10 == 0, "file").when(F.col("doc_id") % 50 == 3, "module").otherwise("function")
+    return d.select(
+        F.col("doc_id").alias("chunk_id"), F.col("source").alias("file_path"), F.concat(F.lit("doc_"), "doc_id").alias("symbol_name"), kind.alias("kind"),
+        F.col("text").alias("code"), F.col("doc_id").alias("start_line"), (F.col("doc_id") + 9).alias("end_line"), F.col("doc_id").alias("ord"),
+    )
+
+
+def batch(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([(q, t) for q, t, _ in BATCH], "qid int, query string")
+
+
+def batch_with_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ids = spark.createDataFrame([(q, t, v) for q, t, v in BATCH], "qid int, query string, vec_id long")
+    vectors = _table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("query_embedding"))
+    return ids.join(vectors, "vec_id", "left").drop("vec_id")
+
+
+# --- SQL that several twins share -------------------------------------------------------
+
+_CHUNKS = """chunks AS (SELECT doc_id AS chunk_id, source AS file_path, 'doc_' || doc_id AS symbol_name,
+  CASE WHEN doc_id % 10 = 0 THEN 'file' WHEN doc_id % 50 = 3 THEN 'module' ELSE 'function' END AS kind,
+  text AS code, doc_id AS start_line, doc_id + 9 AS end_line, doc_id AS ord FROM documents)"""
+_BATCH = "batch(qid, query, vec_id) AS (VALUES " + ", ".join(f"({q}, '{t}', {v})" for q, t, v in BATCH) + ")"
+
+
+def _tokens_sql(x: str) -> str:
+    return rf"list_filter(string_split_regex(lower(regexp_replace(coalesce({x}, ''), '([a-z0-9])([A-Z])', '\1 \2', 'g')), '[^a-z0-9]+'), lambda t: length(t) >= 2)"
+
+
+_STOP = ", ".join(f"'{w}'" for w in T.STOPWORDS)
+_GATE = rf"list_filter(string_split_regex(lower(query), '\W+'), lambda t: length(t) >= 2 AND t NOT IN ({_STOP}))"
+_INDEX = f"""{_CHUNKS}, {_BATCH},
+  toks AS (SELECT chunk_id, {_tokens_sql("concat_ws(' ', symbol_name, code)")} AS tokens FROM chunks),
+  tf AS (SELECT chunk_id, term, count(*) AS f FROM (SELECT chunk_id, unnest(tokens) AS term FROM toks) GROUP BY ALL),
+  df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
+  lens AS (SELECT chunk_id, len(tokens) AS len FROM toks),
+  totals AS (SELECT count(*) AS n, coalesce(avg(len), 1) AS avgdl FROM lens)"""
+_SCORES = f"""{_INDEX},
+  qt AS (SELECT qid, term, count(*) AS qf FROM (SELECT qid, unnest({_tokens_sql("query")}) AS term FROM batch) GROUP BY ALL),
+  gt AS (SELECT qid, term, count(*) AS times FROM (SELECT qid, unnest({_GATE}) AS term FROM batch) GROUP BY ALL),
+  scores AS (SELECT qid, chunk_id, sum(qf * ln(1 + (n - df + 0.5) / (df + 0.5)) * (f * 2.5 / (f + 1.5 * (0.25 + 0.75 * len / avgdl)))) AS bm25
+    FROM tf JOIN qt USING (term) JOIN df USING (term) JOIN lens USING (chunk_id) CROSS JOIN totals GROUP BY ALL),
+  lex AS (SELECT qid, s.chunk_id, bm25, CASE WHEN max(bm25) OVER (PARTITION BY qid) > 0 THEN bm25 / max(bm25) OVER (PARTITION BY qid) ELSE 0 END
+    * CASE WHEN kind = 'file' THEN 0.3 ELSE 1.0 END AS lexical FROM scores s JOIN chunks c ON s.chunk_id = c.chunk_id),
+  matched AS (SELECT qid, chunk_id, CAST(sum(times) AS BIGINT) AS matched FROM tf JOIN gt USING (term) GROUP BY ALL),
+  named AS (SELECT qid, chunk_id FROM chunks JOIN batch ON trim(query) <> '' AND contains(lower(symbol_name), lower(trim(query)))),
+  found AS (SELECT qid, chunk_id, lexical, matched, n.chunk_id IS NOT NULL AS name_hit FROM
+    (SELECT coalesce(l.qid, m.qid) AS qid, coalesce(l.chunk_id, m.chunk_id) AS chunk_id, coalesce(lexical, 0) AS lexical, coalesce(matched, 0) AS matched
+     FROM lex l FULL JOIN matched m ON l.qid = m.qid AND l.chunk_id = m.chunk_id) FULL JOIN named n USING (qid, chunk_id))"""
+_PASSED = f"""{_SCORES}, passed AS (SELECT qid, chunk_id, 0.0::DOUBLE AS semantic, coalesce(lexical, 0) AS lexical, coalesce(matched, 0) AS matched, name_hit,
+  round(0.2 * coalesce(lexical, 0), 6) AS score FROM found WHERE name_hit OR coalesce(matched, 0) >= 2)"""
+_RANKED = f"""{_PASSED}, ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY qid ORDER BY score DESC, chunk_id) AS INTEGER) AS rank FROM passed QUALIFY rank <= {K})"""
+
+
+# --- index and lexical ranking ----------------------------------------------------------
+
+
+@_query(f"WITH {_INDEX} SELECT chunk_id, CAST(len(tokens) AS BIGINT) AS n_tokens, md5(array_to_string(tokens, ' ')) AS tokens_md5 FROM toks")
+def tokenize(spark, sf_dir):
+    return lexical.chunk_tokens(documents_as_chunks(spark, sf_dir)).select("chunk_id", F.size("tokens").cast("long").alias("n_tokens"), F.md5(F.array_join("tokens", " ").cast("binary")).alias("tokens_md5"))
+
+
+@_query(f"WITH {_INDEX} SELECT chunk_id, term, f FROM tf")
+def term_freq(spark, sf_dir):
+    return lexical.term_frequency(documents_as_chunks(spark, sf_dir))
+
+
+@_query(f"WITH {_INDEX} SELECT term, df FROM df")
+def doc_freq(spark, sf_dir):
+    return lexical.document_frequency(lexical.term_frequency(documents_as_chunks(spark, sf_dir)))
+
+
+@_query(f"WITH {_INDEX} SELECT n, round(avgdl, 6) AS avgdl FROM totals")
+def doc_len_stats(spark, sf_dir):
+    return lexical.totals(lexical.lengths(documents_as_chunks(spark, sf_dir))).select("n", F.round("avgdl", 6).alias("avgdl"))
+
+
+@_query(f"WITH {_SCORES} SELECT qid, chunk_id, round(bm25, 6) AS bm25 FROM scores")
+def bm25_score(spark, sf_dir):
+    return lexical.bm25(lexical.index(documents_as_chunks(spark, sf_dir)), batch(spark)).select("qid", "chunk_id", F.round("bm25", 6).alias("bm25"))
+
+
+@_query(f"WITH {_SCORES} SELECT qid, chunk_id, round(lexical, 6) AS lexical FROM lex")
+def bm25_normalized(spark, sf_dir):
+    chunks = documents_as_chunks(spark, sf_dir)
+    return lexical.normalised(lexical.bm25(lexical.index(chunks), batch(spark)), chunks).select("qid", "chunk_id", F.round("lexical", 6).alias("lexical"))
+
+
+@_query(f"WITH {_BATCH} SELECT qid, term, count(*) AS times FROM (SELECT qid, unnest({_GATE}) AS term FROM batch) GROUP BY ALL")
+def query_terms(spark, sf_dir):
+    return lexical.query_gate_terms(batch(spark))
+
+
+@_query(f"WITH {_PASSED} SELECT qid, chunk_id, matched, name_hit FROM passed")
+def relevance_gate(spark, sf_dir):
+    return rank.scored(documents_as_chunks(spark, sf_dir), batch(spark)).select("qid", "chunk_id", "matched", "name_hit")
+
+
+@_query(f"WITH {_RANKED} SELECT rank, chunk_id, score FROM ranked WHERE qid = 3")
+def rank_lexical_topk(spark, sf_dir):
+    return rank.rank(documents_as_chunks(spark, sf_dir), batch(spark).where("qid = 3"), K).select("rank", "chunk_id", "score")
+
+
+@_query(f"WITH {_RANKED} SELECT qid, rank, chunk_id, score FROM ranked")
+def rank_batch_queries(spark, sf_dir):
+    return rank.rank(documents_as_chunks(spark, sf_dir), batch(spark), K).select("qid", "rank", "chunk_id", "score")
+
+
+@_query()
+def stemmed_rank(spark, sf_dir):
+    return rank.rank(documents_as_chunks(spark, sf_dir), batch(spark), K, stem=True).select("qid", "rank", "chunk_id", "score")
+
+
+# --- vectors and hybrid ranking ---------------------------------------------------------
+
+_COSINE = f"""{_BATCH}, sims AS (SELECT qid, e.vec_id AS chunk_id, list_dot_product(q.embedding::DOUBLE[], e.embedding::DOUBLE[]) AS semantic
+  FROM embeddings e CROSS JOIN (SELECT qid, embedding FROM batch JOIN embeddings USING (vec_id)) q)"""
+
+
+def _vectors(spark, sf_dir):
+    return _table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("chunk_id"), "embedding")
+
+
+@_query(f"WITH {_COSINE} SELECT qid, chunk_id, round(semantic, 6) AS semantic FROM sims")
+def cosine_scores(spark, sf_dir):
+    return rank.cosine(_vectors(spark, sf_dir), batch_with_vectors(spark, sf_dir)).select("qid", "chunk_id", F.round("semantic", 6).alias("semantic"))
+
+
+@_query(f"WITH {_COSINE} SELECT qid, CAST(row_number() OVER (PARTITION BY qid ORDER BY round(semantic, 6) DESC, chunk_id) AS INTEGER) AS rank, chunk_id, round(semantic, 6) AS semantic FROM sims QUALIFY rank <= {K}")
+def semantic_topk(spark, sf_dir):
+    scores = cosine_scores(spark, sf_dir)
+    place = Window.partitionBy("qid").orderBy(F.desc("semantic"), "chunk_id")
+    return scores.withColumn("rank", F.row_number().over(place)).where(F.col("rank") <= K).select("qid", "rank", "chunk_id", "semantic")
+
+
+@_query(f"WITH {_COSINE} SELECT qid, chunk_id, round(semantic, 6) AS semantic FROM sims QUALIFY row_number() OVER (PARTITION BY qid ORDER BY round(semantic, 6) DESC, chunk_id) <= 50")
+def ann_candidates_exact(spark, sf_dir):
+    return rank.candidates(cosine_scores(spark, sf_dir), K)
+
+
+@_query(
+    f"""WITH {_SCORES}, sims AS (SELECT qid, c.chunk_id, list_dot_product(q.embedding::DOUBLE[], e.embedding::DOUBLE[]) AS semantic
+  FROM chunks c JOIN embeddings e ON e.vec_id = c.chunk_id CROSS JOIN (SELECT qid, embedding FROM batch JOIN embeddings USING (vec_id)) q),
+  every AS (SELECT coalesce(f.qid, s.qid) AS qid, coalesce(f.chunk_id, s.chunk_id) AS chunk_id, coalesce(lexical, 0) AS lexical, coalesce(matched, 0) AS matched,
+    coalesce(name_hit, FALSE) AS name_hit, coalesce(semantic, 0) AS semantic FROM found f FULL JOIN sims s ON f.qid = s.qid AND f.chunk_id = s.chunk_id)
+  SELECT qid, CAST(row_number() OVER (PARTITION BY qid ORDER BY round(semantic + 0.2 * lexical, 6) DESC, chunk_id) AS INTEGER) AS rank, chunk_id, round(semantic + 0.2 * lexical, 6) AS score
+  FROM every WHERE name_hit OR matched >= 2 OR semantic >= 0.3 QUALIFY rank <= {K}"""
+)
+def hybrid_rank(spark, sf_dir):
+    chunks = documents_as_chunks(spark, sf_dir).join(_vectors(spark, sf_dir), "chunk_id", "left")
+    return rank.rank(chunks, batch_with_vectors(spark, sf_dir), K, ann=False).select("qid", "rank", "chunk_id", "score")
+
+
+# --- incremental maintenance ------------------------------------------------------------
+
+
+def _files(spark, sf_dir, edited: bool):
+    """One file for each document; the edited state lacks some, has some altered and some more."""
+    d = _table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("/repo/doc_"), "doc_id").alias("file_path"), F.coalesce("text", F.lit("")).alias("text"))
+    text = F.when(F.col("doc_id") % 5 == 2, F.concat("text", F.lit(" edited"))).otherwise(F.col("text")) if edited else F.col("text")
+    return d.where(F.col("doc_id") % 7 != (1 if edited else 3)).select("file_path", T.content_hash(text).alias("hash"), text.alias("text"))
+
+
+_FILES = """old AS (SELECT '/repo/doc_' || doc_id AS file_path, sha1(coalesce(text, '')) AS hash FROM documents WHERE doc_id % 7 <> 3),
+  seen AS (SELECT '/repo/doc_' || doc_id AS file_path, sha1(coalesce(text, '') || CASE WHEN doc_id % 5 = 2 THEN ' edited' ELSE '' END) AS hash FROM documents WHERE doc_id % 7 <> 1)"""
+
+
+@_query("SELECT doc_id, sha1(coalesce(text, '')) AS hash FROM documents")
+def content_hash(spark, sf_dir):
+    return _table(spark, sf_dir, "documents").select("doc_id", T.content_hash(F.coalesce("text", F.lit(""))).alias("hash"))
+
+
+@_query(f"WITH {_FILES} SELECT file_path, hash FROM seen ANTI JOIN old USING (file_path, hash)")
+def hash_skip(spark, sf_dir):
+    return changes.changed_only(_files(spark, sf_dir, False), _files(spark, sf_dir, True)).select("file_path", "hash")
+
+
+@_query(f"WITH {_FILES} SELECT file_path, hash FROM old ANTI JOIN seen USING (file_path) UNION ALL SELECT file_path, hash FROM seen")
+def upsert_merge(spark, sf_dir):
+    return changes.upsert(_files(spark, sf_dir, False), _files(spark, sf_dir, True)).select("file_path", "hash")
+
+
+@_query(f"WITH {_FILES} SELECT file_path, hash FROM old SEMI JOIN seen USING (file_path)")
+def remove_files(spark, sf_dir):
+    old = _files(spark, sf_dir, False)
+    gone = changes.diff(old, _files(spark, sf_dir, True)).where("change = 'unlink'")
+    return changes.remove(old, gone).select("file_path", "hash")
+
+
+@_query(f"WITH {_FILES} SELECT coalesce(o.file_path, s.file_path) AS file_path, CASE WHEN o.hash IS NULL THEN 'add' WHEN s.hash IS NULL THEN 'unlink' WHEN o.hash = s.hash THEN 'same' ELSE 'change' END AS change FROM old o FULL JOIN seen s ON o.file_path = s.file_path")
+def reconcile_diff(spark, sf_dir):
+    return changes.diff(_files(spark, sf_dir, False), _files(spark, sf_dir, True))
+
+
+# --- filters ----------------------------------------------------------------------------
+
+_PATHS = "paths AS (SELECT page_id, '/repo/' || CASE page_id % 4 WHEN 0 THEN 'src/' WHEN 1 THEN 'src/gen/' WHEN 2 THEN 'tests/' ELSE 'node_modules/' END || 'page_' || page_id || CASE page_id % 6 WHEN 0 THEN '.ts' WHEN 1 THEN '.py' WHEN 2 THEN '.md' WHEN 3 THEN '.test.ts' WHEN 4 THEN '.vue' ELSE '.TS' END AS path, html FROM pages)"
+
+
+def _paths(spark, sf_dir):
+    p = _table(spark, sf_dir, "pages")
+    pick = lambda n, names: F.element_at(F.array(*map(F.lit, names)), (F.col("page_id") % n + 1).cast("int"))
+    path = F.concat(F.lit("/repo/"), pick(4, ["src/", "src/gen/", "tests/", "node_modules/"]), F.lit("page_"), "page_id", pick(6, [".ts", ".py", ".md", ".test.ts", ".vue", ".TS"]))
+    return p.select("page_id", path.alias("path"), "html")
+
+
+@_query(f"WITH {_PATHS} SELECT page_id, path FROM paths WHERE regexp_matches(path, '\\.(ts|tsx|js|jsx|vue|svelte|py)$') AND NOT regexp_matches(path, '{filters.TEST_FILE_SQL}')")
+def path_filter(spark, sf_dir):
+    return _paths(spark, sf_dir).where(filters.indexable(F.col("path"))).select("page_id", "path")
+
+
+@_query(f"WITH {_PATHS} SELECT page_id, path FROM paths WHERE NOT regexp_matches(path, '(^|/)node_modules(/|$)') AND NOT (path LIKE '/repo/src/gen/%' AND NOT path LIKE '%/page_1%')")
+def ignore_filter(spark, sf_dir):
+    rules = filters.rules([("/repo", "/src/gen/*\n!page_1*\n")])
+    return filters.not_ignored(_paths(spark, sf_dir), rules, "/repo").select("page_id", "path")
+
+
+@_query("SELECT doc_id, n_chars FROM documents WHERE n_chars <= 4000")
+def size_filter(spark, sf_dir):
+    return filters.at_most(_table(spark, sf_dir, "documents"), "n_chars", 4000).select("doc_id", "n_chars")
+
+
+@_query(f"WITH {_CHUNKS} SELECT chunk_id, count(*) OVER (PARTITION BY file_path) <= 50 AS embeddable FROM chunks")
+def dense_file_guard(spark, sf_dir):
+    return changes.dense_guard(documents_as_chunks(spark, sf_dir), 50).select("chunk_id", "embeddable")
+
+
+@_query()
+def script_mask(spark, sf_dir):
+    from quarrylight.functions import scripts
+
+    pages = _table(spark, sf_dir, "pages").select("page_id", "html")
+    return pages.withColumn("masked", scripts.masked(F.col("html"))).where("masked IS NOT NULL").select("page_id", F.length("masked").alias("n_chars"), F.md5(F.col("masked").cast("binary")).alias("masked_md5"))
+
+
+# --- dependencies and views -------------------------------------------------------------
+
+
+def _linked(spark, sf_dir):
+    """Chunks with string ids; every third file has another suffix, some references lead nowhere."""
+    d = _table(spark, sf_dir, "documents").select("doc_id", "source")
+    suffix = F.element_at(F.array(F.lit(".ts"), F.lit(".py"), F.lit("/index.ts")), (F.col("doc_id") % 3 + 1).cast("int"))
+    path = lambda i: F.concat(F.lit("f"), i % 20)
+    return d.select(
+        "doc_id", F.concat(path(F.col("doc_id")), suffix, F.lit("::doc_"), "doc_id").alias("chunk_id"),
+        F.array(*[F.concat(path(F.col("doc_id") + n), F.element_at(F.array(F.lit(".ts"), F.lit(".py"), F.lit("/index.ts")), ((F.col("doc_id") + n) % 3 + 1).cast("int")), F.lit("::doc_"), (F.col("doc_id") + n).cast("string")) for n in (20, 40)]).alias("refs"),
+        F.array(*[F.concat(path(F.col("doc_id") + n), F.lit("::doc_"), (F.col("doc_id") + n).cast("string")) for n in (1, 1_000_000)]).alias("ext_refs"),
+    )
+
+
+def _linked_sql() -> str:
+    suffix = lambda e: f"CASE ({e}) % 3 WHEN 0 THEN '.ts' WHEN 1 THEN '.py' ELSE '/index.ts' END"
+    name = lambda e: f"'f' || (({e}) % 20) || {suffix(e)} || '::doc_' || ({e})"
+    return f"""linked AS (SELECT doc_id, {name("doc_id")} AS chunk_id FROM documents),
+  refs AS (SELECT l.chunk_id AS src, t.chunk_id AS dst, n // 20 - 1 AS pos FROM linked l CROSS JOIN (VALUES (20), (40)) AS v(n) JOIN linked t ON t.doc_id = l.doc_id + n),
+  ext AS (SELECT l.chunk_id AS src, t.chunk_id AS dst, 0 AS pos FROM linked l JOIN linked t ON t.doc_id = l.doc_id + 1),
+  deps AS (SELECT src, dst, CAST(row_number() OVER (PARTITION BY src ORDER BY g, pos) AS INTEGER) AS pos FROM (SELECT *, 0 AS g FROM refs UNION ALL SELECT *, 1 AS g FROM ext))"""
+
+
+@_query(f"WITH {_linked_sql()} SELECT src, dst, CAST(pos AS INTEGER) AS pos FROM refs")
+def resolve_refs(spark, sf_dir):
+    return expand.references(_linked(spark, sf_dir))
+
+
+@_query(f"WITH {_linked_sql()} SELECT src, dst, CAST(pos AS INTEGER) AS pos FROM ext")
+def resolve_external_refs(spark, sf_dir):
+    return expand.external_references(_linked(spark, sf_dir))
+
+
+@_query(f"WITH {_linked_sql()} SELECT src, dst, pos FROM deps")
+def direct_deps(spark, sf_dir):
+    return expand.dependencies(_linked(spark, sf_dir))
+
+
+def _some_ranked(spark, sf_dir):
+    """Queries whose results are given: documents 3q, 3q + 20 for q below 30."""
+    d = _linked(spark, sf_dir).where("doc_id < 110")
+    q = d.where("doc_id < 90 AND doc_id % 3 = 0").select((F.col("doc_id") / 3).cast("int").alias("qid"), "chunk_id", F.lit(1).alias("rank"), "doc_id")
+    second = d.select(F.col("doc_id").alias("_id"), F.col("chunk_id").alias("_chunk")).join(q, F.col("_id") == F.col("doc_id") + 20)
+    return q.select("qid", "chunk_id", "rank").unionByName(second.select("qid", F.col("_chunk").alias("chunk_id"), F.lit(2).alias("rank")))
+
+
+@_query(
+    f"""WITH {_linked_sql()}, given AS (SELECT CAST(doc_id // 3 AS INTEGER) AS qid, chunk_id, 1 AS rank, doc_id FROM linked WHERE doc_id < 90 AND doc_id % 3 = 0),
+  results AS (SELECT qid, chunk_id, rank FROM given UNION ALL SELECT g.qid, l.chunk_id, 2 FROM given g JOIN linked l ON l.doc_id = g.doc_id + 20),
+  one AS (SELECT qid, dst, row_number() OVER (PARTITION BY qid ORDER BY pos) AS place FROM (SELECT g.qid, dst, min(pos) AS pos FROM given g JOIN deps ON src = chunk_id
+    WHERE NOT EXISTS (SELECT 1 FROM results r WHERE r.qid = g.qid AND r.chunk_id = dst) GROUP BY ALL)),
+  two AS (SELECT qid, dst, row_number() OVER (PARTITION BY qid ORDER BY place, pos) AS place FROM (SELECT o.qid, d.dst, min(o.place * 1000 + d.pos) // 1000 AS place, min(o.place * 1000 + d.pos) % 1000 AS pos
+    FROM one o JOIN deps d ON d.src = o.dst WHERE NOT EXISTS (SELECT 1 FROM results r WHERE r.qid = o.qid AND r.chunk_id = d.dst) AND NOT EXISTS (SELECT 1 FROM one p WHERE p.qid = o.qid AND p.dst = d.dst) GROUP BY ALL)),
+  added AS (SELECT qid, dst, hop, row_number() OVER (PARTITION BY qid ORDER BY hop, place) AS spot FROM (SELECT qid, dst, 1 AS hop, place FROM one WHERE place <= 4 UNION ALL SELECT qid, dst, 2, place FROM two) QUALIFY spot <= 4)
+  SELECT qid, chunk_id, 0 AS hop, CAST(rank AS INTEGER) AS rank FROM results
+  UNION ALL SELECT a.qid, dst, hop, CAST(spot + (SELECT max(rank) FROM results r WHERE r.qid = a.qid) AS INTEGER) FROM added a"""
+)
+def expand_two_hop(spark, sf_dir):
+    return expand.expanded(_some_ranked(spark, sf_dir), expand.dependencies(_linked(spark, sf_dir)))
+
+
+_SPAN = "c.symbol_name || '  (' || c.kind || ', lines ' || c.start_line || '-' || c.end_line || ')'"
+_SIGNATURE = r"regexp_replace(regexp_replace(split_part(c.code, chr(10), 1), '^\s+', ''), '\s+$', '')"
+_VIEW = f"""{_RANKED}, places AS (SELECT qid, file_path, min(rank) AS file_rank FROM ranked JOIN chunks USING (chunk_id) GROUP BY ALL),
+  members AS (SELECT p.qid, p.file_rank, c.*, r.chunk_id IS NOT NULL AS selected, {_SPAN} AS span, {_SIGNATURE} AS signature,
+    c.kind <> 'module' AND r.chunk_id IS NULL AS other FROM places p JOIN chunks c USING (file_path) LEFT JOIN ranked r ON r.qid = p.qid AND r.chunk_id = c.chunk_id),
+  counted AS (SELECT *, sum(CAST(kind = 'module' AS INTEGER)) OVER w AS modules, sum(CAST(other AS INTEGER)) OVER w AS shown,
+    sum(CAST(other AS INTEGER)) OVER (PARTITION BY qid, file_path) AS others FROM members WINDOW w AS (PARTITION BY qid, file_path ORDER BY start_line, end_line, ord))"""
+
+
+@_query(f"WITH {_VIEW} SELECT qid, file_path, CAST(shown AS INTEGER) AS place, '//   ' || span || ':  ' || signature AS line FROM counted WHERE other AND shown <= 40")
+def collapsed_signatures(spark, sf_dir):
+    chunks = documents_as_chunks(spark, sf_dir)
+    return context.collapsed(rank.rank(chunks, batch(spark), K), chunks)
+
+
+@_query(
+    f"""WITH {_VIEW}, parts AS (SELECT qid, file_rank, file_path, others, kind <> 'module' AS late, ord, start_line, end_line,
+    CASE WHEN kind = 'module' THEN CASE WHEN modules = 1 THEN code END WHEN selected THEN '// ▸ ' || span || chr(10) || code WHEN shown <= 40 THEN '//   ' || span || ':  ' || signature END AS part FROM counted),
+  blocks AS (SELECT qid, file_rank, '// ═══ ' || file_path || ' ═══' || chr(10) || string_agg(part, chr(10) ORDER BY late, start_line, end_line, ord)
+    || CASE WHEN max(others) > 40 THEN chr(10) || '//   … ' || CAST(max(others) - 40 AS BIGINT) || ' more symbol(s) in this file' ELSE '' END AS block FROM parts WHERE part IS NOT NULL GROUP BY qid, file_rank, file_path)
+  SELECT qid, md5(string_agg(block, chr(10) || chr(10) ORDER BY file_rank)) AS context_md5, CAST(length(string_agg(block, chr(10) || chr(10) ORDER BY file_rank)) AS BIGINT) AS n_chars FROM blocks GROUP BY qid"""
+)
+def ghost_context(spark, sf_dir):
+    chunks = documents_as_chunks(spark, sf_dir)
+    view = context.render(rank.rank(chunks, batch(spark), K), chunks)
+    return view.select("qid", F.md5(F.col("context").cast("binary")).alias("context_md5"), F.length("context").cast("long").alias("n_chars"))
+
+
+@_query()
+def budget_pack(spark, sf_dir):
+    chunks = documents_as_chunks(spark, sf_dir)
+    ranked = rank.rank(chunks, batch(spark), 10)
+    edges = chunks.select(F.col("chunk_id").alias("src"), (F.col("chunk_id") + 1).alias("dst"), F.lit(1).alias("pos")).join(chunks.select(F.col("chunk_id").alias("dst")), "dst", "left_semi")
+    return budget.pack(ranked, chunks, edges, 20_000)
+
+
+# --- accounting -------------------------------------------------------------------------
+
+
+@_query("SELECT doc_id, CAST(ceil((length(text) + length(regexp_replace(text, '[^\\x{10000}-\\x{10FFFF}]', '', 'g'))) / 4.0) AS BIGINT) AS tokens FROM documents")
+def estimate_tokens(spark, sf_dir):
+    return _table(spark, sf_dir, "documents").select("doc_id", T.estimated_tokens(F.col("text")).alias("tokens"))
+
+
+_TRACKED = f"""{_RANKED}, sizes AS (SELECT source AS file_path, CAST(sum(ceil(length(text) / 4.0)) AS BIGINT) AS tokens FROM documents GROUP BY source),
+  touched AS (SELECT DISTINCT qid, file_path FROM ranked JOIN chunks USING (chunk_id)),
+  targeted AS (SELECT qid, CAST(sum(ceil(length(code) / 4.0)) AS BIGINT) AS targeted_tokens, count(*) AS chunk_count FROM ranked JOIN chunks USING (chunk_id) GROUP BY qid),
+  naive AS (SELECT qid, CAST(sum(coalesce(tokens, 0)) AS BIGINT) AS naive_tokens FROM touched LEFT JOIN sizes USING (file_path) GROUP BY qid),
+  tracked AS (SELECT qid, naive_tokens, targeted_tokens, greatest(0, naive_tokens - targeted_tokens) AS saved_tokens, chunk_count FROM naive JOIN targeted USING (qid))"""
+
+
+@_query(f"WITH {_TRACKED} SELECT * FROM tracked")
+def track_search(spark, sf_dir):
+    chunks = documents_as_chunks(spark, sf_dir)
+    results = rank.rank(chunks, batch(spark), K).join(chunks.select("chunk_id", "file_path", "code"), "chunk_id")
+    files = chunks.groupBy("file_path").agg(F.sum(T.estimated_tokens(F.col("code"))).alias("tokens"))
+    return savings.track_search(results, files, results.groupBy("qid").agg(F.sum(T.estimated_tokens(F.col("code"))).alias("targeted_tokens")))
+
+
+@_query(f"WITH {_TRACKED} SELECT CAST(least(count(*), 200) AS BIGINT) AS calls, CAST(sum(naive_tokens) AS BIGINT) AS naive_tokens, CAST(sum(targeted_tokens) AS BIGINT) AS targeted_tokens, CAST(greatest(0, sum(naive_tokens) - sum(targeted_tokens)) AS BIGINT) AS saved_tokens, CAST(floor(greatest(0, sum(naive_tokens) - sum(targeted_tokens)) / sum(naive_tokens) * 100 + 0.5) AS BIGINT) AS saved_pct FROM tracked")
+def token_savings_net(spark, sf_dir):
+    return savings.net_savings(track_search(spark, sf_dir))
+
+
+def _log(spark, sf_dir):
+    """Events as a request log: 4 naive tokens for each unit of value, 1 targeted; every ninth line is malformed."""
+    e = _table(spark, sf_dir, "events")
+    saved = F.when(F.col("event_id") % 9 != 4, F.greatest(F.lit(0.0), F.floor(F.col("value")) * 3.0 - 20))
+    return e.select(F.col("event_id").alias("ord"), F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("ts"), F.col("event_type").alias("client"), (F.floor(F.col("value")) * 4.0).alias("naive_tokens"), (F.floor(F.col("value")) * 1.0 + 20).alias("targeted_tokens"), saved.alias("saved_tokens"))
+
+
+_LOG = "log AS (SELECT event_id AS ord, strftime(ts, '%Y-%m-%d %H:%M:%S') AS ts, event_type AS client, floor(value) * 4.0 AS naive_tokens, floor(value) * 1.0 + 20 AS targeted_tokens, greatest(0.0, floor(value) * 3.0 - 20) AS saved_tokens FROM events WHERE event_id % 9 <> 4)"
+
+
+@_query(f"WITH {_LOG} SELECT count(*) AS calls, sum(naive_tokens) AS naive_tokens, sum(targeted_tokens) AS targeted_tokens, sum(saved_tokens) AS saved_tokens, arg_min(ts, ord) AS first_ts, arg_max(ts, ord) AS last_ts, CAST(floor(sum(saved_tokens) / sum(naive_tokens) * 100 + 0.5) AS BIGINT) AS saved_pct FROM log")
+def request_log_summary(spark, sf_dir):
+    return savings.request_summary(_log(spark, sf_dir))
+
+
+@_query(f"WITH {_LOG}, g AS (SELECT client, count(*) AS calls, sum(saved_tokens) AS saved_tokens, min(ord) AS first_ord FROM log GROUP BY client) SELECT *, CAST(row_number() OVER (ORDER BY round(saved_tokens, 6) DESC, first_ord) AS INTEGER) AS place FROM g")
+def savings_by_client(spark, sf_dir):
+    return savings.by_client(_log(spark, sf_dir))
+
+
+@_query(f"WITH {_LOG} SELECT ord, ts, client, naive_tokens, targeted_tokens, saved_tokens FROM log ORDER BY ord DESC LIMIT 10")
+def recent_calls(spark, sf_dir):
+    return savings.recent(_log(spark, sf_dir))
+
+
+@_query("SELECT count(DISTINCT source) AS files, count(DISTINCT doc_id) AS chunks FROM documents")
+def index_stats(spark, sf_dir):
+    chunks = documents_as_chunks(spark, sf_dir)
+    return savings.index_stats(chunks.select("file_path").distinct(), chunks).select("files", "chunks")
+
+
+# --- parsing and streaming --------------------------------------------------------------
+
+
+@_query()
+def parse_python_chunks(spark, sf_dir):
+    from quarrylight.sources import samples, symbols
+
+    return symbols.parsed(spark.createDataFrame(samples.PYTHON, "file_path string, content string"))
+
+
+@_query()
+def parse_ts_chunks(spark, sf_dir):
+    from quarrylight.sources import samples, symbols
+
+    return symbols.parsed(spark.createDataFrame(samples.SCRIPTS, "file_path string, content string"))
+
+
+@_query()
+def stream_reindex(spark, sf_dir):
+    from quarrylight.streaming import reindex
+
+    return reindex.replay(spark, sf_dir)
