@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -52,6 +53,13 @@ def remove(*frames: DataFrame) -> None:
             if base.removeprefix("file:") in parent:
                 path = jvm.org.apache.hadoop.fs.Path(parent)
                 path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    release(frames[0].sparkSession)
+
+
+def release(spark: SparkSession) -> None:
+    """Lets go of shuffle files that no plan holds any more; the driver's collectors tell Spark which."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
 
 def columns_free(df: DataFrame, *needed: str) -> DataFrame:

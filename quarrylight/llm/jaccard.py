@@ -199,13 +199,19 @@ def _opened(rows: DataFrame, percent: int, n_tasks: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, members, group, edges = None, [], None, []
-        known: set[tuple[int, int]] = set()
+        above: dict[int, int] = {}  # a forest of what is connected within the part
+
+        def root(x: int) -> int:
+            while (up := above.setdefault(x, x)) != x:
+                above[x] = x = above[up]
+            return x
+
         for batch in batches:
             for grp, part, query, doc, tokens in zip(*(batch.column(i) for i in range(5)), strict=True):
                 at = (grp.as_py(), part.as_py())
                 if at != now:
                     now, members, group = at, [], None
-                    known = set()
+                    above.clear()
                 doc, tokens = doc.as_py(), np.frombuffer(tokens.as_py(), _U)
                 if not query.as_py():
                     members.append((doc, tokens))
@@ -214,15 +220,10 @@ def _opened(rows: DataFrame, percent: int, n_tasks: int) -> DataFrame:
                     continue
                 if group is None:
                     group = _Group(members)
-                links = [group.ids[i] for i in group.links(tokens, percent)]
-                links = [x for x in links if x != doc]
-                if links:
-                    # members that one query links are connected through it: one edge each, once
-                    for x in links[1:]:
-                        if (links[0], x) not in known:
-                            known.add((links[0], x))
-                            edges.append((links[0], x))
-                    edges.append((doc, links[0]))
+                for i in group.links(tokens, percent):
+                    if (one := root(doc)) != (other := root(group.ids[i])):
+                        above[one] = other
+                        edges.append((doc, group.ids[i]))
                 if len(edges) > 50_000:
                     yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*edges, strict=True)], names=["a", "b"])
                     edges = []
@@ -244,7 +245,7 @@ def _blocks(members: DataFrame, queries: DataFrame, tokens: DataFrame, percent:
 
 
 def _prefixes(texts: DataFrame, frequent, words: int, percent: int) -> DataFrame:
-    """id, n, first prefix token and all prefix tokens (as bytes) of each document with words."""
+    """id, n, smallest token and all prefix tokens (as bytes) of each document with words."""
     shared = texts.sparkSession.sparkContext.broadcast(frequent)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -254,7 +255,7 @@ def _prefixes(texts: DataFrame, frequent, words: int, percent: int) -> DataFrame
                 tokens = shingles(t.as_py(), words)
                 taken = prefix(tokens, *shared.value, percent) if len(tokens) else tokens
                 ns.append(len(tokens))
-                firsts.append(int(taken[:1].view(np.int64)[0]) if len(taken) else None)
+                firsts.append(int(tokens[:1].view(np.int64)[0]) if len(tokens) else None)  # the smallest hash: alike sets often share it
                 out.append(taken.tobytes())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ns, pa.int32()), pa.array(firsts, pa.int64()), pa.array(out, pa.binary())], names=["id", "n", "first", "prefix"])
 
@@ -274,11 +275,22 @@ def _pair_batch(pairs: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(pairs["id"]), pa.array(pairs["target"])], names=["id", "target"])
 
 
+def _may_link(a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
+    """Whether two sets that have met at a token of their prefixes can reach the threshold, were it their first.
+
+    Both orders agree, so what they share lies at or behind the places of their first common
+    token.  Too different sizes fail this too.
+    """
+    n, m = a["n"].astype(np.int64), b["n"].astype(np.int64)
+    least = -(-percent * (n + m) // (100 + percent))
+    return np.minimum(n - a["at"], m - b["at"]) >= least
+
+
 def _asked(here: np.ndarray, percent: int) -> Iterator[np.ndarray]:
     """Queries and target components among the documents that share one token.
 
-    Components stand by falling number of documents here; each asks those before it, unless
-    all sizes there are too far from the query's.
+    Components stand by falling number of documents here; each asks those before it that
+    have a document that may link.
     """
     names, where, sizes = np.unique(here["component"], return_inverse=True, return_counts=True)
     rank = np.empty(len(names), np.int64)
@@ -286,13 +298,14 @@ def _asked(here: np.ndarray, percent: int) -> Iterator[np.ndarray]:
     place = rank[where]
     order = np.argsort(place, kind="stable")
     here, place = here[order], place[order]
-    n = here["n"].astype(np.int64)
     first = np.flatnonzero(np.append(True, place[1:] != place[:-1]))
-    least, most, targets = np.minimum.reduceat(n, first), np.maximum.reduceat(n, first), here["component"][first]
-    for start in range(0, len(here), 256):
-        q = slice(start, start + 256)
-        fits = (place[q, None] > np.arange(len(names))) & (100 * n[q, None] >= percent * least) & (100 * most >= percent * n[q, None])
-        asking, asked = np.nonzero(fits)
+    targets = here["component"][first]
+    block = max(1, 2_000_000 // len(here))
+    for start in range(int(first[1]), len(here), block):  # the largest asks nobody
+        q = slice(start, start + block)
+        fits = _may_link(here[q][:, None], here[None, :], percent)
+        by_target = np.logical_or.reduceat(fits, first, axis=1) & (place[q, None] > np.arange(len(names)))
+        asking, asked = np.nonzero(by_target)
         yield _pairs(here["id"][q][asking], targets[asked])
 
 
@@ -303,7 +316,7 @@ def _candidates(prefixes: DataFrame, reps: DataFrame, percent: int, n_tasks: int
     documents there gives the queries.
     """
     bits = max(0, (n_tasks - 1).bit_length())
-    record = np.dtype([("token", "u8"), ("component", "i8"), ("id", "i8"), ("n", "i4")])
+    record = np.dtype([("token", "u8"), ("component", "i8"), ("id", "i8"), ("n", "i4"), ("at", "i4")])
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -315,6 +328,7 @@ def _candidates(prefixes: DataFrame, reps: DataFrame, percent: int, n_tasks: int
             rows["token"] = np.concatenate(tokens)
             for name, i in (("id", 0), ("n", 1), ("component", 3)):
                 rows[name] = np.repeat(batch.column(i).to_numpy(zero_copy_only=False), many)
+            rows["at"] = np.arange(len(rows)) - np.repeat(np.cumsum(many) - many, many)
             place = (rows["token"] >> _U(64 - bits)).astype(np.int32) if bits else np.zeros(len(rows), np.int32)
             order = np.argsort(place, kind="stable")
             rows, place = rows[order], place[order]
@@ -335,7 +349,7 @@ def _candidates(prefixes: DataFrame, reps: DataFrame, percent: int, n_tasks: int
         live, many = low != high, stops - starts
         twos = starts[live & (many == 2)]  # most lists: one query, one target
         one, two = rows[twos], rows[twos + 1]
-        fits = (100 * one["n"].astype(np.int64) >= percent * two["n"].astype(np.int64)) & (100 * two["n"].astype(np.int64) >= percent * one["n"].astype(np.int64))
+        fits = _may_link(one, two, percent)
         held = [_pairs(two["id"][fits], one["component"][fits])]
         size = len(held[0])
         for start, stop in zip(starts[live & (many > 2)].tolist(), stops[live & (many > 2)].tolist(), strict=True):
@@ -375,7 +389,7 @@ def classes(docs: DataFrame, percent: int = 80, words: int = 5, id_col: str = "d
     total = reps.agg(F.sum("n")).first()[0] or 0
     n_tasks = max(1, min(1 << 20, int(total * (100 - percent) / 100 / TOKENS_OF_TASK) + 1, 1 << 20), int(texts.sparkSession.sparkContext.defaultParallelism))
 
-    # first the families: documents with the same first token, each compared with some pivots
+    # first the families: documents with the same smallest token, each compared with some pivots
     prefixes = written(_prefixes(texts, frequent, words, percent), "jaccard-prefixes")
     firsts = written(prefixes.select("id", "first").join(reps.select("id"), "id", "left_semi"), "jaccard-firsts")
     family = firsts.groupBy(F.col("first").alias("grp")).agg(F.count("*").alias("many")).where("many > 1")
