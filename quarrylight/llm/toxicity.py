@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Labelled documents that the model is fitted on, at most; hashed features; least documents of a feature.
-SAMPLE, FEATURES, LEAST_DOCS = 10_000, 1 << 20, 6
+SAMPLE, FEATURES, LEAST_DOCS = 8_000, 1 << 20, 6
 #: A feature enters if its chi-square against "toxic at all" and its log odds ratio are at least so large.
 CHI_SQUARE, LOG_ODDS = 20.0, 2.0
 #: Lengths of the word beginnings that are features beside the word itself.
@@ -63,35 +63,33 @@ def _sums(values: np.ndarray, ptr: np.ndarray) -> np.ndarray:
     return np.add.reduceat(np.append(values, 0.0), np.minimum(ptr[:-1], len(values))) * (np.diff(ptr) > 0)
 
 
-def telling_features(row: np.ndarray, column: np.ndarray, width: int, grades: np.ndarray) -> np.ndarray:
+def telling_features(sets: list[np.ndarray], grades: np.ndarray) -> np.ndarray:
     """Which features tell grades above 0 from grade 0 in enough documents; common words that only follow length don't."""
-    in_row, of_column = np.divmod(np.unique(row.astype(np.int64) * width + column), max(1, width))
+    a, b = np.zeros(FEATURES), np.zeros(FEATURES)
+    for features, grade in zip(sets, grades, strict=True):
+        (a if grade > 0 else b)[np.unique(features)] += 1
     toxic = grades > 0
-    a = np.bincount(of_column, weights=toxic[in_row], minlength=width)
-    b = np.bincount(of_column, minlength=width) - a
     c, d = toxic.sum() - a, (~toxic).sum() - b
-    total = len(grades)
     with np.errstate(divide="ignore", invalid="ignore"):
-        chi = np.nan_to_num(total * (a * d - b * c) ** 2 / ((a + b) * (c + d) * (a + c) * (b + d)))
+        chi = np.nan_to_num(len(grades) * (a * d - b * c) ** 2 / ((a + b) * (c + d) * (a + c) * (b + d)))
     odds = np.abs(np.log((a + 0.5) * (d + 0.5) / ((b + 0.5) * (c + 0.5))))
     return (a + b >= LEAST_DOCS) & (chi >= CHI_SQUARE) & (odds >= LOG_ODDS)
 
 
-def fit(ptr: np.ndarray, ids: np.ndarray, grades: np.ndarray, steps: int = 400, ridge: float = 3e-5) -> Model:
+def fit(sets: list[np.ndarray], grades: np.ndarray, steps: int = 400, ridge: float = 3e-5) -> Model:
     """Maximum likelihood with a ridge, by gradient steps with adapted lengths (Adam).
 
-    ``ids[ptr[i]:ptr[i+1]]`` are the features of document i.  Thresholds are the first and
-    the logarithms of the gaps, so they stay in order.
+    ``sets[i]`` are the features of document i, once for each of its words that has them.
+    Thresholds are the first and the logarithms of the gaps, so they stay in order.
     """
     n, top = len(grades), int(grades.max(initial=0))
     top = max(top, 1)
-    kept, column = np.unique(ids, return_inverse=True)
-    row = np.repeat(np.arange(n), np.diff(ptr))
-    chosen = telling_features(row, column, len(kept), grades)
-    place = np.cumsum(chosen) - 1
-    use = chosen[column]
-    row, column, kept = row[use], place[column[use]], kept[chosen]
-    ptr = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=n))])
+    chosen = telling_features(sets, grades)
+    kept, place = np.flatnonzero(chosen), np.cumsum(chosen) - 1
+    few = [place[s[chosen[s]]] for s in sets]
+    column = np.concatenate([np.zeros(0, np.int64), *few])
+    row = np.repeat(np.arange(n), [len(f) for f in few])
+    ptr = np.concatenate([[0], np.cumsum([len(f) for f in few], dtype=np.int64)])
     w = np.zeros(len(kept))
     theta = np.concatenate([[1.0], np.zeros(top - 1)])
     params = np.concatenate([w, theta])
@@ -120,7 +118,7 @@ def fit(ptr: np.ndarray, ids: np.ndarray, grades: np.ndarray, steps: int = 400,
     return Model(kept, w, theta[0] + np.concatenate([[0.0], np.cumsum(np.exp(theta[1:]))]))
 
 
-def grades_of(labelled: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def grades_of(labelled: DataFrame) -> tuple[list[np.ndarray], np.ndarray]:
     """Features and severity grades of a bounded sample of labelled documents (text, toxic 0/1).
 
     Where labels only tell toxic from clean, the grade of a toxic document is the third in
@@ -135,8 +133,7 @@ def grades_of(labelled: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
             own = [np.array([xxhash.xxh32_intdigest(f"w{w}") % FEATURES for w in ws], np.int32).tobytes() for ws in words]
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(out, pa.binary()), pa.array(own, pa.binary())], names=["toxic", "features", "words"])
 
-    chosen = labelled.where("toxic IS NOT NULL AND doc_id IS NOT NULL").orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE)
-    held = chosen.select("text", F.col("toxic").cast("int").alias("toxic")).mapInArrow(run, "toxic int, features binary, words binary").toArrow()
+    held = labelled.select("text", F.col("toxic").cast("int").alias("toxic")).mapInArrow(run, "toxic int, features binary, words binary").toArrow()
     toxic = held["toxic"].to_numpy()
     sets = [np.frombuffer(x, np.int32) for x in held["features"].to_pylist()]
     words = [np.frombuffer(x, np.int32) for x in held["words"].to_pylist()]
@@ -146,8 +143,7 @@ def grades_of(labelled: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     number = np.array([telling[w].sum() for w in words])
     bounds = np.quantile(number[toxic == 1], [1 / 3, 2 / 3]) if (toxic == 1).any() else np.zeros(2)
     grades = np.where(toxic == 1, 1 + np.searchsorted(bounds, number, "right"), 0)
-    ptr = np.concatenate([[0], np.cumsum([len(s) for s in sets])])
-    return ptr, np.concatenate([np.zeros(0, np.int32), *sets]), np.minimum(grades, 3)
+    return sets, np.minimum(grades, 3)
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -180,5 +176,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
 def severity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Fits on the labelled documents and scores every document."""
-    known = labels.select(F.col("doc_id").alias("_id"), "toxic").where("toxic IS NOT NULL")
+    rated = labels.where("toxic IN (0, 1) AND doc_id IS NOT NULL").select(F.col("doc_id").alias("_id"), "toxic")
+    # SAMPLE rows at most, so the sample goes to the documents and no text is shuffled
+    known = F.broadcast(rated.orderBy(F.xxhash64("_id"), "_id").limit(SAMPLE))
     return score(docs, fit(*grades_of(docs.select("doc_id", "text").join(known, F.col("doc_id") == F.col("_id")).select("doc_id", "text", "toxic"))))
