@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Documents that the models are fitted on, at most; rounds of exchange; share labelled in a round.
-LABELLED, UNLABELLED, ROUNDS, SHARE = 6_000, 6_000, 4, 0.1
+LABELLED, UNLABELLED, ROUNDS, SHARE = 4_000, 4_000, 4, 0.1
 HASHED = 512
 _BINS = 10
 _MARKS = b"#$%&*|!?<>{}[]()=_~^\\/@\"':;,.-"
@@ -98,7 +98,7 @@ def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None, rid
     for _ in range(steps):
         p = _sigmoid(x @ w)
         grad = x.T @ (weight * (p - y)) + penalty * w
-        curve = np.maximum(weight * p * (1 - p), 1e-6)
+        curve = np.maximum(weight * p * (1 - p), 1e-6).astype(x.dtype)
         step = np.linalg.solve((x * curve[:, None]).T @ x + np.diag(penalty), grad)
         w -= step
         if np.abs(step).max() < 1e-5:
@@ -169,10 +169,14 @@ def _views(batch: pa.RecordBatch) -> tuple[list[np.ndarray], list[np.ndarray]]:
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Model:
     """A model from the labelled documents and unlabelled ones, both bounded samples by hash of the id."""
-    known = labels.where("quality IN (0, 1)").groupBy(F.col("doc_id").alias("_id")).agg(F.min("quality").cast("int").alias("y"))
-    rows = _narrow(docs, id_col, text_col).where("id IS NOT NULL").join(known, F.col("id") == F.col("_id"), "left")
-    by = [F.xxhash64("id"), F.col("id")]
-    chosen = rows.where("y IS NOT NULL").orderBy(*by).limit(LABELLED).unionByName(rows.where("y IS NULL").orderBy(*by).limit(UNLABELLED))
+    rows = _narrow(docs, id_col, text_col).where("id IS NOT NULL")
+    rated = labels.where("quality IN (0, 1)").groupBy(F.col("doc_id").alias("_id")).agg(F.min("quality").cast("int").alias("y"))
+    by = [F.xxhash64("_id"), F.col("_id")]
+    ids = rows.select(F.col("id").alias("_id")).distinct()
+    without = ids.join(rated, "_id", "left_anti").withColumn("y", F.lit(None).cast("int"))
+    # LABELLED + UNLABELLED rows at most, so the sample goes to the documents and no text is shuffled
+    sample = rated.join(ids, "_id", "left_semi").orderBy(*by).limit(LABELLED).unionByName(without.orderBy(*by).limit(UNLABELLED))
+    chosen = rows.join(F.broadcast(sample), F.col("id") == F.col("_id"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
