@@ -140,4 +140,5 @@ def counts(docs: DataFrame, vocab_path: str, pattern: str, eod: int, id_col: str
     if manifest.limit(1).count() == 0:
         return manifest.select(F.col("id").alias(id_col), F.lit(0).cast("long").alias("n_tokens"), "file", "ordinal")
     found = scan(spark, path, eod)
-    return manifest.join(found, ["file", "ordinal"]).select(F.col("id").alias(id_col), "n_tokens", "file", "ordinal")
+    # both sides have a row for each document: neither is for broadcasting
+    return manifest.join(found.hint("merge"), ["file", "ordinal"]).select(F.col("id").alias(id_col), "n_tokens", "file", "ordinal")
