@@ -334,6 +334,8 @@ def _member(width: int) -> np.dtype:
 
 def _sift(rows: np.ndarray) -> np.ndarray:
     """Each pair once, and the K nearest of each node."""
+    if not len(rows):
+        return rows
     rows = rows[np.lexsort((rows["of"], -rows["sim"], rows["to"]))]
     fresh = np.append(True, (rows["to"][1:] != rows["to"][:-1]) | (rows["of"][1:] != rows["of"][:-1]))
     rows = rows[fresh]
