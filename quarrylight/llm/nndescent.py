@@ -29,9 +29,9 @@ from pyspark.sql import functions as F
 from quarrylight.llm._common import remove, written
 
 #: Neighbours kept of a node, reverse ones used beside them, trees, rows of a leaf, rounds.
-K, REVERSE, TREES, LEAF, ROUNDS = 32, 24, 10, 512, 3
+K, REVERSE, TREES, LEAF, ROUNDS = 40, 32, 10, 512, 3
 #: Nodes that a query keeps in sight, those that it opens in a round, and its rounds.
-SIGHT, OPENED, STEPS = 96, 32, 4
+SIGHT, OPENED, STEPS = 192, 64, 4
 #: Vectors that the trees' planes are drawn from.
 SAMPLE = 8_192
 NODES_OF_BUCKET = 3_000
