@@ -432,6 +432,7 @@ def representatives(docs: DataFrame, percent: int = 80, words: int = 5, id_col:
     found = classes(docs, percent, words, id_col, text_col).where(F.col(id_col).isNotNull())
     keep = found.where((F.col("n_shingles") == 0) | (F.col(id_col) == F.col("component_id")))
     kept_ids = keep.groupBy(F.col(id_col).alias("_kept")).agg(F.sum(F.when(F.col("n_shingles") > 0, 1).otherwise(0)).alias("_times"))
+    kept_ids = written(kept_ids, "jaccard-kept")  # read twice below
     kept = docs.join(kept_ids, docs[id_col].cast("long") == F.col("_kept")).drop("_kept")
     once, repeated = kept.where("_times <= 1"), kept.where("_times > 1").dropDuplicates([id_col])
     return once.unionByName(repeated).drop("_times").unionByName(docs.where(F.col(id_col).isNull()))
