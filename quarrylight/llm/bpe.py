@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Entries after which a memo is emptied; a bound on memory, never on results.
-MEMO_ENTRIES = 400_000
+MEMO_ENTRIES = 250_000
 
 _codecs: dict[str, Codec] = {}
 

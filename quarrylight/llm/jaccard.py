@@ -45,7 +45,7 @@ class _Words(dict):
     """64-bit hash of each word, kept for the words seen; emptied when it has grown large."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 200_000:
+        if len(self) > 100_000:
             self.clear()
         value = self[word] = xxhash.xxh64_intdigest(word)
         return value
@@ -127,7 +127,7 @@ def _digests(texts: DataFrame, words: int) -> DataFrame:
                     seen.add(key)
                     held.append(tokens)
                     size += len(tokens)
-                    if size > 2_000_000:
+                    if size > 1_000_000:
                         count()
             none = pa.nulls(len(ns), pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ns, pa.int64()), pa.array(k1s, pa.int64()), pa.array(k2s, pa.int64()), none, none], names=["id", "n", "k1", "k2", "token", "count"])
@@ -319,7 +319,7 @@ def _candidates(prefixes: DataFrame, reps: DataFrame, percent: int, n_tasks: int
     record = np.dtype([("token", "u8"), ("component", "i8"), ("id", "i8"), ("n", "i4"), ("at", "i4")])
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(at, 2_000) for b in batches for at in range(0, b.num_rows, 2_000)):  # records take more room than prefixes
             tokens = [np.frombuffer(p, _U) for p in batch.column(2).to_pylist()]
             many = np.array([len(t) for t in tokens])
             rows = np.empty(int(many.sum()), record)

@@ -40,7 +40,7 @@ class _Slots(dict):
     """The hashed place of each word's shape and ending; emptied when it has grown large."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 400_000:
+        if len(self) > 50_000:
             self.clear()
         value = self[word] = xxhash.xxh32_intdigest(word) % HASHED
         return value
