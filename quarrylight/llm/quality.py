@@ -13,7 +13,8 @@ words; they get the score of their metadata and of an empty text.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import zlib
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -24,7 +25,9 @@ from pyspark.sql import functions as F
 
 #: Documents that the models are fitted on, at most; rounds of exchange; share labelled in a round.
 LABELLED, UNLABELLED, ROUNDS, SHARE = 4_000, 4_000, 4, 0.1
-HASHED = 512
+#: Hashed places of words, and upper ends of the bins of a place's share of a text's words; fixed values.
+PLACES, _PLACE_ENDS = 1 << 14, np.array([0.004, 0.016, 0.06])
+HASHED = PLACES * (len(_PLACE_ENDS) + 1)
 _BINS = 10
 _MARKS = b"#$%&*|!?<>{}[]()=_~^\\/@\"':;,.-"
 _UPPER, _DIGITS = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789"
@@ -36,21 +39,8 @@ META_HASHED = 256
 META_WIDTH = META_HASHED + 4 * 24
 
 
-class _Slots(dict):
-    """The hashed place of each word's shape and ending; emptied when it has grown large."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > 50_000:
-            self.clear()
-        value = self[word] = xxhash.xxh32_intdigest(word) % HASHED
-        return value
-
-
-_slots = _Slots()
-
-
 def text_features(text: str) -> np.ndarray:
-    """Features that are 1 in the content view: binned shares of marks and words, and hashed words."""
+    """Features that are 1 in the content view: binned shares of marks and words, and of each hashed place among the words."""
     data = text.encode("utf-8", "surrogatepass")
     words = data.split()
     n, size = max(1, len(words)), max(1, len(data))
@@ -61,7 +51,8 @@ def text_features(text: str) -> np.ndarray:
     shares = [data.count(bytes([m])) / n for m in _MARKS]
     shares += [plain / size, (len(data) - len(data.translate(None, _DIGITS))) / size, same / n, distinct / n, len(set(lines)) / len(lines), min(1.0, size / n / 40), min(1.0, len(words) / 2000), sum(w.isupper() for w in words[:: max(1, n // 200)]) / max(1, len(words[:: max(1, n // 200)]))]
     bins = np.searchsorted(_ENDS, shares) + HASHED + _BINS * np.arange(_STATS)
-    hashed = np.unique(np.fromiter(map(_slots.__getitem__, set(words)), np.int64, distinct)) if distinct <= 64 else np.zeros(0, np.int64)
+    places, counts = np.unique(np.fromiter(map(zlib.crc32, words), np.int64, len(words)) % PLACES, return_counts=True)
+    hashed = places * (len(_PLACE_ENDS) + 1) + np.searchsorted(_PLACE_ENDS, counts / n)
     return np.concatenate([hashed, bins])
 
 
@@ -106,30 +97,84 @@ def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None, rid
     return w
 
 
-def _dense(rows: list[np.ndarray], width: int) -> np.ndarray:
-    out = np.zeros((len(rows), width), np.float32)
-    for i, r in enumerate(rows):
-        out[i, r] = 1
-    return out
+class Sparse:
+    """Rows of features that are 1, with a constant as the last column."""
+
+    def __init__(self, rows: list[np.ndarray], width: int) -> None:
+        self.n, self.width, self.rows = len(rows), width, rows
+        self.at = np.concatenate([*rows, np.zeros(0, np.int64)]).astype(np.int64)
+        self.row = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
+
+    def __getitem__(self, which: np.ndarray) -> Sparse:
+        return Sparse([self.rows[i] for i in which], self.width)
+
+    def dot(self, w: np.ndarray) -> np.ndarray:
+        return np.bincount(self.row, w[self.at], self.n) + w[-1]
+
+    def back(self, r: np.ndarray) -> np.ndarray:
+        return np.append(np.bincount(self.at, r[self.row], self.width), r.sum())
+
+
+def conjugate(product: Callable[[np.ndarray], np.ndarray], diagonal: np.ndarray, b: np.ndarray, share: float = 0.1, most: int = 50) -> np.ndarray:
+    """Solves a positive definite system by conjugate gradients, until a share of the residual is left."""
+    x, r = np.zeros_like(b), b.copy()
+    z = r / diagonal
+    p, rz, enough = z, r @ z, share * np.linalg.norm(b)
+    for _ in range(most):
+        if np.linalg.norm(r) <= enough:
+            break
+        q = product(p)
+        a = rz / (p @ q)
+        x, r = x + a * p, r - a * q
+        z = r / diagonal
+        rz, before = r @ z, rz
+        p = z + rz / before * p
+    return x
+
+
+def sparse_logistic(x: Sparse, y: np.ndarray, weight: np.ndarray, start: np.ndarray | None = None, ridge: float = 1.0, steps: int = 30) -> np.ndarray:
+    """As ``logistic``, for many features: each Newton step is solved by conjugate gradients."""
+    w = np.zeros(x.width + 1) if start is None else start.copy()
+    penalty = np.append(np.full(x.width, ridge), 1e-6)
+    z = x.dot(w)
+    loss = lambda z, w: weight @ (np.logaddexp(0, z) - y * z) + penalty @ (w * w) / 2
+    now = loss(z, w)
+    for _ in range(steps):
+        p = _sigmoid(z)
+        grad = x.back(weight * (p - y)) + penalty * w
+        curve = np.maximum(weight * p * (1 - p), 1e-6)
+        step = conjugate(lambda v, c=curve: x.back(c * x.dot(v)) + penalty * v, x.back(curve) + penalty, grad)
+        along = x.dot(step)
+        size, then = 1.0, loss(z - along, w - step)
+        while then > now and size > 1e-4:
+            size /= 2
+            then = loss(z - size * along, w - size * step)
+        if then > now:
+            break
+        w, z, done = w - size * step, z - size * along, now - then < 1e-5 * abs(now)
+        now = then
+        if done:
+            break
+    return w
 
 
-def co_train(text: np.ndarray, meta: np.ndarray, y: np.ndarray) -> Model:
+def co_train(text: Sparse, meta: Sparse, y: np.ndarray) -> Model:
     """Fits both views; ``y`` is 0 or 1, or -1 where there is no label.
 
-    A fifth of the labels is held out for the calibrations and the combination.  In each
+    A fifth of the labels, drawn at random, is held out for the calibrations and the combination.  In each
     round, each view hands over its surest documents of either class, as many of each as
     the labels have, weighing half of a label.
     """
-    known = np.flatnonzero(y >= 0)
+    known = np.random.default_rng(5).permutation(np.flatnonzero(y >= 0))  # the rows' order may follow the labels
     held, fitted = known[::5], np.setdiff1d(known, known[::5])
     pool = np.flatnonzero(y < 0)
     views, given = (text, meta), ({}, {})  # given[v]: labels that the other view gave to view v
+    models = [None, None]
     for turn in range(ROUNDS + 1):
-        models = []
-        for x, extra in zip(views, given, strict=True):
+        for v, (x, extra) in enumerate(zip(views, given, strict=True)):
             rows = np.concatenate([fitted, np.array(list(extra), np.int64)])
             labels = np.concatenate([y[fitted], np.array(list(extra.values()))]).astype(float)
-            models.append(logistic(x[rows], labels, np.concatenate([np.ones(len(fitted)), np.full(len(extra), 0.5)])))
+            models[v] = sparse_logistic(x[rows], labels, np.concatenate([np.ones(len(fitted)), np.full(len(extra), 0.5)]), models[v])
         if turn == ROUNDS or not len(pool):
             break
         rate = float(np.mean(y[fitted])) if len(fitted) else 0.5
@@ -137,13 +182,13 @@ def co_train(text: np.ndarray, meta: np.ndarray, y: np.ndarray) -> Model:
             left = np.array([i for i in pool if i not in given[1 - v]])
             if not len(left):
                 continue
-            p = _sigmoid(views[v][left] @ models[v][:-1] + models[v][-1])
+            p = _sigmoid(views[v][left].dot(models[v]))
             order = np.argsort(p)
             many = SHARE * len(pool)
             low, high = order[: int(many * (1 - rate))], order[::-1][: int(many * rate)]
             given[1 - v].update({int(left[i]): 0 for i in low if p[i] < 0.1})
             given[1 - v].update({int(left[i]): 1 for i in high if p[i] > 0.9})
-    logits = [x[held] @ w[:-1] + w[-1] for x, w in zip(views, models, strict=True)]
+    logits = [x[held].dot(w) for x, w in zip(views, models, strict=True)]
     scales = [tuple(logistic(z[:, None], y[held].astype(float))) for z in logits]
     calibrated = np.column_stack([a * z + b for z, (a, b) in zip(logits, scales, strict=True)])
     return Model(models[0], models[1], scales[0], scales[1], logistic(calibrated, y[held].astype(float)))
@@ -185,7 +230,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             yield pa.RecordBatch.from_arrays([batch.column(4), pack(text), pack(meta)], names=["y", "text", "meta"])
 
     held = chosen.select("id", "text", "lang", "source", "y").mapInArrow(run, "y int, text binary, meta binary").toArrow()
-    unpack = lambda c, width: _dense([np.frombuffer(x, np.int32) for x in held[c].to_pylist()], width)
+    unpack = lambda c, width: Sparse([np.frombuffer(x, np.int32) for x in held[c].to_pylist()], width)
     y = np.array([-1 if v is None else v for v in held["y"].to_pylist()], np.int64)
     return co_train(unpack("text", TEXT_WIDTH), unpack("meta", META_WIDTH), y)
 

@@ -358,6 +358,16 @@ def test_quality_on_held_out_rows(spark):
     assert quality.kept(table.where("false"), model).count() == 0
 
 
+def test_quality_sees_the_words_of_long_texts(spark):
+    rng = random.Random(3)
+    words = [[f"{c}{'abcdefghij'[k // 26]}{'abcdefghijklmnopqrstuvwxyz'[k % 26]}" for k in range(200)] for c in "xy"]
+    bad = [rng.random() < 0.5 for _ in range(400)]
+    table = make(spark, [(i, " ".join(rng.sample(words[b], 150)), "en", "s1") for i, b in enumerate(bad)])
+    labels = spark.createDataFrame([(i, int(not b), 0) for i, b in enumerate(bad) if i < 300], "doc_id long, quality int, toxic int")
+    rows = {r["doc_id"]: r["keep"] for r in quality.score(table, quality.fit(table, labels)).collect()}
+    assert sum(rows[i] == bad[i] for i in range(300, 400)) <= 2
+
+
 def test_pipeline_stages(spark, tmp_path):
     table, labels = labelled(spark)
     extra = make(spark, [(2000, table.where("doc_id = 2").first()["text"] + " extra", "en", "s0"), (2001, "write a@b.co or john (at) mail (dot) com " + " ".join(f"k{i}" for i in range(40)), "en", "s2")])
