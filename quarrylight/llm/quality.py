@@ -49,7 +49,7 @@ def text_features(text: str) -> np.ndarray:
     distinct = len(set(words))
     lines = data.split(b"\n")
     shares = [data.count(bytes([m])) / n for m in _MARKS]
-    shares += [plain / size, (len(data) - len(data.translate(None, _DIGITS))) / size, same / n, distinct / n, len(set(lines)) / len(lines), min(1.0, size / n / 40), min(1.0, len(words) / 2000), sum(w.isupper() for w in words[:: max(1, n // 200)]) / max(1, len(words[:: max(1, n // 200)]))]
+    shares += [plain / size, (len(data) - len(data.translate(None, _DIGITS))) / size, same / n, distinct / n, len(set(lines)) / len(lines), min(1.0, size / n / 40), min(1.0, len(words) / 2000), sum(map(bytes.isupper, words)) / n]
     bins = np.searchsorted(_ENDS, shares) + HASHED + _BINS * np.arange(_STATS)
     places, counts = np.unique(np.fromiter(map(zlib.crc32, words), np.int64, len(words)) % PLACES, return_counts=True)
     hashed = places * (len(_PLACE_ENDS) + 1) + np.searchsorted(_PLACE_ENDS, counts / n)

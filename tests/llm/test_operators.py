@@ -368,6 +368,16 @@ def test_quality_sees_the_words_of_long_texts(spark):
     assert sum(rows[i] == bad[i] for i in range(300, 400)) <= 2
 
 
+def test_quality_counts_every_upper_case_word():
+    words = ["low"] * 1200
+    quiet = quality.text_features(" ".join(words))
+    for i in range(1200):
+        if i % 6:
+            words[i] = "LOW"
+    place = lambda x: [i for i in x if i >= quality.TEXT_WIDTH - quality._BINS]
+    assert place(quiet) != place(quality.text_features(" ".join(words)))
+
+
 def test_pipeline_stages(spark, tmp_path):
     table, labels = labelled(spark)
     extra = make(spark, [(2000, table.where("doc_id = 2").first()["text"] + " extra", "en", "s0"), (2001, "write a@b.co or john (at) mail (dot) com " + " ".join(f"k{i}" for i in range(40)), "en", "s2")])
