@@ -68,33 +68,45 @@ def greedy(ranked: list[str], edges: dict[str, list[str]], chunks: dict[str, dic
     return taken
 
 
-def closure(ranked: DataFrame, edges: DataFrame, most_hops: int = 64) -> DataFrame:
+def closure(ranked: DataFrame, edges: DataFrame, most_hops: int | None = None, sizes: DataFrame | None = None, most_size: int | None = None) -> DataFrame:
     """qid and chunk_id of everything that can be reached from the ranked chunks.
 
-    One join a hop until nothing is new.  Checkpoints end the lineage.
+    One join a hop until nothing is new.  Checkpoints end the lineage.  With ``sizes``
+    (chunk_id, size), paths are followed as long as the sizes on them sum to ``most_size``
+    at most.
     """
-    seen = ranked.select("qid", "chunk_id").distinct()
-    frontier = seen
-    for _ in range(most_hops):
-        step = frontier.join(edges, frontier.chunk_id == edges.src).select("qid", F.col("dst").alias("chunk_id")).distinct()
-        frontier = step.join(seen, ["qid", "chunk_id"], "left_anti").checkpoint()
+    sizes = edges.select(F.col("dst").alias("chunk_id")).unionByName(ranked.select("chunk_id")).distinct().withColumn("size", F.lit(0).cast("long")) if sizes is None else sizes
+    links = edges.join(sizes, F.col("dst") == F.col("chunk_id")).select("src", "dst", "size").distinct().checkpoint()
+    seen = ranked.select("qid", "chunk_id").distinct().join(sizes, "chunk_id").select("qid", "chunk_id", F.col("size").alias("cost")).checkpoint()
+    frontier, hop = seen, 0
+    while most_hops is None or hop < most_hops:
+        step = frontier.join(links, frontier.chunk_id == links.src).select("qid", F.col("dst").alias("chunk_id"), (F.col("cost") + F.col("size")).alias("cost"))
+        step = step if most_size is None else step.where(F.col("cost") <= most_size)
+        had = seen.withColumnRenamed("cost", "_had")
+        frontier = step.groupBy("qid", "chunk_id").agg(F.min("cost").alias("cost")).join(had, ["qid", "chunk_id"], "left").where("_had IS NULL OR cost < _had").drop("_had").checkpoint()
         if frontier.isEmpty():
             break
-        seen = seen.unionByName(frontier)
-    return seen
+        seen, hop = seen.unionByName(frontier).groupBy("qid", "chunk_id").agg(F.min("cost").alias("cost")).checkpoint(), hop + 1
+    return seen.select("qid", "chunk_id")
 
 
-def pack(ranked: DataFrame, chunks: DataFrame, edges: DataFrame, limit: int, counter: Callable[[str], int] = quarter_length, hops: int = 2) -> DataFrame:
+def pack(ranked: DataFrame, chunks: DataFrame, edges: DataFrame, limit: int, counter: Callable[[str], int] = quarter_length, hops: int | None = None) -> DataFrame:
     """qid, place, chunk_id: what is packed for each query within ``limit`` tokens.
 
     Code travels for the closure's chunks and modules alone; other symbols of their files
-    go as one line.  ``hops`` bounds how far dependencies are followed ahead of packing.
+    go as one line.  Dependencies are followed until nothing is new, or for ``hops``.  A
+    chunk is only looked at when all before it on some path were taken, and the view holds
+    the code of each of them, so paths whose code alone is over the limit end there; this
+    holds for the fallback rule, with other counters the whole closure is packed.
     """
-    reach = closure(ranked.where(F.col("rank") <= MOST_PRIMARY), edges, hops)
+    ranked = ranked.where(F.col("rank") <= MOST_PRIMARY)
+    plain = counter is quarter_length
+    sizes = chunks.select("chunk_id", F.when(F.col("kind") == "module", 0).otherwise(T.utf16_length(F.coalesce("code", F.lit("")))).cast("long").alias("size")) if plain else None
+    reach = closure(ranked, edges, hops, sizes, 4 * limit if plain else None)
     paths = reach.join(chunks.select("chunk_id", "file_path"), "chunk_id").select("qid", "file_path").distinct()
     inside = reach.withColumn("_in", F.lit(True))
     members = paths.join(chunks, "file_path").join(inside, ["qid", "chunk_id"], "left").join(ranked.select("qid", "chunk_id", "rank"), ["qid", "chunk_id"], "left")
-    code = F.when(F.col("_in") | (F.col("kind") == "module"), F.col("code"))
+    code = F.when(F.col("_in") | (F.col("kind") == "module"), F.coalesce("code", F.lit("")))
     out = edges.groupBy(F.col("src").alias("chunk_id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "dst"))), lambda e: e["dst"]).alias("deps"))
     rows = members.join(out, "chunk_id", "left").select("qid", "chunk_id", "file_path", "symbol_name", "kind", "start_line", "end_line", "ord", "rank", "deps", code.alias("code"), T.signature(F.col("code")).alias("signature"))
     kind = rows.schema["chunk_id"].dataType.simpleString()

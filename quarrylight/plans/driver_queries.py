@@ -375,7 +375,7 @@ def ghost_context(spark, sf_dir):
 @_query()
 def budget_pack(spark, sf_dir):
     chunks = documents_as_chunks(spark, sf_dir)
-    ranked = rank.rank(chunks, batch(spark), 10)
+    ranked = rank.rank(chunks, batch(spark), budget.MOST_PRIMARY)
     edges = chunks.select(F.col("chunk_id").alias("src"), (F.col("chunk_id") + 1).alias("dst"), F.lit(1).alias("pos")).join(chunks.select(F.col("chunk_id").alias("dst")), "dst", "left_semi")
     return budget.pack(ranked, chunks, edges, 20_000)
 

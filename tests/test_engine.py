@@ -83,6 +83,15 @@ def test_budget_keeps_the_first_and_skips(spark):
     assert sizes == sorted(sizes) and sizes[0] == 1 and sizes[-1] == 3
 
 
+def test_budget_follows_a_long_chain(spark):
+    many = 70
+    rows = [("a.ts", "D0", "function", "alpha beta", ["a.ts::D1"], None)]
+    rows += [("a.ts", f"D{i}", "function", f"d{i}", [f"a.ts::D{i + 1}"] if i < many else None, None) for i in range(1, many + 1)]
+    table = chunks(spark, *rows)
+    packed = budget.pack(rank.rank(table, asked(spark, "alpha beta"), budget.MOST_PRIMARY), table, expand.dependencies(table), 20_000)
+    assert [r["chunk_id"] for r in packed.orderBy("place").collect()] == [f"a.ts::D{i}" for i in range(many + 1)]
+
+
 def test_savings(spark, tmp_path):
     log = tmp_path / "log.jsonl"
     log.write_text('{"ts":"2024-01-02T0","client":"a","query":"q","chunks":1,"naiveTokens":1000,"targetedTokens":300,"savedTokens":700}\n\n{"ts":"2024-01-03T0","client":"b","query":"q","chunks":1,"naiveTokens":500,"targetedTokens":200,"savedTokens":300}\n{"ts":"x","savedTok\n{"ts":"2024-01-04T0","client":"b","query":"q","chunks":1,"naiveTokens":500,"targetedTokens":100,"savedTokens":400}\n')
