@@ -123,13 +123,13 @@ _OPEN, _CLOSE = r"[ \t]*[\[({<]+[ \t]*", r"[ \t]*[\])}>]+[ \t]*"
 _words = lambda words: "|".join(sorted(words, key=len, reverse=True))
 _BRACKETED = re.compile(rf"{_OPEN}(?:(?P<at>@|{_words(AT_WORDS)})|(?P<dot>\.|{_words(DOT_WORDS)})){_CLOSE}", re.I)
 _BRACKET = re.compile(rf"[\[({{<][ \t]*(?:@|\.|{_words(AT_WORDS + DOT_WORDS)})[ \t]*[\])}}>]", re.I)
-_BARE = re.compile(rf"(?<=[A-Za-z0-9])[ \t]+(?:{_words(AT_WORDS)})[ \t]+(?=[A-Za-z0-9-]+(?:[ \t]+(?:{_words(DOT_WORDS)})[ \t]+[A-Za-z0-9-]+)+)", re.I)
+_BARE = re.compile(rf"(?<=[A-Za-z0-9])[ \t]+(?:{_words(AT_WORDS)})[ \t]+(?=(?P<domain>[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)*+)(?P<dot>[ \t]+(?:{_words(DOT_WORDS)})[ \t]+[A-Za-z0-9-])?)", re.I)
 _BARE_DOT = re.compile(rf"[ \t]+(?:{_words(DOT_WORDS)})[ \t]+(?=[A-Za-z0-9])", re.I)
 _DIGIT = rf"(?:{_words(DIGIT_WORDS)}|[0-9])"
 _JOIN = rf"(?:[ ,\-]{{1,3}}|[ \t]+(?:{_words(DOT_WORDS)})[ \t]+)"
 _SPELLED = re.compile(rf"(?:(?:{_words(PLUS_WORDS)})[ -]+)?{_DIGIT}(?:{_JOIN}{_DIGIT}){{3,}}(?![^\W_])", re.I)
 _ITEM = re.compile(rf"(?P<plus>{_words(PLUS_WORDS)})|(?P<digit>{_DIGIT})|(?P<dot>{_words(DOT_WORDS)})", re.I)
-_DOT_NEAR = tuple(f" {w} " for word in DOT_WORDS for w in (word, word.upper(), word.capitalize()))
+_LABEL = re.compile(r"\.?[A-Za-z0-9-]+")
 
 
 class Normalised:
@@ -168,14 +168,30 @@ class Normalised:
         return "".join(self.chars)
 
 
+def _folded(text: str) -> str:
+    """Lower case, with all that ``re.I`` takes for a plain letter made plain."""
+    return text.lower() if text.isascii() else text.replace("İ", "i").replace("ı", "i").casefold()
+
+
 def _spells(text: str) -> bool:
-    """Whether three digit words follow each other somewhere."""
-    return b"\1\1\1" in bytes(map(DIGIT_WORDS.__contains__, text.lower().replace(",", " ").replace("-", " ").split()))
+    """Whether two digits or digit words, as inside every match of ``_SPELLED``, follow each other, with a dot word between or not."""
+    kinds = bytes(map(_KIND.get, words := _folded(text).replace(",", " ").replace("-", " ").split(), [0] * len(words)))
+    return b"\1\1" in kinds or b"\1\2\1" in kinds
+
+
+_KIND = dict.fromkeys(map(_folded, DOT_WORDS), 2) | dict.fromkeys([*map(_folded, DIGIT_WORDS), *"0123456789"], 1)
 
 
 def disguised(text: str) -> tuple[bool, bool, bool]:
-    """Which transducers a text needs: lookalikes, at/dot words, spelled digits."""
-    return (not text.isascii() and bool(_GLYPH.search(text)), bool(_BRACKET.search(text)) or any(w in text for w in _DOT_NEAR), _spells(text))
+    """Which transducers a text needs: lookalikes, at/dot words, spelled digits.
+
+    The latter two work on what the first one wrote, so that is looked at, by conditions
+    that hold wherever their patterns match.
+    """
+    glyphs = not text.isascii() and bool(_GLYPH.search(text))
+    plain = _GLYPH.sub(lambda m: GLYPHS.get(m[0], m[0]), text) if glyphs else text
+    folded = _folded(plain)
+    return (glyphs, any(w in folded for w in DOT_WORDS) or bool(_BRACKET.search(plain)), _spells(plain))
 
 
 def normalise(text: str, glyphs: bool = True, words: bool = True, digits: bool = True) -> Normalised:
@@ -188,7 +204,7 @@ def normalise(text: str, glyphs: bool = True, words: bool = True, digits: bool =
         for m in _SPELLED.finditer(now):
             if m.start() and (now[m.start() - 1].isalnum() or now[m.start() - 1] == "_"):
                 continue
-            new = [(("+" if i.lastgroup == "plus" else "." if i.lastgroup == "dot" else DIGIT_WORDS.get(i[0].lower(), i[0])), *i.span()) for i in _ITEM.finditer(now, *m.span())]
+            new = [(("+" if i.lastgroup == "plus" else "." if i.lastgroup == "dot" else DIGIT_WORDS.get(i[0].lower(), DIGIT_WORDS.get(_folded(i[0]), i[0]))), *i.span()) for i in _ITEM.finditer(now, *m.span())]
             edits.append((*m.span(), new))
         out.rewrite(edits)
     if words:
@@ -196,13 +212,20 @@ def normalise(text: str, glyphs: bool = True, words: bool = True, digits: bool =
         out.rewrite([(*m.span(), [("@" if m["at"] else ".", *m.span())]) for m in _BRACKETED.finditer(now)])
         now, edits = out.text, []
         for m in _BARE.finditer(now):
-            if edits and m.start() < edits[-1][1]:
-                continue
-            edits.append((*m.span(), [("@", *m.span())]))
-            at = re.compile(r"[A-Za-z0-9-]+").match(now, m.end())
-            while at and (dot := _BARE_DOT.match(now, at.end())):
-                edits.append((*dot.span(), [(".", *dot.span())]))
-                at = re.compile(r"[A-Za-z0-9-]+").match(now, dot.end())
+            # a plain dot counts when it was bracketed, or else every "at" before a host name would
+            low, high = m.span("domain")
+            if m["dot"] or (re.search("[A-Za-z]", m["domain"]) and any(out.changed[i] and now[i] == "." for i in range(low, high))):
+                edits.append((*m.span(), [("@", *m.span())]))
+        out.rewrite(edits)
+        now, edits, at = out.text, [], -1
+        while (at := now.find("@", at + 1)) >= 0:
+            label = _LABEL.match(now, at + 1)
+            while label:
+                end = label.end()
+                if dot := _BARE_DOT.match(now, end):
+                    edits.append((*dot.span(), [(".", *dot.span())]))
+                    end = dot.end()
+                label = _LABEL.match(now, end) if dot or now[end : end + 1] == "." else None
         out.rewrite(edits)
     return out
 

@@ -138,6 +138,24 @@ def test_pii_disguises_map_back(text, kind, span):
     assert f"[{kind.upper()}]" in pii.masked(text)
 
 
+@pytest.mark.parametrize(
+    ("text", "kind", "span"),
+    [
+        ("host eight dot eight dot four dot four now", "ip", "eight dot eight dot four dot four"),
+        ("host 8 dot 8 dot 4 dot 4 now", "ip", "8 dot 8 dot 4 dot 4"),
+        ("to john（at）example（dot）com now", "email", "john（at）example（dot）com"),
+        ("to john [\u0430t] example [d\u043et] com now", "email", "john [\u0430t] example [d\u043et] com"),
+        ("to john at example\tdot\tcom now", "email", "john at example\tdot\tcom"),
+        ("to john  aT  example  dOt  com now", "email", "john  aT  example  dOt  com"),
+        ("to john [at] example dot com now", "email", "john [at] example dot com"),
+        ("to john at example [dot] com now", "email", "john at example [dot] com"),
+        ("to john@mail.example dot com now", "email", "john@mail.example dot com"),
+    ],
+)
+def test_pii_gate_is_no_narrower_than_the_transducers(text, kind, span):
+    assert (kind, span) in {(s.kind, text[s.start : s.end]) for s in pii.scan(text)[1]}
+
+
 def test_pii_tables(spark, docs, empty):
     assert pii.scan("look at this, a dot. One or two of three at home")[1] == []
     rows = make(spark, [(1, "a@b.co and 1.2.3.4", "en", "s"), (2, None, "en", "s"), (2, "", "en", "s")])
