@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-import gc
+import re
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,20 +16,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that ``spark.checkpoint.dir`` names; a temporary one where it is unset.
+    """The folder that ``spark.checkpoint.dir`` names, or that was set on the session's context.
 
-    The setting wins.  A local folder is made up only in a session without it, as in tests,
-    where the driver and the executors are one process.
+    Where both are missing, a session within one process (as in tests) gets a folder of its own;
+    on a cluster that would lose files, so there it is an error.
     """
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    own = spark.sparkContext.getCheckpointDir()
-    if not own:
-        own = tempfile.mkdtemp(prefix="quarrylight-checkpoint-")
-        spark.sparkContext.setCheckpointDir(own)
-        own = spark.sparkContext.getCheckpointDir()
-    return own.rstrip("/")
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not named:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="quarrylight-"))
+        named = spark.sparkContext.getCheckpointDir()
+    return named.rstrip("/")
 
 
 def written(df: DataFrame, label: str) -> DataFrame:
@@ -53,15 +52,26 @@ def remove(*frames: DataFrame) -> None:
             if base.removeprefix("file:") in parent:
                 path = jvm.org.apache.hadoop.fs.Path(parent)
                 path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-    release(frames[0].sparkSession)
 
 
-def release(spark: SparkSession) -> None:
-    """Lets go of shuffle files that no plan holds any more; the driver's collectors tell Spark which."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+#: Bytes of rows that go to a Python worker at once: with whole texts, memory is what bounds a batch.
+BATCH_BYTES = 8 << 20
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
-def columns_free(df: DataFrame, *needed: str) -> DataFrame:
-    """Keeps the named columns only, so that extra columns of any name can't clash later."""
-    return df.select(*[df[name] for name in needed])
+def small_batches(spark: SparkSession) -> None:
+    """Lowers the session's bound on the bytes of an Arrow batch to BATCH_BYTES; a lower one stays."""
+    now = spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(_BATCH, "64m"))
+    if not 0 < now <= BATCH_BYTES:
+        spark.conf.set(_BATCH, str(BATCH_BYTES))
+
+
+def reserved(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """The table with columns named by place, so that none can clash with an operator's own, and where each name went."""
+    names = {c: f"__{i}" for i, c in enumerate(df.columns)}
+    return df.toDF(*names.values()), names
+
+
+def original(df: DataFrame, like: DataFrame) -> DataFrame:
+    """Columns named by :func:`reserved` under their own names again; others go."""
+    return df.select(*[F.col(f"__{i}").alias(c) for i, c in enumerate(like.columns)])

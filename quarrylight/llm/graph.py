@@ -1,16 +1,12 @@
-"""Connected components of an edge table, and a Bloom filter of fixed size."""
+"""Connected components of an edge table."""
 
 from __future__ import annotations
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarrylight.llm._common import remove, written
 
-BLOOM_BITS = 26
-
 
 def components(edges: DataFrame) -> DataFrame:
     """``node`` and ``component`` (the smallest node that it reaches) for every node of edges ``a``, ``b``.
@@ -34,33 +30,3 @@ def components(edges: DataFrame) -> DataFrame:
         if not changed:
             remove(both)
             return labels
-
-
-def bloom(ids: DataFrame, column: str) -> bytes:
-    """A Bloom filter of the column's longs: 2 ** BLOOM_BITS bits, however many ids there are.
-
-    Beyond some ten million ids it lets more strangers through; it never loses an id.
-    """
-    seeds = F.array(*[F.lit(s) for s in (1, 2, 3)])
-    spots = ids.where(F.col(column).isNotNull()).select(F.explode(F.transform(seeds, lambda s: F.shiftrightunsigned(F.xxhash64(F.col(column), s), 64 - BLOOM_BITS))).alias("bit"))
-    words = spots.groupBy(F.shiftright("bit", 6).cast("int").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(bit & 63L AS INT))")).alias("mask"))
-    out = np.zeros(1 << (BLOOM_BITS - 6), np.int64)
-    held = words.toArrow()  # as many rows as the filter has words, at most
-    out[held["word"].to_numpy()] = held["mask"].to_numpy()
-    return out.tobytes()
-
-
-def probable(ids: DataFrame, column: str, held: bytes, spark) -> DataFrame:
-    """Rows whose id the filter holds, and a few others; rows stay in the JVM, ids alone go to Python."""
-    shared = spark.sparkContext.broadcast(held)
-
-    def run(one: pa.Array, two: pa.Array, three: pa.Array) -> pa.Array:
-        words = np.frombuffer(shared.value, np.int64)
-        keep = np.ones(len(one), np.int64)
-        for bits in (one, two, three):
-            bit = bits.to_numpy(zero_copy_only=False)
-            keep &= words[bit >> 6] >> (bit & 63)
-        return pa.array(keep & 1 == 1)
-
-    spot = [F.shiftrightunsigned(F.xxhash64(F.col(column), F.lit(s)), 64 - BLOOM_BITS) for s in (1, 2, 3)]
-    return ids.where(F.arrow_udf(run, "boolean")(*spot))

@@ -1,11 +1,16 @@
 """Exact Jaccard join on word shingles with a token-group matrix.
 
-Documents that are alike are put into groups; a group keeps the union of its members'
-tokens, so the number of a query's tokens in the union bounds its overlap with every
-member.  Only groups whose bound reaches the threshold are opened and compared member by
-member.  Which groups a query has to see at all comes from a prefix filter: documents that
-reach the threshold share one of the first few tokens of each, in any fixed order of all
-tokens.  Here the order puts frequent tokens last, rarer ones first, by hash among those.
+Documents that are alike are put into groups; the union of a group's tokens is stored once,
+as a bitmap of hashed tokens.  A query's bitmap against the union bounds its overlap with
+every member; only groups whose bound reaches the threshold are opened, and only then do
+token sets travel and get compared member by member.  Which groups a query has to see at
+all comes from a prefix filter: documents that reach the threshold share one of the first
+few tokens of each, in any fixed order of all tokens.  Here the order puts frequent tokens
+last, rarer ones first, by hash among those.
+
+Each text is cut into shingles twice: for its digest, bitmap (two to four bits for each
+token) and the counts of tokens, then for its prefix, which needs those counts.  Token sets
+are made a third time for opened groups and queries alone.
 
 Copies (equal token sets) are one representative.  What is already known to be connected is
 never compared again, so large families of near copies cost about their size, not its
@@ -24,16 +29,20 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarrylight.llm import graph
-from quarrylight.llm._common import remove, written
+from quarrylight.llm._common import original, remove, reserved, small_batches, written
 
 #: Tokens that the order puts last, at most: a bound on the broadcast, not on what is joined.
 FREQUENT = 1 << 17
 #: Documents of one part of the corpus that share a token before it counts as frequent.
 FREQUENT_FROM = 2
-#: Documents of a family that the others are first compared with.
+#: Documents of a family that the others are first compared with, about.
 PIVOTS = 32
 #: Members of a group, tokens of a group, and queries that are compared with it in one task.
-GROUP, GROUP_TOKENS, QUERIES = 256, 250_000, 1024
+GROUP, GROUP_TOKENS, QUERIES = 32, 250_000, 1024
+#: Documents whose texts are picked by a broadcast of their ids; beyond, by a shuffle of the texts.
+PICKED = 2_000_000
+#: Parts into which the rows of one key are dealt in joins with a table of few rows for each key.
+SALTS = 16
 #: Prefix tokens that one task sorts.
 TOKENS_OF_TASK = 500_000
 
@@ -98,49 +107,96 @@ def _text(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary").alias("text"))
 
 
+def signature(tokens: np.ndarray) -> np.ndarray:
+    """A bitmap with a bit for each token: a power of two of bits, at least two for each token and 64 in all.
+
+    A token's place is its low bits, so the halves of a bitmap, joined by or, are the bitmap
+    of half the size.
+    """
+    bits = max(64, 1 << max(0, 2 * len(tokens) - 1).bit_length())
+    held = np.zeros(bits, bool)
+    held[(tokens & _U(bits - 1)).astype(np.int64)] = True
+    return np.packbits(held, bitorder="little")
+
+
+def folded(held: np.ndarray, size: int) -> np.ndarray:
+    """Bitmaps (the last axis) at a smaller number of bytes."""
+    while held.shape[-1] > size:
+        half = held.shape[-1] // 2
+        held = held[..., :half] | held[..., half:]
+    return held
+
+
+def most_overlap(query: np.ndarray, n: int, unions: np.ndarray) -> np.ndarray:
+    """A bound on the tokens that a query of n tokens shares with any set within each union (rows of bitmaps).
+
+    Shared tokens stand at places that both bitmaps hold; at most as many more are shared as
+    the query has tokens that fell on an earlier one's place.
+    """
+    size = min(len(query), unions.shape[-1])
+    query = folded(query, size)
+    both = np.bitwise_count(folded(unions, size) & query).sum(axis=-1, dtype=np.int64)
+    return both + (n - int(np.bitwise_count(query).sum(dtype=np.int64)))
+
+
 def _digests(texts: DataFrame, words: int) -> DataFrame:
-    """A row for each document (id, n, k1, k2), and rows for tokens that a part of the corpus repeats (token, count)."""
+    """A row for each document (id, n, k1, k2, first, sig), and rows for tokens that a part of the corpus repeats (token, count)."""
+    schema = pa.schema([(c, pa.int64()) for c in ("id", "n", "k1", "k2", "first")] + [("sig", pa.binary()), ("token", pa.int64()), ("count", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
         size = 0
-        counts: list[tuple[np.ndarray, np.ndarray]] = []
+        counts = np.zeros(0, _COUNTED)
         seen: set[int] = set()
 
-        def count() -> None:
-            nonlocal held, size
+        def counted(more: np.ndarray) -> np.ndarray:
+            token, where = np.unique(more["token"], return_inverse=True)
+            out = np.zeros(len(token), _COUNTED)
+            out["token"], out["count"] = token, np.bincount(where, weights=more["count"], minlength=len(token))
+            return out
+
+        def repeated() -> np.ndarray:
             token, times = np.unique(np.concatenate(held), return_counts=True)
-            more = times >= 2
-            counts.append((token[more], times[more]))
-            held, size = [], 0
+            out = np.zeros(int((times >= FREQUENT_FROM).sum()), _COUNTED)
+            out["token"], out["count"] = token[times >= FREQUENT_FROM], times[times >= FREQUENT_FROM]
+            held.clear()
             seen.clear()
+            return out
+
+        def told(rows: np.ndarray) -> pa.RecordBatch:
+            none = pa.nulls(len(rows), pa.int64())
+            return pa.RecordBatch.from_arrays([none] * 5 + [pa.nulls(len(rows), pa.binary()), pa.array(rows["token"].view(np.int64)), pa.array(rows["count"])], schema=schema)
 
         for batch in batches:
-            ns, k1s, k2s = [], [], []
+            ns, k1s, k2s, firsts, sigs = [], [], [], [], []
             for text in batch.column(1):
                 tokens = shingles(text.as_py(), words)
                 key = xxhash.xxh3_128_intdigest(tokens.tobytes())
                 ns.append(len(tokens))
                 k1s.append((key >> 64) - (1 << 63))
                 k2s.append((key & ((1 << 64) - 1)) - (1 << 63))
+                firsts.append(int(tokens[:1].view(np.int64)[0]) if len(tokens) else None)  # the smallest hash: alike sets often share it
+                sigs.append(signature(tokens).tobytes() if len(tokens) else None)
                 if len(tokens) and key not in seen:  # copies count once
                     seen.add(key)
                     held.append(tokens)
                     size += len(tokens)
                     if size > 1_000_000:
-                        count()
+                        counts, size = counted(np.concatenate([counts, repeated()])), 0
+                        if len(counts) > 500_000:  # sums go on after the shuffle
+                            yield told(counts)
+                            counts = counts[:0]
             none = pa.nulls(len(ns), pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ns, pa.int64()), pa.array(k1s, pa.int64()), pa.array(k2s, pa.int64()), none, none], names=["id", "n", "k1", "k2", "token", "count"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.int64()) for c in (ns, k1s, k2s, firsts)), pa.array(sigs, pa.binary()), none, none], schema=schema)
         if held:
-            count()
-        if counts:
-            token, where = np.unique(np.concatenate([t for t, _ in counts]), return_inverse=True)
-            times = np.bincount(where, weights=np.concatenate([c for _, c in counts])).astype(np.int64)
-            often = times >= FREQUENT_FROM
-            none = pa.nulls(int(often.sum()), pa.int64())
-            yield pa.RecordBatch.from_arrays([none, none, none, none, pa.array(token[often].view(np.int64)), pa.array(times[often])], names=["id", "n", "k1", "k2", "token", "count"])
+            counts = counted(np.concatenate([counts, repeated()]))
+        if len(counts):
+            yield told(counts)
+
+    return texts.mapInArrow(run, "id long, n long, k1 long, k2 long, first long, sig binary, token long, count long")
+
 
-    return texts.mapInArrow(run, "id long, n long, k1 long, k2 long, token long, count long")
+_COUNTED = np.dtype([("token", "u8"), ("count", "i8")])
 
 
 def _frequent(counted: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -152,16 +208,22 @@ def _frequent(counted: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _tokens_of(texts: DataFrame, ids: DataFrame, words: int) -> DataFrame:
-    """id and tokens (as bytes) of the documents among ``ids``; only those are cut into shingles again."""
-    spark = texts.sparkSession
-    near = graph.probable(texts.where("id IS NOT NULL"), "id", graph.bloom(ids, "id"), spark)
+    """id and tokens (as bytes) of the documents among ``ids``; only those are cut into shingles again.
+
+    The ids are counted first: up to PICKED of them meet the texts where these lie, more by a shuffle.
+    """
+    ids = written(ids.select("id").distinct(), "jaccard-picked")
+    few = ids.count() <= PICKED
+    picked = texts.join(F.broadcast(ids) if few else ids.hint("merge"), "id", "left_semi")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = [shingles(t.as_py(), words).tobytes() for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=["id", "tokens"])
 
-    return near.mapInArrow(run, "id long, tokens binary").join(ids.select("id").distinct(), "id", "left_semi")
+    made = written(picked.mapInArrow(run, "id long, tokens binary"), "jaccard-tokens")
+    remove(ids)
+    return made
 
 
 class _Group:
@@ -233,33 +295,122 @@ def _opened(rows: DataFrame, percent: int, n_tasks: int) -> DataFrame:
     return dealt.mapInArrow(run, "a long, b long")
 
 
+def _parts(queries: DataFrame) -> DataFrame:
+    """grp and parts (of about QUERIES) of the groups that need more than one: at most a row for each QUERIES of them."""
+    return queries.groupBy("grp").agg(F.ceil(F.count("*") / QUERIES).cast("int").alias("parts")).where("parts > 1")
+
+
+def _salted(rows: DataFrame, few: DataFrame, kept: str) -> DataFrame:
+    """Left join of rows (grp, id) with few rows (grp, ``kept``), a hot group's rows dealt to SALTS tasks."""
+    spread = few.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).select("grp", "_salt", kept)
+    return rows.withColumn("_salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")).join(spread, ["grp", "_salt"], "left").drop("_salt")
+
+
+def _split(members: DataFrame, queries: DataFrame) -> DataFrame:
+    """Rows grp, part, query, id: a group's queries in parts of about QUERIES, its members with each part."""
+    parts = written(_parts(queries), "jaccard-parts")
+    of = F.coalesce("parts", F.lit(1))
+    split = _salted(queries, parts, "parts").select("grp", F.pmod(F.xxhash64(F.lit(1), "id"), of).cast("int").alias("part"), F.lit(True).alias("query"), "id")
+    spread = members.join(parts, "grp", "left").select("grp", F.explode(F.sequence(F.lit(0), of - 1)).alias("part"), F.lit(False).alias("query"), "id")
+    return split.unionByName(spread)
+
+
 def _blocks(members: DataFrame, queries: DataFrame, tokens: DataFrame, percent: int, n_tasks: int) -> DataFrame:
-    """Edges between the queries (grp, id) and the members (grp, id) of each group.
+    """Edges between the queries (grp, id) and the members (grp, id) of each group."""
+    return _opened(_split(members, queries).join(tokens, "id"), percent, n_tasks)
 
-    A group's queries are split into parts of about QUERIES, and its members go to each part.
-    """
-    parts = queries.groupBy("grp").agg(F.ceil(F.count("*") / QUERIES).cast("int").alias("parts"))
-    split = queries.join(parts, "grp").select("grp", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int").alias("part"), F.lit(True).alias("query"), "id")
-    spread = members.join(parts, "grp").select("grp", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(False).alias("query"), "id")
-    return _opened(split.unionByName(spread).join(tokens, "id"), percent, n_tasks)
+
+def _pivot_pairs(members: DataFrame, queries: DataFrame, sigs: DataFrame, percent: int, n_tasks: int) -> DataFrame:
+    """grp (a pivot's id) and id: for each query, of the members of its group that the bitmaps let pass, the first and the likeliest."""
+    rows = _split(members, queries).join(sigs.select("id", "n", "sig"), "id").select("grp", "part", "query", "id", "n", "sig")
+    dealt = rows.repartition(n_tasks, "grp", "part").sortWithinPartitions("grp", "part", "query", "id")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, members, stacked = None, [], None
+        for batch in batches:
+            pivots, asked = [], []
+            for grp, part, query, doc, n, sig in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (grp, part) != now:
+                    now, members, stacked = (grp, part), [], None
+                sig = np.frombuffer(sig, np.uint8)
+                if not query:
+                    members.append((doc, n, sig))
+                    continue
+                if stacked is None:  # members by the length of their bitmaps
+                    stacked = [(np.array([m[0] for m in some]), np.array([m[1] for m in some]), np.stack([m[2] for m in some])) for size in {len(m[2]) for m in members} if (some := [m for m in members if len(m[2]) == size])]
+                passed = []
+                for ids, sizes, held in stacked:
+                    most = np.minimum(most_overlap(sig, n, held), np.minimum(sizes, n))
+                    fits = np.flatnonzero((100 * most >= percent * (sizes + n - most)) & (ids != doc))
+                    passed += [(int(ids[i]), most[i] / (sizes[i] + n - most[i])) for i in fits]
+                for pivot in {min(passed)[0], max(passed, key=lambda x: (x[1], -x[0]))[0]} if passed else ():
+                    pivots.append(pivot)
+                    asked.append(doc)
+            yield pa.RecordBatch.from_arrays([pa.array(pivots, pa.int64()), pa.array(asked, pa.int64())], names=["grp", "id"])
+
+    return dealt.mapInArrow(run, "grp long, id long").distinct()
+
+
+def _unions(in_groups: DataFrame, sigs: DataFrame, n_tasks: int) -> DataFrame:
+    """grp, least (tokens of its smallest member) and the bitmap of the union of all members' tokens."""
+    rows = in_groups.join(sigs.select("id", "n", "bits", "sig"), ["id", "n", "bits"]).select("grp", "n", "sig")
+    dealt = rows.repartition(n_tasks, "grp").sortWithinPartitions("grp")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, least, union, out = None, 0, None, []
+
+        def told() -> pa.RecordBatch:
+            batch = pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], pa.int64()), pa.array([r[1] for r in out], pa.int64()), pa.array([r[2] for r in out], pa.binary())], names=["grp", "least", "held"])
+            out.clear()
+            return batch
+
+        for batch in batches:
+            for grp, n, sig in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                sig = np.frombuffer(sig, np.uint8)
+                if grp == now:
+                    size = min(len(union), len(sig))
+                    least, union = min(least, n), folded(union, size) | folded(sig, size)
+                else:
+                    if now is not None:
+                        out.append((now, least, union.tobytes()))
+                    now, least, union = grp, n, sig
+            if len(out) > 1_000:
+                yield told()
+        if now is not None:
+            out.append((now, least, union.tobytes()))
+            yield told()
+
+    return dealt.mapInArrow(run, "grp long, least long, held binary")
+
+
+def _qualifying(asked: DataFrame, unions: DataFrame, sigs: DataFrame, percent: int) -> DataFrame:
+    """The (grp, id) of ``asked`` in which the group's union may hold enough of the query's tokens."""
+
+    def may(n: pa.Array, sig: pa.Array, least: pa.Array, held: pa.Array) -> pa.Array:
+        out = []
+        for size, query, smallest, union in zip(n.to_pylist(), sig.to_pylist(), least.to_pylist(), held.to_pylist(), strict=True):
+            most = int(most_overlap(np.frombuffer(query, np.uint8), size, np.frombuffer(union, np.uint8)))
+            out.append(most >= max(least_overlap(size, percent), -(-percent * (size + smallest) // (100 + percent))))
+        return pa.array(out, pa.bool_())
+
+    met = asked.join(unions, "grp").join(sigs.select("id", "n", "sig"), "id")
+    return met.where(F.arrow_udf(may, "boolean")("n", "sig", "least", "held")).select("grp", "id").distinct()
 
 
 def _prefixes(texts: DataFrame, frequent, words: int, percent: int) -> DataFrame:
-    """id, n, smallest token and all prefix tokens (as bytes) of each document with words."""
+    """id, n and prefix tokens (as bytes) of each document with words."""
     shared = texts.sparkSession.sparkContext.broadcast(frequent)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ns, firsts, out = [], [], []
+            ns, out = [], []
             for t in batch.column(1):
                 tokens = shingles(t.as_py(), words)
-                taken = prefix(tokens, *shared.value, percent) if len(tokens) else tokens
                 ns.append(len(tokens))
-                firsts.append(int(tokens[:1].view(np.int64)[0]) if len(tokens) else None)  # the smallest hash: alike sets often share it
-                out.append(taken.tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ns, pa.int32()), pa.array(firsts, pa.int64()), pa.array(out, pa.binary())], names=["id", "n", "first", "prefix"])
+                out.append((prefix(tokens, *shared.value, percent) if len(tokens) else tokens).tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ns, pa.int32()), pa.array(out, pa.binary())], names=["id", "n", "prefix"])
 
-    return texts.where("id IS NOT NULL").mapInArrow(cut, "id long, n int, first long, prefix binary").where("n > 0")
+    return texts.where("id IS NOT NULL").mapInArrow(cut, "id long, n int, prefix binary").where("n > 0")
 
 
 _PAIR = np.dtype([("id", "i8"), ("target", "i8")])
@@ -378,49 +529,59 @@ def classes(docs: DataFrame, percent: int = 80, words: int = 5, id_col: str = "d
     links.  Texts of fewer words are one shingle; null texts and texts without words have
     none and are alone.  Rows with equal ids are parts of one document, linked to each other;
     rows without an id keep their n_shingles and have no component.  All documents and
-    whole texts take part.
+    whole texts take part.  Other columns, whatever their names, are not looked at.
     """
+    small_batches(docs.sparkSession)
     texts = _text(docs, id_col, text_col)
     digests = written(_digests(texts, words), "jaccard-digests")
     rows = digests.where("n IS NOT NULL").select("id", "n", "k1", "k2")
     frequent = _frequent(digests.where("token IS NOT NULL"))
-    sets = rows.where("n > 0 AND id IS NOT NULL").groupBy("k1", "k2", "n").agg(F.min("id").alias("rep"))
-    reps = written(sets.select(F.col("rep").alias("id"), "n", "k1", "k2"), "jaccard-reps")
+    full = digests.where("n > 0 AND id IS NOT NULL").withColumn("bits", F.length("sig"))
+    reps = written(full.groupBy("k1", "k2", "n").agg(F.min_by(F.struct("id", "bits", "first", "sig"), "id").alias("r")).select("r.id", "n", "r.bits", "r.first", "k1", "k2", "r.sig"), "jaccard-reps")
     total = reps.agg(F.sum("n")).first()[0] or 0
-    n_tasks = max(1, min(1 << 20, int(total * (100 - percent) / 100 / TOKENS_OF_TASK) + 1, 1 << 20), int(texts.sparkSession.sparkContext.defaultParallelism))
+    n_tasks = max(min(1 << 20, int(total * (100 - percent) / 100 / TOKENS_OF_TASK) + 1), int(docs.sparkSession.sparkContext.defaultParallelism))
 
     # first the families: documents with the same smallest token, each compared with some pivots
-    prefixes = written(_prefixes(texts, frequent, words, percent), "jaccard-prefixes")
-    firsts = written(prefixes.select("id", "first").join(reps.select("id"), "id", "left_semi"), "jaccard-firsts")
-    family = firsts.groupBy(F.col("first").alias("grp")).agg(F.count("*").alias("many")).where("many > 1")
-    queries = firsts.select(F.col("first").alias("grp"), "id").join(family.select("grp"), "grp").select("grp", "id")
-    chosen = Window.partitionBy("grp").orderBy(F.xxhash64("id"), "id")
-    members = queries.withColumn("_at", F.row_number().over(chosen)).where(F.col("_at") <= PIVOTS).drop("_at")
-    tokens = written(_tokens_of(texts, queries.select("id"), words), "jaccard-family")
-    near = graph.components(written(_blocks(members, queries, tokens, percent, n_tasks), "jaccard-near"))
-    remove(tokens, firsts)
+    firsts = reps.select(F.col("first").alias("grp"), "id").distinct()
+    family = written(firsts.groupBy("grp").agg(F.count("*").alias("many")).where("many > 1"), "jaccard-families")
+    queries = written(_salted(firsts, family, "many").where("many IS NOT NULL"), "jaccard-firsts")
+    members = queries.where(F.shiftrightunsigned(F.xxhash64(F.lit(3), "id"), 33) * F.col("many") < F.lit(PIVOTS * (1 << 31))).select("grp", "id")
+    pairs = written(_pivot_pairs(members, queries.select("grp", "id"), reps, percent, n_tasks), "jaccard-pairs")
+    tokens = _tokens_of(texts, pairs.select("id").union(pairs.select("grp")), words)
+    near = graph.components(written(_blocks(pairs.select("grp", F.col("grp").alias("id")).distinct(), pairs, tokens, percent, n_tasks), "jaccard-near"))
+    remove(tokens, pairs, queries, family)
 
     # then what is left: queries against the groups of other components that share a prefix token
-    first_round = reps.join(near.withColumnRenamed("node", "id"), "id", "left").select("id", "n", F.coalesce("component", "id").alias("component")).distinct()
+    first_round = reps.join(near.withColumnRenamed("node", "id"), "id", "left").select("id", "n", "bits", F.coalesce("component", "id").alias("component")).distinct()
     known = written(first_round, "jaccard-known")
-    wanted = written(_candidates(prefixes, known, percent, n_tasks), "jaccard-candidates")
-    sizes = known.groupBy("component").agg(F.ceil(F.greatest(F.count("*") / GROUP, F.sum("n") / GROUP_TOKENS)).cast("int").alias("groups"))
-    opened = wanted.select("target").distinct().join(sizes, F.col("target") == F.col("component")).select("component", "groups")
-    name = lambda at: F.xxhash64("component", at)
-    in_groups = known.join(opened, "component").select(name(F.pmod(F.xxhash64("id"), F.col("groups")).cast("int")).alias("grp"), "id")
-    to_groups = wanted.join(opened, F.col("target") == F.col("component")).select("id", "component", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("at"))
-    asked = to_groups.select(name(F.col("at").cast("int")).alias("grp"), "id")
-    needed = in_groups.select("id").union(wanted.select("id")).distinct()
-    tokens = written(_tokens_of(texts, needed, words), "jaccard-tokens")
-    links = written(_blocks(in_groups, asked, tokens, percent, n_tasks), "jaccard-links")
-    final = graph.components(links.union(known.where("id <> component").select("id", "component")))
-    remove(tokens, wanted, prefixes)
-
-    copies = reps.select(F.col("id").alias("rep"), F.col("n").alias("m"), F.col("k1").alias("j1"), F.col("k2").alias("j2"))
-    same = F.expr("k1 = j1 AND k2 = j2 AND n = m")
-    placed = rows.join(copies, same, "left").select("id", "n", "rep").join(final.withColumnRenamed("node", "rep"), "rep", "left")
-    smallest = F.when(F.col("id").isNotNull(), F.coalesce("component", "rep", "id"))
-    return placed.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), smallest.alias("component_id"))
+    prefixes = written(_prefixes(texts, frequent, words, percent), "jaccard-prefixes")
+    wanted = written(_candidates(prefixes, known.select("id", "component").distinct(), percent, n_tasks), "jaccard-candidates")
+    remove(prefixes)
+    # members of a group have bitmaps of one length; a query only asks groups of its own and of the next lengths
+    sizes = known.groupBy("component", "bits").agg(F.ceil(F.greatest(F.count("*") / GROUP, F.sum("n") / GROUP_TOKENS)).cast("int").alias("groups"))
+    opened = written(wanted.select("target").distinct().join(sizes, F.col("target") == F.col("component")).select("component", "bits", "groups"), "jaccard-opened")
+    name = lambda at: F.xxhash64("component", "bits", at.cast("int"))
+    in_groups = written(known.join(opened, ["component", "bits"]).select(name(F.pmod(F.xxhash64("id"), F.col("groups"))).alias("grp"), "id", "n", "bits"), "jaccard-groups")
+    unions = written(_unions(in_groups, reps, n_tasks), "jaccard-unions")
+    sized = wanted.join(known.select("id", F.col("bits").alias("_own")).distinct(), "id")
+    fits = (F.col("target") == F.col("component")) & (F.col("bits") * percent < F.col("_own") * 200) & (F.col("_own") * percent < F.col("bits") * 200)
+    asked = sized.join(opened, fits).select("id", "component", "bits", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("at")).select(name(F.col("at")).alias("grp"), "id")
+    open_ = written(_qualifying(asked, unions, reps, percent), "jaccard-qualifying")
+    members = in_groups.select("grp", "id").distinct().join(open_.select("grp").distinct(), "grp", "left_semi")
+    tokens = _tokens_of(texts, members.select("id").union(open_.select("id")), words)
+    links = written(_blocks(members, open_, tokens, percent, n_tasks), "jaccard-links")
+    # sets of rows that have one id are linked too
+    several = rows.where("n > 0 AND id IS NOT NULL").groupBy("id").agg(F.min(F.struct("k1", "k2")).alias("low"), F.max(F.struct("k1", "k2")).alias("high")).where("low <> high")
+    keys = ["k1", "k2", "n"]
+    own = rows.join(several.select("id"), "id", "left_semi").join(reps.select(F.col("id").alias("rep"), *keys), keys).select("id", "rep")
+    final = graph.components(links.union(known.where("id <> component").select("id", "component")).union(own))
+
+    classed = reps.join(final.withColumnRenamed("node", "id"), "id", "left").select(*(F.col(k).alias(f"_{k}") for k in keys), F.coalesce("component", "id").alias("component"))
+    result = rows.join(classed, F.expr("k1 = _k1 AND k2 = _k2 AND n = _n"), "left")
+    smallest = F.when(F.col("id").isNotNull(), F.coalesce("component", "id"))
+    placed = written(result.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), smallest.alias("component_id")), "jaccard-classes")
+    remove(digests, reps, near, known, wanted, opened, in_groups, unions, open_, tokens, links, final)
+    return placed
 
 
 def representatives(docs: DataFrame, percent: int = 80, words: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -431,8 +592,10 @@ def representatives(docs: DataFrame, percent: int = 80, words: int = 5, id_col:
     """
     found = classes(docs, percent, words, id_col, text_col).where(F.col(id_col).isNotNull())
     keep = found.where((F.col("n_shingles") == 0) | (F.col(id_col) == F.col("component_id")))
+    named, held = reserved(docs)
     kept_ids = keep.groupBy(F.col(id_col).alias("_kept")).agg(F.sum(F.when(F.col("n_shingles") > 0, 1).otherwise(0)).alias("_times"))
     kept_ids = written(kept_ids, "jaccard-kept")  # read twice below
-    kept = docs.join(kept_ids, docs[id_col].cast("long") == F.col("_kept")).drop("_kept")
-    once, repeated = kept.where("_times <= 1"), kept.where("_times > 1").dropDuplicates([id_col])
-    return once.unionByName(repeated).drop("_times").unionByName(docs.where(F.col(id_col).isNull()))
+    key = F.col(held[id_col]).cast("long")
+    kept = named.join(kept_ids, key == F.col("_kept"))
+    once, repeated = kept.where("_times <= 1"), kept.where("_times > 1").dropDuplicates(["_kept"])
+    return original(once.unionByName(repeated).drop("_kept", "_times").unionByName(named.where(key.isNull())), docs)
