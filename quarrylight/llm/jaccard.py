@@ -40,7 +40,7 @@ PIVOTS = 32
 #: Members of a group, tokens of a group, and queries that are compared with it in one task.
 GROUP, GROUP_TOKENS, QUERIES = 32, 250_000, 1024
 #: Documents whose texts are picked by a broadcast of their ids; beyond, by a shuffle of the texts.
-PICKED = 2_000_000
+PICKED = 250_000
 #: Parts into which the rows of one key are dealt in joins with a table of few rows for each key.
 SALTS = 16
 #: Prefix tokens that one task sorts.

@@ -376,6 +376,53 @@ def test_quality_on_held_out_rows(spark):
     assert quality.kept(table.where("false"), model).count() == 0
 
 
+@pytest.mark.parametrize("order", ["sorted", "interleaved"])
+def test_quality_whatever_the_order_of_the_labels(spark, order):
+    rng = random.Random(9)
+    bad = sorted(i % 5 == 0 for i in range(600)) if order == "sorted" else [i % 5 == 0 for i in range(600)]
+    table = make(spark, [(i, " ".join(f"word{rng.randrange(300)}" + "#$" * b for _ in range(40)), "en", "s1") for i, b in enumerate(bad)]).coalesce(1)
+    labels = spark.createDataFrame([(i, int(not b), 0) for i, b in enumerate(bad) if i % 3], "doc_id long, quality int, toxic int")
+    rows = {r["doc_id"]: r["keep"] for r in quality.score(table, quality.fit(table, labels)).collect()}
+    assert sum(rows[i] == bad[i] for i in range(0, 600, 3)) <= 2
+
+
+def test_quality_without_both_classes(spark, empty):
+    table = make(spark, [(i, f"some words {i}", "en", "s1") for i in range(20)] + [(3, "again", None, None), (None, "x", "en", "s")])
+    for quality_of in ([], [1] * 9, [0] * 9):
+        labels = spark.createDataFrame([(i, q, 0) for i, q in enumerate(quality_of)], "doc_id long, quality int, toxic int")
+        rows = quality.classify(table, labels).collect()
+        assert len(rows) == 22 and all(r["keep"] == 1 and r["score"] == 0.5 for r in rows)
+    assert quality.classify(empty, labels).count() == 0
+    y, keys = np.array([0] * 10 + [1] * 50), np.arange(60)
+    assert np.bincount(y[quality.held_out(y, keys)]).tolist() == [2, 10] and quality.held_out(y[5:], keys[5:]).all()
+
+
+def test_quality_hands_over_the_surest_of_all_documents(spark):
+    """The counts that the views exchange, against plain ones over every row without a sampled label."""
+    rng = random.Random(4)
+    table = make(spark, [(i, " ".join(rng.choice("abcdefgh") * rng.randrange(1, 9) for _ in range(rng.randrange(1, 60))), rng.choice(["en", "de", None]), f"s{i % 7}") for i in range(500)])
+    made = quality.features(table).cache()
+    rows = [(r["key"], np.frombuffer(r["text"], np.uint16), np.frombuffer(r["meta"], np.uint16)) for r in made.collect()]
+    draw = np.random.default_rng(1)
+    views = tuple(quality.View(draw.normal(0, 2, width + 2), draw.normal(0, 1, width)) for width in quality._WIDTHS)
+    sampled = np.array([r[0] for r in rows[:50]])
+    found = quality._handed(made, views, sampled, 0.2, 0.6)
+    pool = [r for r in rows if r[0] not in set(sampled.tolist())]
+    logit = lambda v, at: views[v].weights[:-2][at].sum() + views[v].weights[-2] * views[v].ratios[at].mean() + views[v].weights[-1]
+    for v in (0, 1):
+        z = np.array([logit(1 - v, r[2 - v]) for r in pool])
+        low, high = np.sort(z)[int(0.2 * 0.4 * len(z)) - 1], np.sort(z)[len(z) - int(0.2 * 0.6 * len(z))]
+        step = 2 * quality._LOGIT_MOST / quality._LOGIT_BINS  # rows within a bin of the limit may fall to either side
+        for slack, within in ((-step, np.less_equal), (step, np.greater_equal)):
+            counts = np.zeros_like(found[v])
+            for r, x in zip(pool, z, strict=True):
+                for label, sure in enumerate((x <= min(low, -2.2) + slack, x >= max(high, 2.2) - slack)):
+                    if sure:
+                        counts[r[v + 1], label] += 1
+                        counts[-1, label] += 1
+            assert within(counts, found[v]).all() and counts.any()
+
+
 def test_quality_sees_the_words_of_long_texts(spark):
     rng = random.Random(3)
     words = [[f"{c}{'abcdefghij'[k // 26]}{'abcdefghijklmnopqrstuvwxyz'[k % 26]}" for k in range(200)] for c in "xy"]
