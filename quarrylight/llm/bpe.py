@@ -7,7 +7,8 @@ the merge procedure.  A sequence of tokens is that output exactly when each adja
 is, so pairs are all that has to be checked; their answers are memoised.  Each position is
 given up at most once, hence linear time, however long the piece is.
 
-Null texts count as empty, and empty texts have no tokens.
+Null texts count as empty, and empty texts have no tokens.  Rows with equal ids are encoded
+one by one; columns other than id and text are not looked at, whatever their names.
 """
 
 from __future__ import annotations
@@ -15,15 +16,17 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
-import unicodedata
 from collections.abc import Iterator
 
 import ahocorasick
 import pyarrow as pa
 import regex
+import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quarrylight.llm._common import small_batches
+
 #: Entries after which a memo is emptied; a bound on memory, never on results.
 MEMO_ENTRIES = 250_000
 
@@ -40,15 +43,18 @@ def read_ranks(path: str) -> dict[bytes, int]:
 USUAL = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 
-def _class(category: str, last: int) -> str:
-    """The inside of a character class with the code points of a category, up to the last."""
-    if category == "space":
-        white = regex.compile(r"\p{White_Space}")
-        holds = [bool(white.match(chr(i))) for i in range(0x3001)] + [False] * (last - 0x3000)
-    else:
-        holds = [unicodedata.category(chr(i))[0] == category for i in range(last + 1)]
+def _class(pattern: str, last: int) -> str:
+    """The inside of a character class with the code points, up to the last, that a pattern matches in the library.
+
+    The library's own tables are asked, with a vocabulary of single bytes: what the pattern
+    doesn't match, its output lacks.
+    """
+    single = tiktoken.Encoding("single", pat_str=pattern, mergeable_ranks={bytes([i]): i for i in range(256)}, special_tokens={})
+    every = "".join(chr(i) for i in range(last + 1) if not 0xD800 <= i < 0xE000)
+    held = set(bytes(single.encode_ordinary(every)).decode("utf-8"))
     parts, start = [], None
-    for i, inside in enumerate([*holds, False]):
+    for i in range(last + 2):
+        inside = i <= last and chr(i) in held
         if inside and start is None:
             start = i
         elif not inside and start is not None:
@@ -58,7 +64,7 @@ def _class(category: str, last: int) -> str:
 
 
 def _usual(last: int) -> re.Pattern[str]:
-    letter, number, space = _class("L", last), _class("N", last), _class("space", last)
+    letter, number, space = _class(r"\p{L}", last), _class(r"\p{N}", last), _class(r"\s", last)
     return re.compile(f" ?[{letter}]+| ?[{number}]+|'(?:s|t|re|ve|m|ll|d)| ?[^{space}{letter}{number}]+|[{space}]+(?![^{space}])|[{space}]+")
 
 
@@ -66,7 +72,7 @@ class Splitter:
     """Splits text by a pattern; the usual byte-level pattern has a form that is faster.
 
     ``re`` with explicit classes is several times faster than property lookups.  The fast
-    form tells letters and numbers by the same Unicode tables as the general one; texts
+    form tells letters, numbers and spaces by the tables of the ``tiktoken`` library; texts
     with characters beyond U+FFFF take classes that go on beyond.
     """
 
@@ -228,6 +234,7 @@ def _shared_codec(spark, vocab_path: str, pattern: str):
 
     The broadcast is the vocabulary file, whose size is fixed.
     """
+    small_batches(spark)
     with open(vocab_path, "rb") as file:
         raw = file.read()
     held = spark.sparkContext.broadcast(raw)
@@ -279,8 +286,8 @@ def tokenised(docs: DataFrame, vocab_path: str, pattern: str, id_col: str = "doc
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = get()
         for batch in batches:
-            for start in range(0, batch.num_rows, 1_000):  # ids take more room than texts
-                part = batch.slice(start, 1_000)
+            for start in range(0, batch.num_rows, 200):  # ids take more room than texts
+                part = batch.slice(start, 200)
                 ids = [own.encode(text.as_py() or "") for text in part.column(1)]
                 sums = [hashlib.sha256(own.decode(x)).hexdigest() for x in ids]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(x) for x in ids], pa.int64()), pa.array(ids, pa.list_(pa.int32())), pa.array(sums)], names=["id", "n_tokens", "ids", "decoded_sha256"])

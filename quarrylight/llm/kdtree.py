@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarrylight.llm._common import remove, written
+from quarrylight.llm.mixing import ordered_sums
 
 BINS = 512
 #: Rows that are numbered within one task.
@@ -41,28 +42,35 @@ class _Cut:
     done: bool = field(default=False)
 
 
-def _text_number(name: str):
-    """An order-preserving number of the first six bytes of a string; null is below all."""
-    padded = F.rpad(F.substring(F.hex(F.encode(F.coalesce(F.col(name).cast("string"), F.lit("")), "UTF-8")), 1, 12), 12, "0")
-    return F.when(F.col(name).isNull(), F.lit(-1.0)).otherwise(F.conv(padded, 16, 10).cast("double"))
+def _placed(rows: DataFrame, name: str) -> DataFrame:
+    """Adds ``by_<name>``: the place of the row's string among all distinct ones in byte order; nulls are -1.
+
+    Whole strings count.  Places come from a range sort of the distinct strings and prefix
+    sums of its parts, and go back to the rows by a join, whose hot keys Spark splits.
+    """
+    values = rows.groupBy(F.col(name).alias("_value")).agg(F.lit(1).alias("_one")).where("_value IS NOT NULL")
+    places = written(ordered_sums(values, [F.encode("_value", "UTF-8")], {"_place": "_one"}).select("_value", F.col("_place").cast("double").alias(f"by_{name}")), "kd-places")
+    return rows.join(places, F.col(name) == F.col("_value"), "left").drop("_value").withColumn(f"by_{name}", F.coalesce(f"by_{name}", F.lit(-1.0)))
 
 
 def rows_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A narrow table: id, size, text_crc32, the metadata dimensions and a tie key for each row."""
-    have = {f.name for f in docs.schema}
+    have = {c.lower(): docs[c] for c in docs.columns}
     text = F.col(text_col).cast("string")
     size = F.coalesce(F.octet_length(text), F.lit(0)).cast("long") + 8
-    number = lambda name: _text_number(name) if name in have else F.lit(0.0)
-    return docs.select(
+    named = lambda name: (have[name] if name in have else F.lit(None)).cast("string").alias(name)
+    rows = docs.select(
         F.col(id_col).cast("long").alias("id"),
         size.alias("size"),
         F.crc32(F.coalesce(text, F.lit("")).cast("binary")).alias("crc"),
         F.coalesce(F.col(id_col).cast("double"), F.lit(-1.0)).alias("by_id"),
         size.cast("double").alias("by_size"),
-        number("source").alias("by_source"),
-        number("lang").alias("by_lang"),
+        named("source"),
+        named("lang"),
         (F.shiftrightunsigned(F.xxhash64(F.monotonically_increasing_id(), F.col(id_col)), 11).cast("double") / F.lit(float(1 << 53))).alias("tie"),
     )
+    rows = written(rows, "kd-plain")  # texts are read once
+    return _placed(_placed(rows, "source"), "lang").select("id", "size", "crc", *_DIMENSIONS, "tie")
 
 
 def _frame(spark, cuts: list[_Cut]) -> DataFrame:
@@ -110,7 +118,8 @@ def assign(docs: DataFrame, shards: int | None = None, target_bytes: int | None
     Give the number of shards, or the bytes that a shard should have.  ``size`` is the UTF-8
     bytes of the text (null: none) plus 8; ``slot`` numbers the rows of a shard from 0
     without gaps.  Null ids and texts, ties and repeated rows are placed like any others;
-    an empty table gives no rows.
+    an empty table gives no rows.  Columns other than id, text, source and lang are not looked
+    at, whatever their names.
     """
     rows = written(rows_of(docs, id_col, text_col), "kd-rows")
     total = rows.agg(F.sum("size")).first()[0] or 0

@@ -22,6 +22,8 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quarrylight.llm._common import small_batches
+
 #: Values kept of each text; the standard error of likeness is at most 0.5 / sqrt(SIZE).
 SIZE = 128
 #: Rows of a range of ids that one task goes through in order, and ranges at most.
@@ -164,6 +166,7 @@ def edited_likeness(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     a range also goes, as a guard, to the range before it.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     narrow = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     ranged, n = _ranges(narrow)
     first_of = {r["range"]: r["first"] for r in ranged.groupBy("range").agg(F.max("id").alias("first")).collect()}  # MOST_RANGES + 2 rows at most

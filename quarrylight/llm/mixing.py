@@ -16,7 +16,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarrylight.llm._common import written
+from quarrylight.llm._common import original, reserved, written
 
 #: A word: anything but space, tab, line feed, vertical tab, form feed, carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -30,7 +30,7 @@ def words_in(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text.cast("string"), F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def _ordered(rows: DataFrame, order: list[Column], sums: dict[str, str]) -> DataFrame:
+def ordered_sums(rows: DataFrame, order: list[Column], sums: dict[str, str]) -> DataFrame:
     """Adds, for each ``name: column`` of ``sums``, the sum over the rows that stand before in one global order.
 
     Rows are dealt out by ranges of the order; each range starts at the prefix sum of the
@@ -77,10 +77,10 @@ def targets(sources: DataFrame, share: float = 1.5, most: float = 2.0, weights:
     order in which they reach their caps.
     """
     one = sources.withColumn("_one", F.lit(1).cast("long"))
-    numbered = _ordered(one, [F.col("source").asc_nulls_last()], {"_place": "_one"})
+    numbered = ordered_sums(one, [F.col("source").asc_nulls_last()], {"_place": "_one"})
     weighed = numbered.withColumn("_weight", F.element_at(F.array(*map(F.lit, weights)), (F.col("_place") % len(weights) + 1).cast("int")))
     capped = weighed.withColumn("_cap", F.col("source_size") * F.lit(float(most))).withColumn("_ratio", F.col("_cap") / F.col("_weight"))
-    summed = _ordered(capped, [F.col("_ratio"), F.col("_place")], {"_caps": "_cap", "_weights": "_weight"})
+    summed = ordered_sums(capped, [F.col("_ratio"), F.col("_place")], {"_caps": "_cap", "_weights": "_weight"})
     whole = capped.agg((F.sum("source_size") * F.lit(float(share))).alias("_share"), F.sum("_weight").alias("_weight_sum"))
     levels = summed.crossJoin(F.broadcast(whole)).withColumn("_level", (F.col("_share") - F.col("_caps")) / (F.col("_weight_sum") - F.col("_weights")))
     # the first source that its level leaves below its cap sets the level of all that follow
@@ -127,24 +127,25 @@ def mixed(docs: DataFrame, share: float = 1.5, most: float = 2.0, weights: tuple
     before the source's cut are taken, and of the one on the cut the words up to it.  The cut
     is a key, an id and a size, so texts meet a table with one row for each source and are
     not shuffled.  Documents without words, and those after the cut of a source that gives no
-    whole epoch, are not in the mix.  Rows equal in id, source and size stand on the same side.
+    whole epoch, are not in the mix.  Other columns go with their rows, whatever their names.  Rows equal in id, source and size stand on the same side.
     """
     joined, _ = _placed(docs, share, most, weights, seed, id_col, text_col, source_col)
     # the last row that gives something is the one on the cut: a partial maximum for each source
     at_cut = F.max(F.when(F.col("rest") > 0, F.struct("key", "id", "size", "rest"))).alias("cut")
     cuts = written(joined.groupBy("source", "epochs").agg(at_cut).select(F.col("source").alias("_source"), "epochs", "cut"), "mix-cuts")
-    rows = docs.withColumn("_size", words_in(F.col(text_col))).withColumn("_key", _key(seed, F.col(id_col), F.col(source_col)))
-    met = rows.join(cuts, F.col(source_col).cast("string").eqNullSafe(F.col("_source")))
-    here = F.struct(F.col("_key").alias("key"), F.col(id_col).cast("long").alias("id"), F.col("_size").alias("size"))
+    named, own = reserved(docs)
+    id_, source, text, chars = (F.col(own[c]) if c in own else None for c in (id_col, source_col, text_col, chars_col))
+    rows = named.withColumn("_size", words_in(text)).withColumn("_key", _key(seed, id_, source))
+    met = rows.join(cuts, source.cast("string").eqNullSafe(F.col("_source")))
+    here = F.struct(F.col("_key").alias("key"), id_.cast("long").alias("id"), F.col("_size").alias("size"))
     cut = F.struct(F.col("cut.key").alias("key"), F.col("cut.id").alias("id"), F.col("cut.size").alias("size"))
     extra = F.when(F.col("cut").isNull() | (here > cut), 0).when(here.eqNullSafe(cut), F.col("cut.rest")).otherwise(F.col("_size")).cast("long")
     times = F.concat(F.array_repeat("_size", F.col("epochs").cast("int")), F.when(extra > 0, F.array(extra)).otherwise(F.array().cast("array<bigint>")))
     taken = met.where("_size > 0").withColumn("_words", F.explode(times))
-    text = F.when(F.col("_words") < F.col("_size"), head_words(F.col(text_col), F.col("_words"))).otherwise(F.col(text_col))
-    out = taken.withColumn(text_col, text)
-    if chars_col in docs.columns:
-        out = out.withColumn(chars_col, F.length(text_col).cast(docs.schema[chars_col].dataType))
-    return out.select(*docs.columns)
+    out = taken.withColumn(own[text_col], F.when(F.col("_words") < F.col("_size"), head_words(text, F.col("_words"))).otherwise(text))
+    if chars is not None:
+        out = out.withColumn(own[chars_col], F.length(text).cast(docs.schema[chars_col].dataType))
+    return original(out, docs)
 
 
 def head_words(text: Column, n: Column) -> Column:

@@ -7,7 +7,11 @@ words), matches again on the normalised text, and maps each match back through t
 arrays that the transducers carry along.  Texts without any disguise skip it.
 
 All matching is linear in the text.  Offsets are code points, ends are exclusive.  Null
-and empty texts hold nothing; rows with equal ids are scanned one by one.
+and empty texts hold nothing; rows with equal ids are scanned one by one.  Columns other
+than id and text are not looked at; the masking form hands them on, whatever their names.
+
+"name at host.tld" with nothing else disguised counts only where the name isn't a plain
+word ("j.doe at example.com"), as "look at example.com" is no address.
 """
 
 from __future__ import annotations
@@ -18,10 +22,13 @@ import unicodedata
 from collections.abc import Iterator
 from typing import NamedTuple
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quarrylight.llm._common import small_batches
+
 #: Kinds in the order of the digest.
 KINDS = ("email", "ip", "card", "phone")
 
@@ -119,10 +126,9 @@ def _glyphs() -> dict[str, str]:
 
 GLYPHS = _glyphs()
 _GLYPH = re.compile("[" + "".join(map(re.escape, sorted(c for c in GLYPHS if c < "\U00010000"))) + "\U0001d400-\U0001d7ff]")
-_OPEN, _CLOSE = r"[ \t]*[\[({<]+[ \t]*", r"[ \t]*[\])}>]+[ \t]*"
 _words = lambda words: "|".join(sorted(words, key=len, reverse=True))
-_BRACKETED = re.compile(rf"{_OPEN}(?:(?P<at>@|{_words(AT_WORDS)})|(?P<dot>\.|{_words(DOT_WORDS)})){_CLOSE}", re.I)
-_BRACKET = re.compile(rf"[\[({{<][ \t]*(?:@|\.|{_words(AT_WORDS + DOT_WORDS)})[ \t]*[\])}}>]", re.I)
+#: An at or dot between brackets; what more brackets and blanks surround it is found by walking outwards.
+_BRACKET = re.compile(rf"[\[({{<][ \t]*+(?:(?P<at>@|{_words(AT_WORDS)})|(?P<dot>\.|{_words(DOT_WORDS)}))[ \t]*+[\])}}>]", re.I)
 _BARE = re.compile(rf"(?<=[A-Za-z0-9])[ \t]+(?:{_words(AT_WORDS)})[ \t]+(?=(?P<domain>[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)*+)(?P<dot>[ \t]+(?:{_words(DOT_WORDS)})[ \t]+[A-Za-z0-9-])?)", re.I)
 _BARE_DOT = re.compile(rf"[ \t]+(?:{_words(DOT_WORDS)})[ \t]+(?=[A-Za-z0-9])", re.I)
 _DIGIT = rf"(?:{_words(DIGIT_WORDS)}|[0-9])"
@@ -135,37 +141,48 @@ _LABEL = re.compile(r"\.?[A-Za-z0-9-]+")
 class Normalised:
     """A text with, for each of its characters, the source span that it stands for.
 
-    ``changed`` marks characters that some transducer wrote.
+    ``changed`` marks characters that some transducer wrote.  Offsets are arrays of machine
+    integers, a few bytes for each character.
     """
 
     def __init__(self, text: str) -> None:
-        self.chars = list(text)
-        self.starts = list(range(len(text)))
-        self.ends = list(range(1, len(text) + 1))
-        self.changed = bytearray(len(text))
+        self.text = text
+        self.starts = np.arange(len(text), dtype=np.int32)
+        self.ends = self.starts + 1
+        self.changed = np.zeros(len(text), bool)
 
     def rewrite(self, edits: list[tuple[int, int, list[tuple[str, int, int]]]]) -> None:
         """Replaces spans (in order, apart from each other) by characters with spans of their own."""
-        chars, starts, ends, changed, last = [], [], [], bytearray(), 0
-        for start, end, new in edits:
-            chars += self.chars[last:start]
-            starts += self.starts[last:start]
-            ends += self.ends[last:start]
-            changed += self.changed[last:start]
-            for char, s, e in new:
-                chars.append(char)
-                starts.append(self.starts[s])
-                ends.append(self.ends[e - 1])
-                changed.append(1)
+        if not edits:
+            return
+        chars, starts, ends, changed, last = [], [], [], [], 0
+        for start, end, new in [*edits, (len(self.text), len(self.text), [])]:
+            chars += [self.text[last:start], *(char for char, _, _ in new)]
+            starts += [self.starts[last:start], np.array([self.starts[s] for _, s, _ in new], np.int32)]
+            ends += [self.ends[last:start], np.array([self.ends[e - 1] for _, _, e in new], np.int32)]
+            changed += [self.changed[last:start], np.ones(len(new), bool)]
             last = end
-        self.chars = chars + self.chars[last:]
-        self.starts = starts + self.starts[last:]
-        self.ends = ends + self.ends[last:]
-        self.changed = changed + self.changed[last:]
+        self.text, self.starts, self.ends, self.changed = "".join(chars), np.concatenate(starts), np.concatenate(ends), np.concatenate(changed)
 
-    @property
-    def text(self) -> str:
-        return "".join(self.chars)
+
+def _bracketed(text: str) -> list[tuple[int, int, list[tuple[str, int, int]]]]:
+    """Edits of bracketed ats and dots, with all brackets and blanks around them."""
+    edits, last = [], 0
+    for m in _BRACKET.finditer(text):
+        start, end = m.span()
+        if start < last:
+            continue  # its opening bracket closed the one before
+        while start > last and text[start - 1] in "[({<":
+            start -= 1
+        while start > last and text[start - 1] in " \t":
+            start -= 1
+        while end < len(text) and text[end] in "])}>":
+            end += 1
+        while end < len(text) and text[end] in " \t":
+            end += 1
+        edits.append((start, end, [("@" if m["at"] else ".", start, end)]))
+        last = end
+    return edits
 
 
 def _folded(text: str) -> str:
@@ -179,6 +196,7 @@ def _spells(text: str) -> bool:
     return b"\1\1" in kinds or b"\1\2\1" in kinds
 
 
+_BLANK_AT = tuple(f"{a}{w}{b}" for w in map(_folded, AT_WORDS) for a in " \t" for b in " \t")
 _KIND = dict.fromkeys(map(_folded, DOT_WORDS), 2) | dict.fromkeys([*map(_folded, DIGIT_WORDS), *"0123456789"], 1)
 
 
@@ -191,7 +209,15 @@ def disguised(text: str) -> tuple[bool, bool, bool]:
     glyphs = not text.isascii() and bool(_GLYPH.search(text))
     plain = _GLYPH.sub(lambda m: GLYPHS.get(m[0], m[0]), text) if glyphs else text
     folded = _folded(plain)
-    return (glyphs, any(w in folded for w in DOT_WORDS) or bool(_BRACKET.search(plain)), _spells(plain))
+    return (glyphs, any(w in folded for w in (*DOT_WORDS, *_BLANK_AT)) or bool(_BRACKET.search(plain)), _spells(plain))
+
+
+def _named(text: str, end: int) -> bool:
+    """Whether the word that ends here holds a digit or a sign between its letters, as names of mailboxes do."""
+    start = end
+    while start and text[start - 1] in _LOCAL:
+        start -= 1
+    return bool(re.search("[A-Za-z0-9][0-9._%+-]|[0-9][A-Za-z]", text[start:end])) and not text[start:end].isdigit()
 
 
 def normalise(text: str, glyphs: bool = True, words: bool = True, digits: bool = True) -> Normalised:
@@ -209,12 +235,13 @@ def normalise(text: str, glyphs: bool = True, words: bool = True, digits: bool =
         out.rewrite(edits)
     if words:
         now = out.text
-        out.rewrite([(*m.span(), [("@" if m["at"] else ".", *m.span())]) for m in _BRACKETED.finditer(now)])
+        out.rewrite(_bracketed(now))
         now, edits = out.text, []
         for m in _BARE.finditer(now):
-            # a plain dot counts when it was bracketed, or else every "at" before a host name would
+            # a plain dot counts when it was bracketed or the word before is no plain word, or else every "at" before a host name would
             low, high = m.span("domain")
-            if m["dot"] or (re.search("[A-Za-z]", m["domain"]) and any(out.changed[i] and now[i] == "." for i in range(low, high))):
+            host = "." in m["domain"] and re.search("[A-Za-z]", m["domain"])
+            if m["dot"] or (host and (any(out.changed[i] and now[i] == "." for i in range(low, high)) or _named(now, m.start()))):
                 edits.append((*m.span(), [("@", *m.span())]))
         out.rewrite(edits)
         now, edits, at = out.text, [], -1
@@ -238,8 +265,8 @@ def added_spans(text: str, base: list[Span]) -> list[Span]:
     plain = normalise(text, *needs)
     out = []
     for kind, start, end in base_spans(plain.text):
-        if any(plain.changed[start:end]):
-            span = Span(kind, min(plain.starts[start:end]), max(plain.ends[start:end]))
+        if plain.changed[start:end].any():
+            span = Span(kind, int(plain.starts[start:end].min()), int(plain.ends[start:end].max()))
             if not any(b.kind == kind and b.start <= span.start and span.end <= b.end for b in base):
                 out.append(span)
     return out
@@ -261,6 +288,7 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 
     ``value`` is the source text of the span.  Texts without spans give no row.
     """
+    small_batches(docs.sparkSession)
     schema = pa.schema([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("disguised", pa.bool_()), ("value", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -286,6 +314,7 @@ def digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     Columns: id, n_email, n_ip, n_card, n_phone (base spans), base_sha256, spans (base and
     added), n_added.  One pass, no shuffle.
     """
+    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -321,6 +350,7 @@ def redact(docs: DataFrame, text_col: str = "text", chars_col: str = "n_chars")
 
     Null texts stay null; other columns stay as they are.
     """
+    small_batches(docs.sparkSession)
 
     def run(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in texts:

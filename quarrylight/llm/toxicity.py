@@ -6,7 +6,9 @@ a document's score is the sum of its words' weights, so scoring is one lookup fo
 
 The model is fitted on a bounded sample of labelled documents (``SAMPLE``); everything else
 covers all rows and whole texts.  Null and empty texts hold no words: their severity is
-that of an empty text.  Repeated rows are scored one by one.
+that of an empty text.  Repeated rows are scored one by one.  Without labels of toxic and of
+clean documents nothing is found toxic.  Columns other than id and text are not looked at,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -21,6 +23,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quarrylight.llm._common import small_batches
+
 #: Labelled documents that the model is fitted on, at most; hashed features; least documents of a feature.
 SAMPLE, FEATURES, LEAST_DOCS = 8_000, 1 << 20, 6
 #: A feature enters if its chi-square against "toxic at all" and its log odds ratio are at least so large.
@@ -133,7 +137,7 @@ def grades_of(labelled: DataFrame) -> tuple[list[np.ndarray], np.ndarray]:
             own = [np.array([xxhash.xxh32_intdigest(f"w{w}") % FEATURES for w in ws], np.int32).tobytes() for ws in words]
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(out, pa.binary()), pa.array(own, pa.binary())], names=["toxic", "features", "words"])
 
-    held = labelled.select("text", F.col("toxic").cast("int").alias("toxic")).mapInArrow(run, "toxic int, features binary, words binary").toArrow()
+    held = labelled.select("text", F.col("toxic").cast("int").alias("toxic")).mapInArrow(run, "toxic int, features binary, words binary").orderBy(F.xxhash64("features", "words"), "toxic").limit(SAMPLE).toArrow()  # an id may be repeated
     toxic = held["toxic"].to_numpy()
     sets = [np.frombuffer(x, np.int32) for x in held["features"].to_pylist()]
     words = [np.frombuffer(x, np.int32) for x in held["words"].to_pylist()]
@@ -176,7 +180,9 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
 def severity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Fits on the labelled documents and scores every document."""
+    small_batches(docs.sparkSession)
     rated = labels.where("toxic IN (0, 1) AND doc_id IS NOT NULL").select(F.col("doc_id").alias("_id"), "toxic")
-    # SAMPLE rows at most, so the sample goes to the documents and no text is shuffled
-    known = F.broadcast(rated.orderBy(F.xxhash64("_id"), "_id").limit(SAMPLE))
-    return score(docs, fit(*grades_of(docs.select("doc_id", "text").join(known, F.col("doc_id") == F.col("_id")).select("doc_id", "text", "toxic"))))
+    # SAMPLE rows at most, so the sample goes to the documents and no text is shuffled; of repeated ids again SAMPLE at most
+    known = F.broadcast(rated.orderBy(F.xxhash64("_id"), "_id", "toxic").limit(SAMPLE))
+    found = docs.select("doc_id", "text").join(known, F.col("doc_id") == F.col("_id")).select("doc_id", "text", "toxic")
+    return score(docs, fit(*grades_of(found)))

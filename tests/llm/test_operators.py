@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -463,3 +464,82 @@ def test_pipeline_stages(spark, tmp_path):
     library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks(VOCABULARY), special_tokens={})
     mixed = Counter((r["doc_id"], tuple(library.encode_ordinary(r["text"]))) for r in seen["mixing"].collect())
     assert mixed == Counter((r["doc_id"], tuple(r["ids"])) for r in seen["byte_bpe"].collect())
+
+
+def test_bpe_splits_every_code_point_like_the_library():
+    own = ranks(VOCABULARY)
+    library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=own, special_tokens={})
+    codec = bpe.Codec(own, public_tokenizers.PATTERN)
+    every = [chr(i) for i in range(0x110000) if not 0xD800 <= i < 0xE000]
+    for start in range(0, len(every), 2_000):
+        text = "".join(f"a{c}1{c} {c}." for c in every[start : start + 2_000])
+        assert codec.encode(text) == library.encode_ordinary(text), hex(start)
+
+
+@pytest.mark.parametrize("part", [" ", "\t", "(", "( ", "[at", " at ", "@a.", "1 ", "+1(", "one, ", "dot ", "plus ", "a dot ", "x at y.z "])
+def test_pii_is_linear_in_the_text(part):
+    text = "(at) @ one two three four dot " + part * (300_000 // len(part))
+    began = time.process_time()
+    pii.scan(text)
+    assert time.process_time() - began < 10
+
+
+def test_pii_names_at_hosts():
+    kinds = lambda text: [(s.kind, text[s.start : s.end]) for s in pii.scan(text)[1]]
+    assert kinds("ask j.doe at example.com or jdoe7 at mail.example.org") == [("email", "j.doe at example.com"), ("email", "jdoe7 at mail.example.org")]
+    assert kinds("look at example.com today, 15 at example.com") == []
+    assert kinds("to john ((at)) example <dot> com") == [("email", "john ((at)) example <dot> com")]
+    assert kinds("plus 4 nine 1 five 1 two 3 four 5 six 7") == [("phone", "plus 4 nine 1 five 1 two 3 four 5 six 7")]
+    assert kinds("one dot two dot three dot four") == [("ip", "one dot two dot three dot four")]
+
+
+def test_shards_tell_whole_names_apart(spark):
+    """Sources that begin alike are different values: each half of the tree holds one."""
+    table = make(spark, [(i % 7, "same text", "en", f"newspaper-{'ab'[i % 2]}") for i in range(80)])
+    rows = kdtree.rows_of(table).collect()
+    assert Counter(r["by_source"] for r in rows) == {0.0: 40, 1.0: 40}
+    nulls = kdtree.rows_of(make(spark, [(1, None, None, None), (2, "x", "de", "s"), (None, "y", "en", "s")])).collect()
+    assert sorted((r["by_source"], r["by_lang"]) for r in nulls) == [(-1.0, -1.0), (0.0, 0.0), (0.0, 1.0)]
+    assert kdtree.assign(make(spark, [(None, None, None, None)] * 5), shards=2).count() == 5
+
+
+CLASHING = ["epochs", "cut", "_source", "_size", "_key", "_words", "_kept", "_times", "query_id", "rank", "score", "key", "grp", "_id", "id", "node"]
+
+
+def test_columns_with_clashing_names(spark, docs):
+    wide = docs.withColumns({c: F.lit(7) for c in CLASHING})
+    mixed = mixing.mixed(wide)
+    assert mixed.columns == wide.columns
+    assert all(r[c] == 7 for r in mixed.collect() for c in CLASHING)
+    once = jaccard.representatives(wide)
+    assert once.columns == wide.columns and sorted(str(r["doc_id"]) for r in once.collect()) == sorted(str(r["doc_id"]) for r in jaccard.representatives(docs).collect())
+    assert mixing.mix(wide).count() == docs.count() and lz.edited_likeness(wide).count() == docs.count() and kdtree.assign(wide, shards=3).count() == docs.count()
+    assert bpe.digest(wide, VOCABULARY, public_tokenizers.PATTERN).count() == docs.count() and pii.redact(wide).columns == wide.columns
+    assert separators.counts(wide, ENGLISH, public_tokenizers.PATTERN, END_OF_DOCUMENT).count() == docs.count()
+    labels = spark.createDataFrame([(i, i // 10 % 2, i // 10 % 2) for i in range(0, 300, 10)], "doc_id long, quality int, toxic int").withColumn("id", F.lit(1))
+    assert quality.classify(wide, labels).count() == docs.count() and quality.kept(wide, quality.fit(wide, labels)).columns == wide.columns
+    assert toxicity.severity(wide, labels).count() == docs.count()
+
+
+def test_very_long_texts_and_repeated_rows(spark):
+    rng = random.Random(6)
+    long = " ".join(f"w{rng.randrange(90_000)}" for _ in range(800_000))  # five megabytes
+    table = make(spark, [(1, long, "en", "s1"), (1, long, "en", "s1"), (2, long + " and more", "en", None), (3, "short text of few words", "de", "s1")])
+    found = sorted((r["doc_id"], r["component_id"]) for r in jaccard.classes(table).collect())
+    assert found == [(1, 1), (1, 1), (2, 1), (3, 3)]
+    digests = {r["doc_id"]: r["decoded_sha256"] for r in bpe.digest(table, VOCABULARY, public_tokenizers.PATTERN).collect()}
+    assert digests[1] == hashlib.sha256(long.encode()).hexdigest()
+    assert {r["n_email"] for r in pii.digest(table).collect()} == {0}
+    taken = mixing.mix(table).collect()
+    assert len(taken) == 4 and sum(r["size"] for r in taken) == 3 * 800_000 + 7
+    assert sorted(r["n_tokens"] for r in separators.counts(table, ENGLISH, public_tokenizers.PATTERN, END_OF_DOCUMENT).collect())[0] == 5
+
+
+def test_toxicity_without_both_classes(spark):
+    table = make(spark, [(i, f"some words {i}", "en", "s1") for i in range(20)] + [(3, "again", None, None), (None, None, "en", "s")])
+    for toxic in ([], [0] * 9, [1] * 9):
+        labels = spark.createDataFrame([(i, 1, t) for i, t in enumerate(toxic)], "doc_id long, quality int, toxic int")
+        rows = toxicity.severity(table, labels).collect()
+        assert len(rows) == 22 and all(np.isfinite(r["severity"]) for r in rows)
+        if not any(toxic):
+            assert not any(r["toxic"] for r in rows)
