@@ -25,10 +25,10 @@ import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarrylight.llm._common import small_batches
+from quarrylight.llm._common import small_batches, tidy
 
 #: Entries after which a memo is emptied; a bound on memory, never on results.
-MEMO_ENTRIES = 250_000
+MEMO_ENTRIES = 100_000
 
 _codecs: dict[str, Codec] = {}
 
@@ -261,7 +261,7 @@ def encode(docs: DataFrame, vocab_path: str, pattern: str, id_col: str = "doc_id
 
     narrow = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     kind = narrow.schema["id"].dataType.simpleString()
-    return narrow.mapInArrow(run, f"id {kind}, ids array<int>").withColumnRenamed("id", id_col)
+    return narrow.mapInArrow(tidy(run), f"id {kind}, ids array<int>").withColumnRenamed("id", id_col)
 
 
 def decode(encoded: DataFrame, vocab_path: str, pattern: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
@@ -276,7 +276,7 @@ def decode(encoded: DataFrame, vocab_path: str, pattern: str, id_col: str = "doc
 
     narrow = encoded.select(F.col(id_col).alias("id"), F.col(ids_col).alias("ids"))
     kind = narrow.schema["id"].dataType.simpleString()
-    return narrow.mapInArrow(run, f"id {kind}, bytes binary").withColumnRenamed("id", id_col)
+    return narrow.mapInArrow(tidy(run), f"id {kind}, bytes binary").withColumnRenamed("id", id_col)
 
 
 def tokenised(docs: DataFrame, vocab_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -294,7 +294,7 @@ def tokenised(docs: DataFrame, vocab_path: str, pattern: str, id_col: str = "doc
 
     narrow = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     kind = narrow.schema["id"].dataType.simpleString()
-    return narrow.mapInArrow(run, f"id {kind}, n_tokens long, ids array<int>, decoded_sha256 string").withColumnRenamed("id", id_col)
+    return narrow.mapInArrow(tidy(run), f"id {kind}, n_tokens long, ids array<int>, decoded_sha256 string").withColumnRenamed("id", id_col)
 
 
 def digest(docs: DataFrame, vocab_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -320,5 +320,5 @@ def digest(docs: DataFrame, vocab_path: str, pattern: str, id_col: str = "doc_id
 
     narrow = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     kind = narrow.schema["id"].dataType.simpleString()
-    out = narrow.mapInArrow(run, f"id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    out = narrow.mapInArrow(tidy(run), f"id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
     return out.withColumnRenamed("id", id_col)

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarrylight.llm import graph
-from quarrylight.llm._common import original, remove, reserved, small_batches, written
+from quarrylight.llm._common import original, remove, reserved, small_batches, tidy, written
 
 #: Tokens that the order puts last, at most: a bound on the broadcast, not on what is joined.
 FREQUENT = 1 << 17
@@ -193,7 +193,7 @@ def _digests(texts: DataFrame, words: int) -> DataFrame:
         if len(counts):
             yield told(counts)
 
-    return texts.mapInArrow(run, "id long, n long, k1 long, k2 long, first long, sig binary, token long, count long")
+    return texts.mapInArrow(tidy(run), "id long, n long, k1 long, k2 long, first long, sig binary, token long, count long")
 
 
 _COUNTED = np.dtype([("token", "u8"), ("count", "i8")])
@@ -221,7 +221,7 @@ def _tokens_of(texts: DataFrame, ids: DataFrame, words: int) -> DataFrame:
             out = [shingles(t.as_py(), words).tobytes() for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=["id", "tokens"])
 
-    made = written(picked.mapInArrow(run, "id long, tokens binary"), "jaccard-tokens")
+    made = written(picked.mapInArrow(tidy(run), "id long, tokens binary"), "jaccard-tokens")
     remove(ids)
     return made
 
@@ -292,7 +292,7 @@ def _opened(rows: DataFrame, percent: int, n_tasks: int) -> DataFrame:
         if edges:
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*edges, strict=True)], names=["a", "b"])
 
-    return dealt.mapInArrow(run, "a long, b long")
+    return dealt.mapInArrow(tidy(run), "a long, b long")
 
 
 def _parts(queries: DataFrame) -> DataFrame:
@@ -348,7 +348,7 @@ def _pivot_pairs(members: DataFrame, queries: DataFrame, sigs: DataFrame, percen
                     asked.append(doc)
             yield pa.RecordBatch.from_arrays([pa.array(pivots, pa.int64()), pa.array(asked, pa.int64())], names=["grp", "id"])
 
-    return dealt.mapInArrow(run, "grp long, id long").distinct()
+    return dealt.mapInArrow(tidy(run), "grp long, id long").distinct()
 
 
 def _unions(in_groups: DataFrame, sigs: DataFrame, n_tasks: int) -> DataFrame:
@@ -380,7 +380,7 @@ def _unions(in_groups: DataFrame, sigs: DataFrame, n_tasks: int) -> DataFrame:
             out.append((now, least, union.tobytes()))
             yield told()
 
-    return dealt.mapInArrow(run, "grp long, least long, held binary")
+    return dealt.mapInArrow(tidy(run), "grp long, least long, held binary")
 
 
 def _qualifying(asked: DataFrame, unions: DataFrame, sigs: DataFrame, percent: int) -> DataFrame:
@@ -410,7 +410,38 @@ def _prefixes(texts: DataFrame, frequent, words: int, percent: int) -> DataFrame
                 out.append((prefix(tokens, *shared.value, percent) if len(tokens) else tokens).tobytes())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ns, pa.int32()), pa.array(out, pa.binary())], names=["id", "n", "prefix"])
 
-    return texts.where("id IS NOT NULL").mapInArrow(cut, "id long, n int, prefix binary").where("n > 0")
+    return texts.where("id IS NOT NULL").mapInArrow(tidy(cut), "id long, n int, prefix binary").where("n > 0")
+
+
+_MET = np.dtype([("token", "u8"), ("component", "i8"), ("id", "i8"), ("n", "i4"), ("at", "i4")])
+#: Bytes of a token, beyond the bits that name its bucket, that go along: equal ones make candidates, token sets decide.
+_TOKEN_BYTES = 5
+
+
+def _planes(column: np.ndarray, width: int) -> bytes:
+    """The low bytes of a column, plane by plane, so that bytes that hardly change stand together and compress."""
+    return np.ascontiguousarray(column.astype("<i8").view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes()
+
+
+def _pack(rows: np.ndarray, bits: int) -> bytes:
+    """Records of one bucket: tokens cut to their telling bits, ids as steps, components as distances from ids."""
+    token = (rows["token"] << _U(bits)) >> _U(64 - 8 * _TOKEN_BYTES)
+    steps = np.diff(rows["id"], prepend=0)
+    return b"".join([_planes(token.view(np.int64), _TOKEN_BYTES), _planes(steps, 8), _planes(rows["component"] - rows["id"], 8), _planes(rows["n"], 4), _planes(rows["at"], 4)])
+
+
+def _unpack(data: bytes) -> np.ndarray:
+    widths = (_TOKEN_BYTES, 8, 8, 4, 4)
+    n, at, columns = len(data) // sum(widths), 0, []
+    for width in widths:
+        wide = np.zeros((n, 8), np.uint8)
+        wide[:, :width] = np.frombuffer(data, np.uint8, n * width, at).reshape(width, n).T
+        columns.append(wide.view("<i8").ravel())
+        at += n * width
+    out = np.empty(n, _MET)
+    out["token"], out["id"], out["n"], out["at"] = columns[0], np.cumsum(columns[1]), columns[3], columns[4]
+    out["component"] = out["id"] + columns[2]
+    return out
 
 
 _PAIR = np.dtype([("id", "i8"), ("target", "i8")])
@@ -467,13 +498,11 @@ def _candidates(prefixes: DataFrame, reps: DataFrame, percent: int, n_tasks: int
     documents there gives the queries.
     """
     bits = max(0, (n_tasks - 1).bit_length())
-    record = np.dtype([("token", "u8"), ("component", "i8"), ("id", "i8"), ("n", "i4"), ("at", "i4")])
-
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (b.slice(at, 2_000) for b in batches for at in range(0, b.num_rows, 2_000)):  # records take more room than prefixes
             tokens = [np.frombuffer(p, _U) for p in batch.column(2).to_pylist()]
             many = np.array([len(t) for t in tokens])
-            rows = np.empty(int(many.sum()), record)
+            rows = np.empty(int(many.sum()), _MET)
             if not len(rows):
                 continue
             rows["token"] = np.concatenate(tokens)
@@ -484,10 +513,10 @@ def _candidates(prefixes: DataFrame, reps: DataFrame, percent: int, n_tasks: int
             order = np.argsort(place, kind="stable")
             rows, place = rows[order], place[order]
             at, first = np.unique(place, return_index=True)
-            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array([x.tobytes() for x in np.split(rows, first[1:])], pa.binary())], names=["bucket", "rows"])
+            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array([_pack(x, bits) for x in np.split(rows, first[1:])], pa.binary())], names=["bucket", "rows"])
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [np.frombuffer(x, record) for batch in batches for x in batch.column(1).to_pylist()]
+        held = [_unpack(x.as_py()) for batch in batches for x in batch.column(1)]
         if not held:
             return
         rows = np.concatenate(held)
@@ -517,8 +546,8 @@ def _candidates(prefixes: DataFrame, reps: DataFrame, percent: int, n_tasks: int
             yield _pair_batch(np.unique(np.concatenate(held)))
 
     known = prefixes.join(reps.select("id", "component"), "id").select("id", "n", "prefix", "component")
-    dealt = known.mapInArrow(deal, "bucket int, rows binary").repartitionById(1 << bits, "bucket")
-    return dealt.mapInArrow(meet, "id long, target long").distinct()
+    dealt = known.mapInArrow(tidy(deal), "bucket int, rows binary").repartitionById(1 << bits, "bucket")
+    return dealt.mapInArrow(tidy(meet), "id long, target long").distinct()
 
 
 def classes(docs: DataFrame, percent: int = 80, words: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -554,9 +583,8 @@ def classes(docs: DataFrame, percent: int = 80, words: int = 5, id_col: str = "d
     # then what is left: queries against the groups of other components that share a prefix token
     first_round = reps.join(near.withColumnRenamed("node", "id"), "id", "left").select("id", "n", "bits", F.coalesce("component", "id").alias("component")).distinct()
     known = written(first_round, "jaccard-known")
-    prefixes = written(_prefixes(texts, frequent, words, percent), "jaccard-prefixes")
+    prefixes = _prefixes(texts, frequent, words, percent)
     wanted = written(_candidates(prefixes, known.select("id", "component").distinct(), percent, n_tasks), "jaccard-candidates")
-    remove(prefixes)
     # members of a group have bitmaps of one length; a query only asks groups of its own and of the next lengths
     sizes = known.groupBy("component", "bits").agg(F.ceil(F.greatest(F.count("*") / GROUP, F.sum("n") / GROUP_TOKENS)).cast("int").alias("groups"))
     opened = written(wanted.select("target").distinct().join(sizes, F.col("target") == F.col("component")).select("component", "bits", "groups"), "jaccard-opened")
@@ -588,14 +616,18 @@ def representatives(docs: DataFrame, percent: int = 80, words: int = 5, id_col:
     """The rows of ``docs`` with one document kept of each class: that with the smallest id.
 
     Rows without an id and texts without words stay, as they link with nothing.  Of repeated
-    rows with the kept id, one stays.
+    rows with the kept id, one with words stays.  What is marked is what goes or repeats, mostly
+    the fewer: up to PICKED ids meet the texts where these lie, more by a shuffle.
     """
-    found = classes(docs, percent, words, id_col, text_col).where(F.col(id_col).isNotNull())
-    keep = found.where((F.col("n_shingles") == 0) | (F.col(id_col) == F.col("component_id")))
+    found = classes(docs, percent, words, id_col, text_col).where((F.col("n_shingles") > 0) & F.col(id_col).isNotNull())
+    goes = F.max(F.col(id_col) != F.col("component_id")).alias("_goes")
+    marks = found.groupBy(F.col(id_col).alias("_marked")).agg(goes, F.count("*").alias("_times")).where("_goes OR _times > 1")
+    marks = written(marks, "jaccard-marks")
+    remove(found)
     named, held = reserved(docs)
-    kept_ids = keep.groupBy(F.col(id_col).alias("_kept")).agg(F.sum(F.when(F.col("n_shingles") > 0, 1).otherwise(0)).alias("_times"))
-    kept_ids = written(kept_ids, "jaccard-kept")  # read twice below
-    key = F.col(held[id_col]).cast("long")
-    kept = named.join(kept_ids, key == F.col("_kept"))
-    once, repeated = kept.where("_times <= 1"), kept.where("_times > 1").dropDuplicates(["_kept"])
-    return original(once.unionByName(repeated).drop("_kept", "_times").unionByName(named.where(key.isNull())), docs)
+    marked = named.join(F.broadcast(marks) if marks.count() <= PICKED else marks.hint("merge"), F.col(held[id_col]).cast("long") == F.col("_marked"), "left")
+    # a text with words; others link with nothing
+    counts = F.col("_marked").isNotNull() & F.coalesce(F.col(held[text_col]).cast("string"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
+    single = marked.where(~counts)
+    repeated = marked.where(counts & ~F.col("_goes")).dropDuplicates(["_marked"])
+    return original(single.unionByName(repeated).drop("_marked", "_goes", "_times"), docs)

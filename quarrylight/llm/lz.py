@@ -22,7 +22,7 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarrylight.llm._common import small_batches
+from quarrylight.llm._common import small_batches, tidy
 
 #: Values kept of each text; the standard error of likeness is at most 0.5 / sqrt(SIZE).
 SIZE = 128
@@ -122,7 +122,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     narrow = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     kind = narrow.schema["id"].dataType.simpleString()
-    return narrow.mapInArrow(run, f"id {kind}, fingerprint string").withColumnRenamed("id", id_col)
+    return narrow.mapInArrow(tidy(run), f"id {kind}, fingerprint string").withColumnRenamed("id", id_col)
 
 
 def compare(pairs: DataFrame, left: str = "fingerprint_a", right: str = "fingerprint_b", name: str = "likeness") -> DataFrame:
@@ -216,7 +216,7 @@ def edited_likeness(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         if rows:
             yield emit(rows)
 
-    out = dealt.select("id", "text", "at", "guard").mapInArrow(run, "id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    out = dealt.select("id", "text", "at", "guard").mapInArrow(tidy(run), "id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
     return out.withColumnRenamed("id", id_col)
 
 

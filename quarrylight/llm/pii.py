@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarrylight.llm._common import small_batches
+from quarrylight.llm._common import small_batches, tidy
 
 #: Kinds in the order of the digest.
 KINDS = ("email", "ip", "card", "phone")
@@ -305,7 +305,7 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 
     narrow = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     kind = narrow.schema["id"].dataType.simpleString()
-    return narrow.mapInArrow(run, f"id {kind}, kind string, start long, end long, disguised boolean, value string").withColumnRenamed("id", id_col)
+    return narrow.mapInArrow(tidy(run), f"id {kind}, kind string, start long, end long, disguised boolean, value string").withColumnRenamed("id", id_col)
 
 
 def digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -330,7 +330,7 @@ def digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
 
     narrow = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     kind = narrow.schema["id"].dataType.simpleString()
-    out = narrow.mapInArrow(run, f"id {kind}, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long")
+    out = narrow.mapInArrow(tidy(run), f"id {kind}, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_added long")
     return out.withColumnRenamed("id", id_col)
 
 

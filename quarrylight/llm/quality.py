@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarrylight.llm._common import remove, small_batches, written
+from quarrylight.llm._common import remove, small_batches, tidy, written
 
 #: Labelled documents that the models are fitted on, at most; rounds of exchange; share of the corpus that a view hands over in the first.
 LABELLED, ROUNDS, SHARE = 4_000, 3, 0.1
@@ -235,7 +235,7 @@ def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *_views(*(batch.column(i) for i in range(2, 6)))], names=["id", "key", "text", "meta"])
 
     narrow = docs.select(docs[id_col].alias("id"), F.xxhash64(docs[id_col]).alias("key"), *_columns(docs, text_col))
-    return narrow.mapInArrow(run, f"id {narrow.schema['id'].dataType.simpleString()}, key long, text binary, meta binary")
+    return narrow.mapInArrow(tidy(run), f"id {narrow.schema['id'].dataType.simpleString()}, key long, text binary, meta binary")
 
 
 _WIDTHS = (TEXT_WIDTH, META_WIDTH)
@@ -269,7 +269,7 @@ def _handed(made: DataFrame, views: tuple[View, View], sampled: np.ndarray, shar
         yield pa.RecordBatch.from_arrays([pa.array(v), pa.array(at), pa.array(counts[v, at])], names=["view", "bin", "n"])
 
     narrow = made.select("key", "text", "meta")
-    sums = narrow.mapInArrow(spread, "view long, bin long, n long").groupBy("view", "bin").agg(F.sum("n").alias("n")).toArrow()
+    sums = narrow.mapInArrow(tidy(spread), "view long, bin long, n long").groupBy("view", "bin").agg(F.sum("n").alias("n")).toArrow()
     counts = np.zeros((2, _LOGIT_BINS), np.int64)
     counts[sums["view"].to_numpy(), sums["bin"].to_numpy()] = sums["n"].to_numpy()
     limits = []
@@ -294,7 +294,7 @@ def _handed(made: DataFrame, views: tuple[View, View], sampled: np.ndarray, shar
             at = np.flatnonzero(held.any(axis=1))
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), v)), pa.array(at), pa.array(held[at, 0]), pa.array(held[at, 1])], names=["view", "at", "poor", "good"])
 
-    sums = narrow.mapInArrow(count, "view long, at long, poor long, good long").groupBy("view", "at").agg(F.sum("poor").alias("poor"), F.sum("good").alias("good")).toArrow()
+    sums = narrow.mapInArrow(tidy(count), "view long, at long, poor long, good long").groupBy("view", "at").agg(F.sum("poor").alias("poor"), F.sum("good").alias("good")).toArrow()
     view, at = sums["view"].to_numpy(), sums["at"].to_numpy()
     out = [np.zeros((width + 1, 2), np.int64) for width in _WIDTHS]
     for v in (0, 1):
@@ -369,7 +369,7 @@ def score_features(made: DataFrame, model: Model, id_col: str = "doc_id") -> Dat
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(p_text), pa.array(p_meta), pa.array(both), pa.array((both >= 0.5).astype(np.int32))], names=["id", "p_text", "p_meta", "score", "keep"])
 
     kind = made.schema["id"].dataType.simpleString()
-    return made.select("id", "text", "meta").mapInArrow(run, f"id {kind}, p_text double, p_meta double, score double, keep int").withColumnRenamed("id", id_col)
+    return made.select("id", "text", "meta").mapInArrow(tidy(run), f"id {kind}, p_text double, p_meta double, score double, keep int").withColumnRenamed("id", id_col)
 
 
 def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -22,7 +22,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quarrylight.llm._common import shared_dir, small_batches, written
+from quarrylight.llm._common import shared_dir, small_batches, tidy, written
 from quarrylight.llm.bpe import _shared_codec
 
 BLOCK_TOKENS = 1 << 20
@@ -81,7 +81,7 @@ def write_flat(docs: DataFrame, path: str, vocab_path: str, pattern: str, eod: i
         return get().ranks
 
     narrow = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return narrow.mapInArrow(run, "file string, ordinal long, id long")
+    return narrow.mapInArrow(tidy(run), "file string, ordinal long, id long")
 
 
 def scan(spark: SparkSession, path: str, eod: int, dtype: str = "<u2", block_tokens: int = BLOCK_TOKENS) -> DataFrame:
@@ -111,7 +111,7 @@ def scan(spark: SparkSession, path: str, eod: int, dtype: str = "<u2", block_tok
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["file", "block", "count", "seps", "first", "last", "begins", "inner"])
 
     # the blocks are scanned once; sums over a file's blocks carry a few numbers for each, not its documents
-    scanned = written(spread.mapInArrow(run, "file string, block long, count long, seps long, first long, last long, begins array<long>, inner array<long>"), "flat-blocks")
+    scanned = written(spread.mapInArrow(tidy(run), "file string, block long, count long, seps long, first long, last long, begins array<long>, inner array<long>"), "flat-blocks")
     found, lengths = scanned.drop("begins", "inner"), scanned.where("seps > 1").select("file", "block", "begins", "inner")
     order = Window.partitionBy("file").orderBy("block")
     before = order.rowsBetween(Window.unboundedPreceding, -1)

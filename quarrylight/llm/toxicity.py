@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarrylight.llm._common import small_batches
+from quarrylight.llm._common import small_batches, tidy
 
 #: Labelled documents that the model is fitted on, at most; hashed features; least documents of a feature.
 SAMPLE, FEATURES, LEAST_DOCS = 8_000, 1 << 20, 6
@@ -137,7 +137,7 @@ def grades_of(labelled: DataFrame) -> tuple[list[np.ndarray], np.ndarray]:
             own = [np.array([xxhash.xxh32_intdigest(f"w{w}") % FEATURES for w in ws], np.int32).tobytes() for ws in words]
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(out, pa.binary()), pa.array(own, pa.binary())], names=["toxic", "features", "words"])
 
-    held = labelled.select("text", F.col("toxic").cast("int").alias("toxic")).mapInArrow(run, "toxic int, features binary, words binary").orderBy(F.xxhash64("features", "words"), "toxic").limit(SAMPLE).toArrow()  # an id may be repeated
+    held = labelled.select("text", F.col("toxic").cast("int").alias("toxic")).mapInArrow(tidy(run), "toxic int, features binary, words binary").orderBy(F.xxhash64("features", "words"), "toxic").limit(SAMPLE).toArrow()  # an id may be repeated
     toxic = held["toxic"].to_numpy()
     sets = [np.frombuffer(x, np.int32) for x in held["features"].to_pylist()]
     words = [np.frombuffer(x, np.int32) for x in held["words"].to_pylist()]
@@ -174,7 +174,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
     narrow = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     kind = narrow.schema["id"].dataType.simpleString()
-    out = narrow.mapInArrow(run, f"id {kind}, {', '.join(f'{n} double' for n in names)}, severity double, toxic int")
+    out = narrow.mapInArrow(tidy(run), f"id {kind}, {', '.join(f'{n} double' for n in names)}, severity double, toxic int")
     return out.withColumnRenamed("id", id_col)
 
 
