@@ -3,23 +3,27 @@
 Nearness is the inner product.  Each distinct vector is a node; one more coordinate makes
 all nodes equally long, so that larger inner products are smaller distances.  The graph
 starts from the neighbours within the leaves of some random projection trees and improves
-by NN-descent: neighbours of a node are compared with each other, and each keeps the
-nearest it has met.  A query walks the graph from its node, always opening the nearest
-nodes that it hasn't opened.
+by NN-descent: neighbours of a node are compared with each other, unless both were in an
+earlier round, and each keeps the nearest it has met.  Rounds go on until few lists change.
+A query walks the graph from its node, always opening the nearest nodes that it hasn't
+opened, until those that it would open are all open.
 
 Both are iterated joins between nodes and messages to nodes.  Nodes are dealt into buckets,
 messages are packed into one binary row for each pair of buckets and shuffled to where
 their node is; every round is written to the shared folder.
 
-Vectors that are null, zero, or hold nulls or non-finite numbers take no part, nor do those
-whose length isn't the most common one.  Copies of a vector are one node; the smallest ids
-of each node stand for it, as many as a result can hold.  Approximate: neighbours may be
-missed.  Scores are exact, in double precision, on the original vectors.
+Vectors that are null, zero, or hold nulls or non-finite numbers take no part.  Vectors of
+different lengths have no inner product: each length has a graph of its own, and queries
+meet the rows of their length.  Copies of a vector are one node; the smallest ids of each
+node stand for it, as many as a result can hold.  Approximate: neighbours may be missed.
+The graph compares vectors in half precision; every node that a query looks at is scored in
+double precision on the original vectors, so near copies are told apart.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -28,16 +32,22 @@ from pyspark.sql import functions as F
 
 from quarrylight.llm._common import remove, written
 
-#: Neighbours kept of a node, reverse ones used beside them, trees, rows of a leaf, rounds.
-K, REVERSE, TREES, LEAF, ROUNDS = 40, 32, 10, 512, 3
-#: Nodes that a query keeps in sight, those that it opens in a round, and its rounds.
-SIGHT, OPENED, STEPS = 192, 64, 4
-#: Vectors that the trees' planes are drawn from.
-SAMPLE = 8_192
+#: Neighbours kept of a node, reverse ones used beside them, trees, rows of a leaf.
+K, REVERSE, TREES, LEAF = 40, 32, 10, 512
+#: Rounds end when this share of all neighbours is new, and after so many at the latest.
+SETTLED, MOST_ROUNDS = 0.1, 12
+#: Nodes that a query keeps in sight, the best of them that it wants open, those that it opens in a step, and its most steps.
+SIGHT, WANTED, OPENED, MOST_STEPS = 224, 192, 64, 24
+#: Steps end when the nodes still to be opened are this share of all that are wanted.
+UNDONE = 0.005
+#: Vectors that the trees' planes are drawn from: one of so many, within bounds; deeper levels share a plane.
+SAMPLE_OF, SAMPLE_LEAST, SAMPLE_MOST = 32, 8_192, 65_536
 NODES_OF_BUCKET = 3_000
 SCHEMA = "bucket int, kind int, id long, vec binary, data binary"
 
 _EDGE = np.dtype([("to", "i8"), ("of", "i8")])
+_FLAGGED = np.dtype([("to", "i8"), ("of", "i8"), ("new", "u1")])
+_LIST = np.dtype([("of", "i8"), ("sim", "f4"), ("new", "u1")])
 _SCORED = np.dtype([("to", "i8"), ("of", "i8"), ("sim", "f4")])
 
 
@@ -126,16 +136,10 @@ def _best(of: np.ndarray, sim: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarr
 
 
 def _lists(data: bytes) -> tuple[np.ndarray, np.ndarray]:
-    rows = np.frombuffer(data, [("of", "i8"), ("sim", "f4")])
+    rows = np.frombuffer(data, _LIST)
     return rows["of"], rows["sim"]
 
 
-def _listed(of: np.ndarray, sim: np.ndarray) -> bytes:
-    rows = np.empty(len(of), [("of", "i8"), ("sim", "f4")])
-    rows["of"], rows["sim"] = of, sim
-    return rows.tobytes()
-
-
 def valid_vectors(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
     """id, vec (doubles as bytes) and dims of the rows that take part."""
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("v")).where("id IS NOT NULL AND v IS NOT NULL AND size(v) > 0")
@@ -167,27 +171,41 @@ def _planes(sample: np.ndarray, depth: int, trees: int, seed: int) -> np.ndarray
     dims = sample.shape[1]
     out = np.zeros((trees, max(1, (1 << depth) - 1), dims + 1), np.float32)
     for t in range(trees):
-        where = np.zeros(len(sample), np.int64)
-        for node in range((1 << depth) - 1):
-            direction = rng.standard_normal(dims).astype(np.float32)
-            here = np.flatnonzero(where == node)
-            side = sample[here] @ direction
-            out[t, node, :-1], out[t, node, -1] = direction, np.median(side) if len(side) else 0.0
-            where[here] = 2 * node + 1 + (side > out[t, node, -1])
+        level = [np.arange(len(sample))]
+        for d in range(depth):
+            below = []
+            for i, here in enumerate(level):
+                direction = rng.standard_normal(dims).astype(np.float32)
+                side = sample[here] @ direction
+                node = (1 << d) - 1 + i
+                out[t, node, :-1], out[t, node, -1] = direction, np.median(side) if len(side) else 0.0
+                right = side > out[t, node, -1]
+                below += [here[~right], here[right]]
+            level = below
+    return out
+
+
+def _shared_planes(sample: np.ndarray, levels: int, trees: int, seed: int) -> np.ndarray:
+    """For each tree and further level, one plane through the sample's median."""
+    rng = np.random.default_rng(seed + 1)
+    out = rng.standard_normal((trees, levels, sample.shape[1] + 1)).astype(np.float32)
+    for t in range(trees):
+        for level in range(levels):
+            out[t, level, -1] = np.median(sample @ out[t, level, :-1])
     return out
 
 
 def build(nodes: DataFrame, n_nodes: int, n: int, seed: int = 5) -> DataFrame:
     """The graph: rows of SCHEMA with kind 0, vec (half-precision, all of length 1) and data (neighbours, nearest first)."""
     spark = nodes.sparkSession
-    sample = np.stack([np.frombuffer(r["vec"], np.float16).astype(np.float32) for r in nodes.orderBy(F.xxhash64("id", F.lit(seed))).limit(SAMPLE).select("vec").collect()])
-    depth = max(0, min(int(np.ceil(np.log2(max(1, n_nodes / LEAF)))), int(np.log2(max(1, len(sample) / 8)))))
-    planes = spark.sparkContext.broadcast(_planes(sample, depth, TREES, seed))
-    # beyond the leaves that the sample can tell apart, leaves are cut at random
-    cuts = max(1, -(-n_nodes // (LEAF << depth)))
+    size = min(SAMPLE_MOST, max(SAMPLE_LEAST, n_nodes // SAMPLE_OF))
+    sample = np.stack([np.frombuffer(r["vec"], np.float16).astype(np.float32) for r in nodes.orderBy(F.xxhash64("id", F.lit(seed))).limit(size).select("vec").toLocalIterator()])
+    wanted = max(0, int(np.ceil(np.log2(max(1, n_nodes / LEAF)))))
+    depth = min(wanted, int(np.log2(max(1, len(sample) / 8))))
+    planes = spark.sparkContext.broadcast((_planes(sample, depth, TREES, seed), _shared_planes(sample, wanted - depth, TREES, seed)))
 
     def leaves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trees = planes.value
+        trees, further = planes.value
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -196,15 +214,15 @@ def build(nodes: DataFrame, n_nodes: int, n: int, seed: int = 5) -> DataFrame:
                 at = np.zeros(len(vec), np.int64)
                 for _ in range(depth):
                     at = 2 * at + 1 + (np.einsum("ij,ij->i", vec, trees[t, at, :-1]) > trees[t, at, -1])
-                ids = batch.column(0).to_numpy()
-                piece = bucket_of(ids ^ (t + 1), cuts)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(vec), t, np.int32)), pa.array(at), pa.array(piece), batch.column(0), batch.column(1)], names=["tree", "leaf", "piece", "id", "vec"])
+                for plane in further[t]:
+                    at = 2 * at + 1 + (vec @ plane[:-1] > plane[-1])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(vec), t, np.int32)), pa.array(at), batch.column(0), batch.column(1)], names=["tree", "leaf", "id", "vec"])
 
-    dealt = nodes.select("id", "vec").mapInArrow(leaves, "tree int, leaf long, piece int, id long, vec binary")
+    dealt = nodes.select("id", "vec").mapInArrow(leaves, "tree int, leaf long, id long, vec binary")
     # copies are one node, but many vectors that are nearly equal may still fill a leaf
-    full = dealt.groupBy("tree", "leaf", "piece").agg(F.ceil(F.count("*") / (2 * LEAF)).cast("int").alias("parts"))
-    split = dealt.join(full, ["tree", "leaf", "piece"]).withColumn("part", F.pmod(F.xxhash64("id", "tree"), F.col("parts")).cast("int"))
-    order = ["tree", "leaf", "piece", "part"]
+    full = dealt.groupBy("tree", "leaf").agg(F.ceil(F.count("*") / (2 * LEAF)).cast("int").alias("parts"))
+    split = dealt.join(full, ["tree", "leaf"]).withColumn("part", F.pmod(F.xxhash64("id", "tree"), F.col("parts")).cast("int"))
+    order = ["tree", "leaf", "part"]
 
     def within(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def near(ids: list[int], vecs: list[bytes]) -> Iterator[tuple]:
@@ -222,7 +240,7 @@ def build(nodes: DataFrame, n_nodes: int, n: int, seed: int = 5) -> DataFrame:
 
         now, ids, vecs = None, [], []
         for batch in batches:
-            for *at, i, v in zip(*(batch.column(c) for c in range(6)), strict=True):
+            for *at, i, v in zip(*(batch.column(c) for c in range(5)), strict=True):
                 at = tuple(x.as_py() for x in at)
                 if at != now:
                     if ids:
@@ -235,36 +253,54 @@ def build(nodes: DataFrame, n_nodes: int, n: int, seed: int = 5) -> DataFrame:
 
     found = split.select(*order, "id", "vec").repartition(n, *order).sortWithinPartitions(*order).mapInArrow(within, SCHEMA)
     state = _meet(nodes, found, n, _merge, "nn-forest", _SCORED)
-    for _ in range(ROUNDS):
+    for _ in range(MOST_ROUNDS):
         better = _descend(state, n)
         remove(state)
         state = better
+        if _fresh(state) <= SETTLED * K * n_nodes:
+            break
     return state
 
 
+def _fresh(state: DataFrame) -> int:
+    """Neighbours that the last round brought, over all nodes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([sum(int(np.frombuffer(d.as_py(), _LIST)["new"].sum()) for d in batch.column(0))])], names=["n"])
+
+    return state.select("data").mapInArrow(run, "n long").agg(F.sum("n")).first()[0] or 0
+
+
 def _merge(here: dict) -> Iterator[tuple]:
-    """Nodes with the messages' neighbours taken in; their lists hold the K nearest."""
+    """Nodes with the messages' neighbours taken in; their lists hold the K nearest, and which of them are new."""
     ids, got = here["ids"], here["messages"]
     got = got[np.argsort(got["to"], kind="stable")]
     low, high = np.searchsorted(got["to"], ids), np.searchsorted(got["to"], ids, "right")
     for i, node in enumerate(ids.tolist()):
-        of, sim = _lists(here["data"][i] or b"")
+        old = np.frombuffer(here["data"][i] or b"", _LIST)
         new = got[low[i] : high[i]]
-        if len(new):
-            of, sim = _best(np.concatenate([of, new["of"]]), np.concatenate([sim, new["sim"]]), K)
-        yield int(bucket_of(np.array([node]), here["n"])[0]), 0, node, here["vecs"][i], _listed(of, sim)
+        new = new[~np.isin(new["of"], old["of"])]
+        of, sim = _best(np.concatenate([old["of"], new["of"]]), np.concatenate([old["sim"], new["sim"]]), K)
+        rows = np.empty(len(of), _LIST)
+        rows["of"], rows["sim"], rows["new"] = of, sim, ~np.isin(of, old["of"])
+        yield int(bucket_of(np.array([node]), here["n"])[0]), 0, node, here["vecs"][i], rows.tobytes()
 
 
 def _descend(state: DataFrame, n: int) -> DataFrame:
-    """One round of NN-descent: neighbours, forward and reverse, of each node are compared with each other."""
+    """One round of NN-descent: neighbours, forward and reverse, of each node are compared with each other.
+
+    Pairs that are both old met in an earlier round; nodes without new neighbours ask nobody.
+    """
 
     def reverse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lists = [_lists(d.as_py())[0] for d in batch.column(4)]
+            lists = [np.frombuffer(d.as_py(), _LIST) for d in batch.column(4)]
             if not lists:
                 continue
-            rows = np.empty(sum(map(len, lists)), _EDGE)
-            rows["to"] = np.concatenate(lists)
+            rows = np.empty(sum(map(len, lists)), _FLAGGED)
+            every = np.concatenate(lists)
+            rows["to"], rows["new"] = every["of"], every["new"]
             rows["of"] = np.repeat(batch.column(2).to_numpy(), [len(x) for x in lists])
             yield _batch(list(_packed(rows, n)))
 
@@ -274,9 +310,13 @@ def _descend(state: DataFrame, n: int) -> DataFrame:
         low, high = np.searchsorted(got["to"], ids), np.searchsorted(got["to"], ids, "right")
         asked = []
         for i, node in enumerate(ids.tolist()):
-            around = np.unique(np.concatenate([_lists(here["data"][i])[0], got["of"][low[i] : high[i]][:REVERSE]]))
-            rows = np.empty(len(around), _EDGE)
-            rows["to"], rows["of"] = around, node
+            own, back = np.frombuffer(here["data"][i], _LIST), got[low[i] : high[i]][:REVERSE]
+            around, first = np.unique(np.concatenate([own["of"], back["of"]]), return_index=True)
+            fresh = np.concatenate([own["new"], back["new"]])[first]
+            if not fresh.any():
+                continue
+            rows = np.empty(len(around), _FLAGGED)
+            rows["to"], rows["of"], rows["new"] = around, node, fresh
             asked.append(rows)
         if asked:
             yield from _packed(np.concatenate(asked), n)
@@ -286,12 +326,12 @@ def _descend(state: DataFrame, n: int) -> DataFrame:
         if not len(ids) or not len(got):
             return
         vecs = np.stack([np.frombuffer(v, np.float16) for v in here["vecs"]])
-        worst = np.array([_lists(d)[1][-1] if len(d) == 12 * K else -2.0 for d in here["data"]], np.float32)
+        worst = np.array([_lists(d)[1][-1] if len(d) == _LIST.itemsize * K else -2.0 for d in here["data"]], np.float32)
         for start in range(0, len(got), 50_000):
             part = got[start : start + 50_000]
             at = np.searchsorted(ids, part["to"])
             rows = np.empty(len(part), _member(vecs.shape[1]))
-            rows["to"], rows["of"], rows["worst"], rows["vec"] = part["of"], part["to"], worst[at], vecs[at]
+            rows["to"], rows["of"], rows["worst"], rows["new"], rows["vec"] = part["of"], part["to"], worst[at], part["new"], vecs[at]
             yield from _packed(rows, n)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -307,7 +347,8 @@ def _descend(state: DataFrame, n: int) -> DataFrame:
             vec = members["vec"].astype(np.float32)
             sims = vec @ vec.T
             np.fill_diagonal(sims, -3.0)
-            a, b = np.nonzero(sims > members["worst"][:, None])
+            unmet = (members["new"][:, None] | members["new"][None, :]) > 0
+            a, b = np.nonzero((sims > members["worst"][:, None]) & unmet)
             rows = np.empty(len(a), _SCORED)
             rows["to"], rows["of"], rows["sim"] = members["of"][a], members["of"][b], sims[a, b]
             out.append(rows)
@@ -320,8 +361,8 @@ def _descend(state: DataFrame, n: int) -> DataFrame:
 
     width = len(state.select("vec").first()[0]) // 2
     back = state.mapInArrow(reverse, SCHEMA)
-    asked = _meet(state, back, n, ask, "nn-ask", _EDGE)
-    answers = _meet(state, asked, n, answer, "nn-answer", _EDGE)
+    asked = _meet(state, back, n, ask, "nn-ask", _FLAGGED)
+    answers = _meet(state, asked, n, answer, "nn-answer", _FLAGGED)
     updates = written(answers.repartitionById(n, "bucket").mapInArrow(compare, SCHEMA), "nn-updates")
     better = _meet(state, updates, n, _merge, "nn-graph", _SCORED)
     remove(asked, answers, updates)
@@ -329,7 +370,7 @@ def _descend(state: DataFrame, n: int) -> DataFrame:
 
 
 def _member(width: int) -> np.dtype:
-    return np.dtype([("to", "i8"), ("of", "i8"), ("worst", "f4"), ("vec", "f2", (width,))])
+    return np.dtype([("to", "i8"), ("of", "i8"), ("worst", "f4"), ("new", "u1"), ("vec", "f2", (width,))])
 
 
 def _sift(rows: np.ndarray) -> np.ndarray:
@@ -344,14 +385,15 @@ def _sift(rows: np.ndarray) -> np.ndarray:
     return rows[rank < K]
 
 
-def greedy(graph: DataFrame, queries: DataFrame, n: int) -> DataFrame:
-    """For each query (rows of SCHEMA, kind 0: id, vec with a last coordinate of 0, data unused) the nodes in sight.
+def greedy(graph: DataFrame, exact: DataFrame, queries: DataFrame, n: int) -> DataFrame:
+    """For each query (rows of SCHEMA, kind 0: id, vec, data unused) the nodes in sight.
 
     Queries start at the node of their own id.  Each step opens the nearest unopened nodes
     of all queries at once: the graph answers with their neighbours, these with their
-    nearness.  Returns rows of SCHEMA with data (of, sim), nearest first.
+    nearness, in double precision on the vectors of ``exact`` (id, vec).  A query is done when
+    the WANTED best of its nodes in sight are open; when all but a few are, the walk ends.  Returns rows of SCHEMA with data (of,
+    sim, opened), nearest first.
     """
-    width = len(graph.select("vec").first()[0]) // 2
     asking = np.dtype([("to", "i8"), ("of", "i8")])
 
     def begin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -405,14 +447,14 @@ def greedy(graph: DataFrame, queries: DataFrame, n: int) -> DataFrame:
         ids = here["ids"][own]
         if not len(own):
             return
-        vecs = np.stack([np.frombuffer(here["vecs"][i], np.float16) for i in own]).astype(np.float32)
+        vecs = np.stack([np.frombuffer(here["vecs"][i], np.float64) for i in own])
         out = []
         for i in np.flatnonzero(kinds == 2).tolist():
             look = np.frombuffer(here["data"][i], np.int64)
             at = np.searchsorted(ids, look)
-            rows = np.empty(len(look), _SCORED)
+            rows = np.empty(len(look), _RATED)
             rows["to"], rows["of"] = here["ids"][i], look
-            rows["sim"] = vecs[at] @ np.frombuffer(here["vecs"][i], np.float16).astype(np.float32)
+            rows["sim"] = [np.dot(v, q) for q in [np.frombuffer(here["vecs"][i], np.float64)] for v in vecs[at]]
             if len(rows) > SIGHT:
                 rows = rows[np.argpartition(-rows["sim"], SIGHT)[:SIGHT]]
             out.append(rows)
@@ -437,7 +479,7 @@ def greedy(graph: DataFrame, queries: DataFrame, n: int) -> DataFrame:
             out = []
             for query, data in zip(batch.column(2).to_pylist(), batch.column(4).to_pylist(), strict=True):
                 rows = np.frombuffer(data, _SEEN)
-                go = rows["of"][rows["opened"] == 0][:OPENED]
+                go = rows["of"][:WANTED][rows["opened"][:WANTED] == 0][:OPENED]
                 asked = np.empty(len(go), asking)
                 asked["to"], asked["of"] = go, query
                 out.append(asked)
@@ -449,26 +491,28 @@ def greedy(graph: DataFrame, queries: DataFrame, n: int) -> DataFrame:
             out = []
             for b, k, i, v, data in zip(*(batch.column(c).to_pylist() for c in range(5)), strict=True):
                 rows = np.frombuffer(data, _SEEN).copy()
-                rows["opened"][np.flatnonzero(rows["opened"] == 0)[:OPENED]] = 1
+                rows["opened"][np.flatnonzero(rows["opened"][:WANTED] == 0)[:OPENED]] = 1
                 out.append((b, k, i, v, rows.tobytes()))
             yield _batch(out)
 
     wide = _meet(graph, graph.mapInArrow(back, SCHEMA), n, both_ways, "nn-wide", _EDGE)
-    state, asked = queries, queries.mapInArrow(begin, SCHEMA)
-    for step in range(STEPS + 1):
+    state, asked = queries, written(queries.mapInArrow(begin, SCHEMA), "nn-asked")
+    limit = UNDONE * queries.count() * WANTED * asking.itemsize
+    for _ in range(MOST_STEPS):
         lists = _meet(wide, asked, n, neighbours, "nn-lists", asking)
         chosen = _meet(state, lists, n, choose, "nn-chosen", asking)
-        rated = written(wide.unionByName(chosen).repartitionById(n, "bucket").mapInArrow(_all_kinds(rate), SCHEMA), "nn-rated")
-        new = _meet(state, rated, n, look_on, "nn-sight", _SCORED)
-        remove(lists, chosen, rated)
-        if step < STEPS:
-            asked, state = new.mapInArrow(ahead, SCHEMA), new.mapInArrow(mark, SCHEMA)
-        else:
-            state = new
-    return state
+        rated = written(exact.unionByName(chosen).repartitionById(n, "bucket").mapInArrow(_all_kinds(rate), SCHEMA), "nn-rated")
+        new = _meet(state, rated, n, look_on, "nn-sight", _RATED)
+        remove(lists, chosen, rated, asked)
+        asked, state = written(new.mapInArrow(ahead, SCHEMA), "nn-asked"), new.mapInArrow(mark, SCHEMA)
+        if (asked.agg(F.sum(F.length("data"))).first()[0] or 0) <= limit:
+            break
+    remove(wide, asked)
+    return new
 
 
-_SEEN = np.dtype([("of", "i8"), ("sim", "f4"), ("opened", "u1")])
+_SEEN = np.dtype([("of", "i8"), ("sim", "f8"), ("opened", "u1")])
+_RATED = np.dtype([("to", "i8"), ("of", "i8"), ("sim", "f8")])
 
 
 def _all_kinds(act: Callable[[dict], Iterator[tuple]]) -> Callable:
@@ -492,59 +536,66 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "v
     the smaller id, the query's own row left out.  Queries whose vector takes no part have
     no rows; with fewer than k other rows, all that were found are returned.
     """
-    spark = vectors.sparkSession
-    held = written(nodes_of(valid_vectors(vectors, id_col, vec_col), k + 1), "nn-nodes")
-    common = held.groupBy("dims").agg(F.sum(F.size("members")).alias("n")).orderBy(F.desc("n"), F.desc("dims")).first()
-    ids = queries.select(F.col(id_col).cast("long").alias("query_id")).where("query_id IS NOT NULL").distinct()
-    if common is None:
-        return ids.where("false").select("query_id", F.lit(0).alias("rank"), F.lit(0).cast("long").alias(id_col), F.lit(0.0).alias("score"))
-    held = held.where(F.col("dims") == common["dims"])
+    narrow = vectors.select(vectors[id_col].cast("long").alias("id"), vectors[vec_col].alias("vec"))
+    held = written(nodes_of(valid_vectors(narrow, "id", "vec"), k + 1), "nn-nodes")
+    ids = queries.select(queries[id_col].cast("long").alias("query_id")).where("query_id IS NOT NULL").distinct()
+    # which node a query is: rows are matched by their vector, as a node's members are but its smallest
+    wanted = narrow.join(ids, narrow["id"] == F.col("query_id"), "left_semi")
+    own = valid_vectors(wanted, "id", "vec").select(F.col("id").alias("query_id"), F.col("vec").alias("_vec")).distinct()
+    of_node = written(own.join(held.select("node", "vec", "dims"), F.col("_vec") == F.col("vec")).select("query_id", "node", "vec", "dims"), "nn-queries")
+    lengths = sorted(r["dims"] for r in of_node.select("dims").distinct().collect())  # lengths of vectors, not rows
+    names = f"query_id long, rank int, {id_col} long, score double"
+    found = [_among(held.where(F.col("dims") == d), of_node.where(F.col("dims") == d), k) for d in lengths]
+    out = reduce(DataFrame.unionByName, found) if found else of_node.where("false").select("query_id", F.lit(0).alias("rank"), F.col("node").alias("id"), F.lit(0.0).alias("score"))
+    result = written(out, "nn-found")
+    remove(held, of_node, *found)
+    return result.toDF(*(c.split()[0] for c in names.split(", ")))
+
+
+def _among(held: DataFrame, of_node: DataFrame, k: int) -> DataFrame:
+    """The k nearest of each query among nodes of its length: query_id, rank, id, score."""
+    spark = held.sparkSession
     norm = np.sqrt(float(held.agg(F.max(_length_squared("vec"))).first()[0]))
     n_nodes = held.count()
     n = max(spark.sparkContext.defaultParallelism, -(-n_nodes // NODES_OF_BUCKET))
 
-    def halves(as_query: bool):
+    def placed(halved: bool) -> Callable:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 ids = batch.column(0).to_numpy()
                 out = []
                 for i, b, v in zip(ids.tolist(), bucket_of(ids, n).tolist(), batch.column(1).to_pylist(), strict=True):
-                    x = np.frombuffer(v, np.float64) / norm
-                    last = 0.0 if as_query else np.sqrt(max(0.0, 1.0 - float(x @ x)))
-                    out.append((b, 0, i, np.append(x, last).astype(np.float16).tobytes(), b""))
+                    if halved:  # one more coordinate makes all equally long
+                        x = np.frombuffer(v, np.float64) / norm
+                        v = np.append(x, np.sqrt(max(0.0, 1.0 - float(x @ x)))).astype(np.float16).tobytes()
+                    out.append((b, 0, i, v, b""))
                 yield _batch(out)
 
         return run
 
-    nodes = written(held.select("node", "vec").mapInArrow(halves(False), SCHEMA), "nn-start")
+    nodes = written(held.select("node", "vec").mapInArrow(placed(True), SCHEMA), "nn-start")
     graph = build(nodes, n_nodes, n)
+    remove(nodes)
+    exact = written(held.select("node", "vec").mapInArrow(placed(False), SCHEMA), "nn-exact")
+    asking = written(of_node.select("node", "vec").distinct().mapInArrow(placed(False), SCHEMA), "nn-asking")
+    seen = greedy(graph, exact, asking, n)
 
-    # which node a query is: rows are matched by their vector, as a node's members are but its smallest
-    wanted = vectors.join(ids, vectors[id_col].cast("long") == F.col("query_id"), "left_semi")
-    own = valid_vectors(wanted, id_col, vec_col).select(F.col("id").alias("query_id"), F.col("vec").alias("_vec")).distinct()
-    of_node = written(own.join(held.select("node", "vec"), F.col("_vec") == F.col("vec")).select("query_id", "node", "vec"), "nn-queries")
-    asking = written(of_node.select("node", "vec").distinct().mapInArrow(halves(True), SCHEMA), "nn-asking")
-    seen = greedy(graph, asking, n)
-
-    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lists = [np.append(np.frombuffer(d, _SEEN)["of"][: 2 * k + 8], i) for i, d in zip(batch.column(2).to_pylist(), batch.column(4).to_pylist(), strict=True)]
-            lists = [np.unique(x) for x in lists]
+            lists = [np.frombuffer(d, _SEEN) for d in batch.column(4).to_pylist()]
             if lists:
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column(2).to_numpy(), [len(x) for x in lists])), pa.array(np.concatenate(lists))], names=["asked", "node"])
+                every = np.concatenate(lists)
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column(2).to_numpy(), [len(x) for x in lists])), pa.array(every["of"]), pa.array(every["sim"])], names=["asked", "node", "score"])
 
-    def exact(a: pa.Array, b: pa.Array) -> pa.Array:
-        return pa.array([float(np.dot(np.frombuffer(x, np.float64), np.frombuffer(y, np.float64))) for x, y in zip(a.to_pylist(), b.to_pylist(), strict=True)], pa.float64())
-
-    near = seen.mapInArrow(pairs, "asked long, node long").join(held.select("node", "members", "vec"), "node")
-    scored = near.join(of_node.select(F.col("node").alias("asked"), F.col("vec").alias("q")).distinct(), "asked").withColumn("score", F.arrow_udf(exact, "double")("q", "vec"))
-    spread = scored.select("asked", "score", F.explode("members").alias("id"))
-    best = Window.partitionBy("asked").orderBy(F.desc("score"), "id")
-    lists = spread.withColumn("_at", F.row_number().over(best)).where(F.col("_at") <= k + 1)
+    near = seen.mapInArrow(best, "asked long, node long, score double").join(held.select("node", "members"), "node")
+    place = Window.partitionBy("asked").orderBy(F.desc("score"), "id")
+    lists = near.select("asked", "score", F.explode("members").alias("id")).withColumn("_at", F.row_number().over(place)).where(F.col("_at") <= k + 1)
     mine = of_node.select("query_id", F.col("node").alias("asked")).join(lists, "asked").where(F.col("id") != F.col("query_id"))
     final = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
-    ranked = mine.withColumn("rank", F.row_number().over(final)).where(F.col("rank") <= k)
-    return ranked.select("query_id", "rank", F.col("id").alias(id_col), "score")
+    ranked = mine.withColumn("rank", F.row_number().over(final)).where(F.col("rank") <= k).select("query_id", "rank", "id", "score")
+    out = written(ranked, "nn-ranked")
+    remove(graph, exact, asking, seen)
+    return out
 
 
 def _length_squared(column: str):

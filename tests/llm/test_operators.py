@@ -543,3 +543,44 @@ def test_toxicity_without_both_classes(spark):
         assert len(rows) == 22 and all(np.isfinite(r["severity"]) for r in rows)
         if not any(toxic):
             assert not any(r["toxic"] for r in rows)
+
+
+def recall(spark, x, queries, k=20):
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    asked = spark.createDataFrame([(int(i),) for i in queries], "vec_id long")
+    found = defaultdict(list)
+    for r in nndescent.search(rows, asked, k=k).collect():
+        found[r["query_id"]].append(r["vec_id"])
+    hits = 0
+    for q in queries:
+        scores = x @ x[q]
+        scores[q] = -np.inf
+        least = np.sort(scores)[-k]
+        hits += sum(scores[i] >= least for i in found[q])
+        assert len(found[q]) == k == len(set(found[q]))
+    return hits / (k * len(queries))
+
+
+def test_nearest_neighbours_among_near_copies_and_of_odd_norms(spark):
+    rng = np.random.default_rng(8)
+    centre = rng.standard_normal(32)
+    near = centre + 0.002 * rng.standard_normal((1500, 32)) * np.linalg.norm(centre)  # similarities above 0.999
+    near /= np.linalg.norm(near, axis=1)[:, None]
+    other = rng.standard_normal((1500, 32))
+    other /= np.linalg.norm(other, axis=1)[:, None]
+    assert recall(spark, np.concatenate([near, other]), range(0, 3000, 60)) >= 0.95
+    other[7] *= 300  # one vector much longer than all others
+    assert recall(spark, other, range(0, 1500, 30)) >= 0.95
+
+
+def test_nearest_neighbours_of_several_lengths_and_repeated_ids(spark):
+    rows = [(i, [float(i % 7), 1.0, float(i)]) for i in range(30)] + [(100 + i, [1.0, float(i)]) for i in range(5)] + [(3, [9.0, 9.0, 9.0]), (200, [5.0])]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("query_id", F.lit(1)).withColumn("rank", F.lit(2))
+    found = nndescent.search(table, table.where("vec_id IN (0, 100, 200)").select("vec_id"), k=20)
+    got = defaultdict(list)
+    for r in found.orderBy("query_id", "rank").collect():
+        got[r["query_id"]].append((r["vec_id"], r["score"]))
+    assert set(got) == {0, 100}  # a vector alone among its length has no neighbours
+    assert [i for i, _ in got[100]] == [101, 102, 103, 104] or [i for i, _ in got[100]] == [104, 103, 102, 101]
+    assert len(got[0]) == 20 and all(i < 30 for i, _ in got[0])
+    assert found.columns == ["query_id", "rank", "vec_id", "score"]
