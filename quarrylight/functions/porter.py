@@ -84,6 +84,11 @@ def _stems(words: pa.Array) -> pa.Array:
     return pa.array([None if w is None else stem(w) for w in words.to_pylist()], pa.string())
 
 
+def stems(words: DataFrame, column: str = "term") -> DataFrame:
+    """word and term: each word of a column of distinct ones, and its stem."""
+    return words.select(F.col(column).alias("word"), F.arrow_udf(_stems, "string")(column).alias("term"))
+
+
 def stemmed(terms: DataFrame, column: str = "term") -> DataFrame:
     """The rows with ``column`` stemmed; Python sees each distinct word once."""
     vocabulary = terms.select(F.col(column).alias("_word")).distinct().withColumn("_stem", F.arrow_udf(_stems, "string")("_word"))

@@ -7,8 +7,11 @@ from pyspark.sql import functions as F
 
 # Words that the relevance gate doesn't count.
 STOPWORDS = (
-    "the and for are was this that with from what where when why how does did has have its you your into not but can will all any out get got let via per off is of to in on at by or if we do an as be it so no up my me"
-).split()
+    "the", "and", "for", "are", "was", "this", "that", "with", "from", "what", "where", "when", "why", "how", "does", "did",
+    "has", "have", "its", "you", "your", "into", "not", "but", "can", "will", "all", "any", "out", "get", "got", "let", "via",
+    "per", "off", "is", "of", "to", "in", "on", "at", "by", "or", "if", "we", "do", "an", "as", "be", "it", "so", "no", "up",
+    "my", "me",
+)
 
 #: Tokens of one character are dropped.
 LEAST_LENGTH = 2
@@ -19,7 +22,7 @@ EMBEDDED_CHARS = 1000
 def tokens(text: Column) -> Column:
     """Index tokens: camel case split, lower case, runs of a-z and 0-9, two characters or more."""
     spaced = F.regexp_replace(F.coalesce(text, F.lit("")), r"([a-z0-9])([A-Z])", "$1 $2")
-    return F.filter(F.split(F.lower(spaced), r"[^a-z0-9]+"), lambda t: F.length(t) >= LEAST_LENGTH)
+    return F.regexp_extract_all(F.lower(spaced), F.lit(f"[a-z0-9]{{{LEAST_LENGTH},}}"), F.lit(0))
 
 
 def gate_terms(query: Column) -> Column:

@@ -2,25 +2,22 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
-
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarrylight.functions import porter
 from quarrylight.functions import text as T
 
 K1, B = 1.5, 0.75
+#: Rows of a batch of queries, or of what was looked up for one, that are broadcast; larger ones are shuffled.
+MOST_SMALL = 100_000
+#: The term of the one posting that each chunk has besides those of its words: it carries chunks and lengths.
+EVERY = ""
 
 
-@dataclass
-class Index:
-    """tf(chunk_id, term, f), df(term, df), lengths(chunk_id, len) and a row of n and avgdl."""
-
-    tf: DataFrame
-    df: DataFrame
-    lengths: DataFrame
-    totals: DataFrame
+def small(rows: DataFrame) -> DataFrame:
+    """The rows marked for broadcasting if they are counted to be few."""
+    return F.broadcast(rows) if rows.limit(MOST_SMALL + 1).count() <= MOST_SMALL else rows
 
 
 def chunk_tokens(chunks: DataFrame) -> DataFrame:
@@ -49,9 +46,35 @@ def totals(lens: DataFrame) -> DataFrame:
     return lens.agg(F.count("*").alias("n"), F.coalesce(F.avg("len"), F.lit(1.0)).alias("avgdl"))
 
 
-def index(chunks: DataFrame, stem: bool = False) -> Index:
-    tf, lens = term_frequency(chunks, stem), lengths(chunks)
-    return Index(tf, document_frequency(tf), lens, totals(lens))
+def postings(chunks: DataFrame) -> DataFrame:
+    """chunk_id, len, term, f for each token of a chunk, and one with the term EVERY for each chunk.
+
+    Not summed: a row for each occurrence.  :func:`kept` sums and orders them for reading again.
+    """
+    return chunk_tokens(chunks).select("chunk_id", F.size("tokens").cast("long").alias("len"), F.explode(F.concat(F.array(F.lit(EVERY)), "tokens")).alias("term"), F.lit(1).cast("long").alias("f"))
+
+
+def kept(chunks: DataFrame) -> DataFrame:
+    """The postings as an index is kept: summed, in the order of terms, so that a reader skips what isn't asked for."""
+    summed = postings(chunks).groupBy("chunk_id", "len", "term").agg(F.sum("f").alias("f"))
+    return summed.repartitionByRange("term", "chunk_id").sortWithinPartitions("term", "chunk_id")
+
+
+def hits(rows: DataFrame, queries: DataFrame, stem: bool = False) -> DataFrame:
+    """chunk_id, len, term, f of the postings that a batch of queries asks for, and those of EVERY.
+
+    The batch's terms are broadcast and meet the postings where these are made or read; only
+    what they hit is shuffled, besides a row for each chunk.
+    """
+    asked = query_tokens(queries, stem).select("term").union(query_gate_terms(queries, stem).select("term"))
+    asked = asked.union(asked.sparkSession.createDataFrame([(EVERY,)], "term string")).distinct()
+    if stem:  # words whose stem is asked for; Python sees each distinct word once
+        vocabulary = porter.stems(rows.select("term").distinct())
+        words = small(vocabulary.join(F.broadcast(asked), "term"))
+        rows = rows.withColumnRenamed("term", "word").join(words, "word").select("chunk_id", "len", "term", "f")
+    else:
+        rows = rows.join(small(asked), "term")
+    return rows.groupBy("chunk_id", "len", "term").agg(F.sum("f").alias("f"))
 
 
 def query_tokens(queries: DataFrame, stem: bool = False) -> DataFrame:
@@ -66,23 +89,27 @@ def query_gate_terms(queries: DataFrame, stem: bool = False) -> DataFrame:
     return (porter.stemmed(terms) if stem else terms).groupBy("qid", "term").agg(F.count("*").alias("times"))
 
 
-def bm25(ix: Index, queries: DataFrame, stem: bool = False) -> DataFrame:
+def bm25(found: DataFrame, queries: DataFrame, stem: bool = False) -> DataFrame:
     """qid, chunk_id, bm25 of chunks that hold a query token; repeated query tokens count again.
 
-    The batch of query terms is the small side: it meets the postings before anything is
-    summed, so only postings of queried terms are shuffled.
+    ``found``: the hits of the batch.  The sums over them (documents with a term, chunks and
+    their mean length) use its columns without a filter, so all of them read one shuffle.
     """
-    wanted = query_tokens(queries, stem)
-    hits = ix.tf.join(wanted, "term").join(ix.df, "term").join(ix.lengths, "chunk_id").crossJoin(F.broadcast(ix.totals))  # one row
+    known = found.groupBy("term").agg(F.sum(F.least("f", F.lit(1))).alias("df"))  # as many rows as the batch has terms
+    every = F.col("term") == EVERY
+    summed = found.agg(F.sum(F.when(every, F.col("f")).otherwise(0)).alias("n"), F.sum(F.when(every, F.col("len")).otherwise(0)).alias("all"))
+    totals = summed.select("n", F.when(F.col("n") > 0, F.col("all") / F.col("n")).otherwise(1.0).alias("avgdl"))
+    wanted = small(query_tokens(queries, stem))
+    met = found.join(wanted, "term").join(F.broadcast(known), "term").crossJoin(F.broadcast(totals))  # one row
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     saturated = F.col("f") * (K1 + 1) / (F.col("f") + K1 * (1 - B + B * F.col("len") / F.col("avgdl")))
-    return hits.groupBy("qid", "chunk_id").agg(F.sum(F.col("qf") * idf * saturated).alias("bm25"))
+    return met.groupBy("qid", "chunk_id").agg(F.sum(F.col("qf") * idf * saturated).alias("bm25"))
 
 
 def normalised(scores: DataFrame, chunks: DataFrame) -> DataFrame:
     """Adds lexical: the score over the query's highest (over all chunks), times 0.3 for whole files."""
-    top = F.max("bm25").over(Window.partitionBy("qid"))
-    kinds = scores.withColumn("_top", top).join(chunks.select("chunk_id", "kind"), "chunk_id")
+    top = scores.groupBy("qid").agg(F.max("bm25").alias("_top"))  # a row for each query
+    kinds = scores.join(F.broadcast(top), "qid").join(chunks.select("chunk_id", "kind"), "chunk_id")
     share = F.when(F.col("_top") > 0, F.col("bm25") / F.col("_top")).otherwise(0.0)
     return kinds.withColumn("lexical", share * F.when(F.col("kind") == "file", FILE_PENALTY).otherwise(1.0)).select("qid", "chunk_id", "bm25", "lexical")
 
@@ -90,6 +117,6 @@ def normalised(scores: DataFrame, chunks: DataFrame) -> DataFrame:
 FILE_PENALTY = 0.3
 
 
-def matched_terms(ix: Index, queries: DataFrame, stem: bool = False) -> DataFrame:
+def matched_terms(found: DataFrame, queries: DataFrame, stem: bool = False) -> DataFrame:
     """qid, chunk_id, matched: gate terms found in a chunk, repeats in the query counted."""
-    return ix.tf.join(query_gate_terms(queries, stem), "term").groupBy("qid", "chunk_id").agg(F.sum("times").alias("matched"))
+    return found.join(small(query_gate_terms(queries, stem)), "term").groupBy("qid", "chunk_id").agg(F.sum("times").alias("matched"))

@@ -9,18 +9,17 @@ from quarrylight.functions import text as T
 from quarrylight.operators import lexical
 
 LEXICAL_WEIGHT, FLOOR, LEAST_TERMS, DEFAULT_K = 0.2, 0.3, 2, 5
-#: Embedded chunks from which candidates come from the nearest only, and how many for each result.
-ANN_FROM = 20_000
 
 
 def cosine(chunks: DataFrame, queries: DataFrame) -> DataFrame:
     """qid, chunk_id, semantic for each query with a vector and chunk with one; vectors have length 1.
 
-    Queries are a stated batch; each is compared with every embedded chunk in one pass.
+    Queries are a stated batch, broadcast after a count; each is compared with every embedded
+    chunk in one pass.
     """
     asked = queries.where("query_embedding IS NOT NULL AND size(query_embedding) > 0").select("qid", "query_embedding")
     embedded = chunks.where("embedding IS NOT NULL").select("chunk_id", "embedding")
-    return embedded.crossJoin(asked).select("qid", "chunk_id", T.dot(F.col("query_embedding"), F.col("embedding")).alias("semantic"))
+    return embedded.crossJoin(lexical.small(asked)).select("qid", "chunk_id", T.dot(F.col("query_embedding"), F.col("embedding")).alias("semantic"))
 
 
 def candidates(scores: DataFrame, k: int, order: str = "chunk_id") -> DataFrame:
@@ -32,25 +31,26 @@ def candidates(scores: DataFrame, k: int, order: str = "chunk_id") -> DataFrame:
 def name_hits(chunks: DataFrame, queries: DataFrame) -> DataFrame:
     """qid, chunk_id of chunks whose symbol holds the whole trimmed query; empty queries hit nothing."""
     asked = queries.select("qid", T.trimmed(F.lower("query")).alias("_q")).where("_q <> ''")
-    return chunks.select("chunk_id", F.lower("symbol_name").alias("_name")).join(asked, F.expr("contains(_name, _q)")).select("qid", "chunk_id", F.lit(True).alias("name_hit"))
+    return chunks.select("chunk_id", F.lower("symbol_name").alias("_name")).join(lexical.small(asked), F.expr("contains(_name, _q)")).select("qid", "chunk_id", F.lit(True).alias("name_hit"))
 
 
-def scored(chunks: DataFrame, queries: DataFrame, k: int = DEFAULT_K, stem: bool = False, ann: bool | None = None) -> DataFrame:
+def scored(chunks: DataFrame, queries: DataFrame, k: int = DEFAULT_K, stem: bool = False, nearest_only: bool = False, postings: DataFrame | None = None) -> DataFrame:
     """qid, chunk_id, ord, semantic, lexical, matched, name_hit, score of the chunks that pass the gate.
 
     A chunk passes with a name hit, a semantic score at the floor (queries with a vector
-    only) or two gate terms.  Others can't pass, so they are never scored.
+    only) or two gate terms.  Others can't pass, so they are never scored.  ``postings`` is
+    an index that was kept; without it, the chunks' words are counted.  With
+    ``nearest_only``, semantic scores beyond the nearest max(10k, 50) of a query count as 0,
+    as they would with an index that returns no more.
     """
     has_vectors = "embedding" in chunks.columns and "query_embedding" in queries.columns
-    ix = lexical.index(chunks, stem)
-    lex = lexical.normalised(lexical.bm25(ix, queries, stem), chunks).select("qid", "chunk_id", "lexical")
-    found = lex.join(lexical.matched_terms(ix, queries, stem), ["qid", "chunk_id"], "full").join(name_hits(chunks, queries), ["qid", "chunk_id"], "full")
+    hits = lexical.hits(lexical.postings(chunks) if postings is None else postings, queries, stem)
+    lex = lexical.normalised(lexical.bm25(hits, queries, stem), chunks).select("qid", "chunk_id", "lexical")
+    found = lex.join(lexical.matched_terms(hits, queries, stem), ["qid", "chunk_id"], "full").join(name_hits(chunks, queries), ["qid", "chunk_id"], "full")
     if has_vectors:
         near = cosine(chunks, queries)
-        if ann is None:
-            ann = chunks.where("embedding IS NOT NULL").limit(ANN_FROM).count() >= ANN_FROM
         # without a candidate list, a score below the floor still counts where another rule lets the chunk pass
-        near = candidates(near, k) if ann else near
+        near = candidates(near, k) if nearest_only else near
         found = found.join(near, ["qid", "chunk_id"], "full")
     else:
         found = found.withColumn("semantic", F.lit(0.0))
@@ -70,5 +70,5 @@ def top(rows: DataFrame, k: int = DEFAULT_K) -> DataFrame:
     return rows.withColumn("rank", F.row_number().over(place)).where(F.col("rank") <= k)
 
 
-def rank(chunks: DataFrame, queries: DataFrame, k: int = DEFAULT_K, stem: bool = False, ann: bool | None = None) -> DataFrame:
-    return top(scored(chunks, queries, k, stem, ann), k)
+def rank(chunks: DataFrame, queries: DataFrame, k: int = DEFAULT_K, stem: bool = False, nearest_only: bool = False, postings: DataFrame | None = None) -> DataFrame:
+    return top(scored(chunks, queries, k, stem, nearest_only, postings), k)

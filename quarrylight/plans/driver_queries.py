@@ -126,13 +126,13 @@ def doc_len_stats(spark, sf_dir):
 
 @_query(f"WITH {_SCORES} SELECT qid, chunk_id, round(bm25, 6) AS bm25 FROM scores")
 def bm25_score(spark, sf_dir):
-    return lexical.bm25(lexical.index(documents_as_chunks(spark, sf_dir)), batch(spark)).select("qid", "chunk_id", F.round("bm25", 6).alias("bm25"))
+    return lexical.bm25(lexical.hits(lexical.postings(documents_as_chunks(spark, sf_dir)), batch(spark)), batch(spark)).select("qid", "chunk_id", F.round("bm25", 6).alias("bm25"))
 
 
 @_query(f"WITH {_SCORES} SELECT qid, chunk_id, round(lexical, 6) AS lexical FROM lex")
 def bm25_normalized(spark, sf_dir):
     chunks = documents_as_chunks(spark, sf_dir)
-    return lexical.normalised(lexical.bm25(lexical.index(chunks), batch(spark)), chunks).select("qid", "chunk_id", F.round("lexical", 6).alias("lexical"))
+    return lexical.normalised(lexical.bm25(lexical.hits(lexical.postings(chunks), batch(spark)), batch(spark)), chunks).select("qid", "chunk_id", F.round("lexical", 6).alias("lexical"))
 
 
 @_query(f"WITH {_BATCH} SELECT qid, term, count(*) AS times FROM (SELECT qid, unnest({_GATE}) AS term FROM batch) GROUP BY ALL")
@@ -197,7 +197,7 @@ def ann_candidates_exact(spark, sf_dir):
 )
 def hybrid_rank(spark, sf_dir):
     chunks = documents_as_chunks(spark, sf_dir).join(_vectors(spark, sf_dir), "chunk_id", "left")
-    return rank.rank(chunks, batch_with_vectors(spark, sf_dir), K, ann=False).select("qid", "rank", "chunk_id", "score")
+    return rank.rank(chunks, batch_with_vectors(spark, sf_dir), K, nearest_only=False).select("qid", "rank", "chunk_id", "score")
 
 
 # --- incremental maintenance ------------------------------------------------------------
@@ -322,15 +322,15 @@ def direct_deps(spark, sf_dir):
 
 
 def _some_ranked(spark, sf_dir):
-    """Queries whose results are given: documents 3q, 3q + 20 for q below 30."""
-    d = _linked(spark, sf_dir).where("doc_id < 110")
-    q = d.where("doc_id < 90 AND doc_id % 3 = 0").select((F.col("doc_id") / 3).cast("int").alias("qid"), "chunk_id", F.lit(1).alias("rank"), "doc_id")
+    """A query for each document, whose results are given: the document itself and the one twenty on."""
+    d = _linked(spark, sf_dir)
+    q = d.select(F.col("doc_id").alias("qid"), "chunk_id", F.lit(1).alias("rank"), "doc_id")
     second = d.select(F.col("doc_id").alias("_id"), F.col("chunk_id").alias("_chunk")).join(q, F.col("_id") == F.col("doc_id") + 20)
     return q.select("qid", "chunk_id", "rank").unionByName(second.select("qid", F.col("_chunk").alias("chunk_id"), F.lit(2).alias("rank")))
 
 
 @_query(
-    f"""WITH {_linked_sql()}, given AS (SELECT CAST(doc_id // 3 AS INTEGER) AS qid, chunk_id, 1 AS rank, doc_id FROM linked WHERE doc_id < 90 AND doc_id % 3 = 0),
+    f"""WITH {_linked_sql()}, given AS (SELECT doc_id AS qid, chunk_id, 1 AS rank, doc_id FROM linked),
   results AS (SELECT qid, chunk_id, rank FROM given UNION ALL SELECT g.qid, l.chunk_id, 2 FROM given g JOIN linked l ON l.doc_id = g.doc_id + 20),
   one AS (SELECT qid, dst, row_number() OVER (PARTITION BY qid ORDER BY pos) AS place FROM (SELECT g.qid, dst, min(pos) AS pos FROM given g JOIN deps ON src = chunk_id
     WHERE NOT EXISTS (SELECT 1 FROM results r WHERE r.qid = g.qid AND r.chunk_id = dst) GROUP BY ALL)),
@@ -456,7 +456,7 @@ def parse_ts_chunks(spark, sf_dir):
     return symbols.parsed(spark.createDataFrame(samples.SCRIPTS, "file_path string, content string"))
 
 
-@_query()
+@_query("SELECT '/repo/doc_' || doc_id AS file_path, sha1(coalesce(text, '')) AS hash FROM documents WHERE doc_id % 5 <> 0")
 def stream_reindex(spark, sf_dir):
     from quarrylight.streaming import reindex
 

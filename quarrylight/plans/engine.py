@@ -2,45 +2,75 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarrylight.functions import text as T
-from quarrylight.operators import budget, changes, context, expand, rank, savings
-from quarrylight.sources import repo, snapshot, symbols
+from quarrylight.operators import budget, changes, context, expand, lexical, rank, savings
+from quarrylight.sources import repo, shared, snapshot, symbols
 
 
 class Engine:
-    """Holds the tables of an index: files, chunks."""
+    """Holds the tables of an index: files, chunks, postings and edges.
+
+    Every call of :meth:`index` writes a version of them below ``folder`` and reads it back, so
+    what was indexed stays what it was when the tree changes, and searches neither parse nor
+    count words again.  The version before the last is deleted.
+    """
 
-    def __init__(self, spark: SparkSession, model: str = "") -> None:
-        self.spark, self.model = spark, model
+    def __init__(self, spark: SparkSession, model: str = "", folder: str | None = None) -> None:
+        self.spark, self.model, self._folder, self.version = spark, model, folder, 0
         self.files: DataFrame | None = None
         self.chunks: DataFrame | None = None
+        self.postings: DataFrame | None = None
+        self.edges: DataFrame | None = None
+
+    @property
+    def folder(self) -> str:
+        if self._folder is None:
+            self._folder = f"{shared.shared_dir(self.spark)}/engine-{uuid.uuid4().hex}"
+        return self._folder
+
+    def _kept(self, rows: DataFrame, name: str) -> DataFrame:
+        path = f"{self.folder}/v={self.version}/{name}"
+        rows.write.mode("overwrite").parquet(path)
+        return self.spark.read.schema(rows.schema).parquet(path)
 
     def index(self, root: str) -> DataFrame:
         """Brings the index to the state of a tree; only new and changed files are parsed.  Returns what changed."""
-        seen = repo.files(self.spark, root).withColumn("hash", T.content_hash(F.col("content")))
+        self.version += 1
+        # the tree is read once: all that follows sees the same contents
+        seen = self._kept(repo.files(self.spark, root).withColumn("hash", T.content_hash(F.col("content"))), "seen")
         old = self.files if self.files is not None else self.spark.createDataFrame([], "file_path string, hash string, tokens long")
-        found = changes.diff(old, seen.select("file_path", "hash"))
+        found = self._kept(changes.diff(old, seen.select("file_path", "hash")), "changes")
         fresh = changes.changed_only(old, seen)
         parsed = symbols.parsed(fresh.select("file_path", "content"), root, repo.aliases(root))
         made = parsed.where("chunk_id IS NOT NULL").withColumn("ord", F.struct("file_path", "pos"))
         gone = found.where("change = 'unlink'")
         new_files = fresh.select("file_path", "hash", T.estimated_tokens(F.col("content")).alias("tokens"))
-        self.files = changes.upsert(changes.remove(old, gone), new_files)
-        self.chunks = made if self.chunks is None else changes.remove(self.chunks, gone).join(fresh.select("file_path"), "file_path", "left_anti").unionByName(made)
+        chunks = made if self.chunks is None else changes.remove(self.chunks, gone).join(fresh.select("file_path"), "file_path", "left_anti").unionByName(made)
+        self.files = self._kept(changes.upsert(changes.remove(old, gone), new_files), "files")
+        self.chunks = self._kept(chunks, "chunks")
+        self._derive()
+        shared.delete(self.spark, f"{self.folder}/v={self.version}/seen")
+        shared.delete(self.spark, f"{self.folder}/v={self.version - 2}")
         return found
 
+    def _derive(self) -> None:
+        """The tables that follow from the chunks."""
+        self.postings = self._kept(lexical.kept(self.chunks), "postings")
+        self.edges = self._kept(expand.dependencies(self.chunks), "edges")
+
     def search(self, queries: DataFrame, k: int = rank.DEFAULT_K, stem: bool = True) -> DataFrame:
         """Ranked chunks of each query, then what its best match depends on: qid, chunk_id, hop, rank."""
-        ranked = rank.rank(self.chunks, queries, k, stem)
-        return expand.expanded(ranked, expand.dependencies(self.chunks))
+        return expand.expanded(rank.rank(self.chunks, queries, k, stem, postings=self.postings), self.edges)
 
     def search_within(self, queries: DataFrame, limit: int, stem: bool = True) -> DataFrame:
         """qid, place, chunk_id: as much of the ranked chunks and their dependencies as fits."""
-        ranked = rank.rank(self.chunks, queries, budget.MOST_PRIMARY, stem)
-        return budget.pack(ranked, self.chunks, expand.dependencies(self.chunks), limit)
+        ranked = rank.rank(self.chunks, queries, budget.MOST_PRIMARY, stem, postings=self.postings)
+        return budget.pack(ranked, self.chunks, self.edges, limit)
 
     def context(self, results: DataFrame) -> DataFrame:
         return context.render(results, self.chunks)
@@ -49,11 +79,14 @@ class Engine:
         return savings.index_stats(self.files, self.chunks)
 
     def save(self, folder: str) -> int:
-        return snapshot.save(self.spark, folder, {"files": self.files, "chunks": self.chunks}, self.model)
+        return snapshot.save(self.spark, folder, {"files": self.files, "chunks": self.chunks, "postings": self.postings, "edges": self.edges}, self.model)
 
     def load(self, folder: str) -> bool:
         found = snapshot.load(self.spark, folder, self.model)
         if found is None:
             return False
-        self.files, self.chunks = found["files"], found["chunks"]
+        self.files, self.chunks, self.postings, self.edges = (found.get(name) for name in ("files", "chunks", "postings", "edges"))
+        if self.postings is None or self.edges is None:
+            self.version += 1
+            self._derive()
         return True

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 FORMAT = 1
-TABLES = ("files", "chunks", "search_log")
+TABLES = ("files", "chunks", "postings", "edges", "search_log")
 
 
 def save(spark: SparkSession, folder: str, tables: dict[str, DataFrame], model: str = "") -> int:

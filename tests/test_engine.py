@@ -5,9 +5,10 @@ import os
 import pytest
 
 from quarrylight.functions import parse_python, parse_script, porter, scripts
-from quarrylight.operators import budget, changes, context, expand, rank, savings
+from quarrylight.operators import budget, changes, context, expand, lexical, rank, savings
 from quarrylight.plans.engine import Engine
 from quarrylight.sources import filters, repo, requests, samples, symbols
+from quarrylight.streaming import reindex
 
 COLUMNS = "chunk_id string, file_path string, symbol_name string, kind string, start_line int, end_line int, code string, refs array<string>, ext_refs array<string>, ord int"
 
@@ -162,6 +163,73 @@ def test_tree_end_to_end(spark, tmp_path):
     assert names(other.search(asked(spark, "fresh"), 1)) == ["fresh"]
 
 
+def test_index_stays_until_the_next_index(spark, tmp_path):
+    """What was indexed doesn't follow the tree by itself, and a second call sees every edit of it."""
+    (tmp_path / "a.py").write_text("def alpha_one():\n    return 1\n")
+    (tmp_path / "b.py").write_text("def beta_two():\n    return 2\n")
+    engine = Engine(spark)
+    changed = lambda: {(os.path.basename(r["file_path"]), r["change"]) for r in engine.index(str(tmp_path)).collect()}
+    found = lambda q: names(engine.search(asked(spark, q), 3))
+    assert changed() == {("a.py", "add"), ("b.py", "add")}
+    (tmp_path / "a.py").write_text("def gamma_three():\n    return 3\n")
+    (tmp_path / "c.py").write_text("def delta_four():\n    return 4\n")
+    assert found("alpha_one") == ["alpha_one"] and found("gamma_three") == []
+    assert changed() == {("a.py", "change"), ("b.py", "same"), ("c.py", "add")}
+    assert found("alpha_one") == [] and found("gamma_three") == ["gamma_three"] and found("delta_four") == ["delta_four"]
+    os.remove(tmp_path / "b.py")
+    assert found("beta_two") == ["beta_two"]
+    assert changed() == {("a.py", "same"), ("b.py", "unlink"), ("c.py", "same")}
+    assert found("beta_two") == [] and engine.stats().first()["files"] == 2
+
+
+def test_kept_postings_rank_like_counted_ones(spark):
+    rows = chunks(spark, *[("a.ts", f"fn{i}", "function", f"alpha beta{i % 3} Running{i}Words " + "gamma " * i, None, None) for i in range(12)], ("a.ts", "none", "function", None, None, None))
+    queries = asked(spark, "alpha gamma", "beta1 alpha running", "alpha alpha", "", "the of")
+    for stem in (False, True):
+        plain = [tuple(r) for r in rank.rank(rows, queries, 4, stem).orderBy("qid", "rank").select("qid", "rank", "chunk_id", "score").collect()]
+        again = [tuple(r) for r in rank.rank(rows, queries, 4, stem, postings=lexical.kept(rows)).orderBy("qid", "rank").select("qid", "rank", "chunk_id", "score").collect()]
+        assert plain == again and plain
+
+
+def test_bm25_shuffles_only_what_is_asked_for(spark, tmp_path):
+    chunks(spark, *[("a.ts", f"fn{i}", "function", "alpha beta " * i, None, None) for i in range(50)]).write.parquet(str(tmp_path / "chunks"))
+    rows, queries = spark.read.parquet(str(tmp_path / "chunks")), asked(spark, "alpha")
+    lexical.bm25(lexical.hits(lexical.postings(rows), queries), queries).write.parquet(str(tmp_path / "out"))
+    hits = lexical.hits(lexical.postings(rows), queries)
+    assert {r["term"] for r in hits.select("term").distinct().collect()} == {"", "alpha"}
+
+
+def test_stream_index_survives_a_restart(spark, tmp_path):
+    folder = str(tmp_path / "index")
+    row = lambda path, text, seq=1: spark.createDataFrame([(path, text, seq, f"h-{text}")], "file_path string, text string, seq long, hash string")
+    held = lambda: {(r["file_path"], r["text"]) for r in reindex.Index(spark, folder).read().collect()}
+    assert reindex.Index(spark, folder).read() is None
+    first = reindex.Index(spark, folder)
+    first.merge(row("a", "1"))
+    first.merge(row("b", "1").union(row("b", "2", 2)))
+    reindex.Index(spark, folder).merge(row("c", "1"))  # another process
+    assert held() == {("a", "1"), ("b", "2"), ("c", "1")}
+    found = reindex.Index(spark, folder).sweep(spark.createDataFrame([("a", "h-9", "9"), ("c", "h-1", "1")], "file_path string, hash string, text string"))
+    assert {(r["file_path"], r["change"]) for r in found.collect()} == {("a", "change"), ("b", "unlink")}
+    assert held() == {("a", "9"), ("c", "1")}
+    for i in range(10):
+        reindex.Index(spark, folder).merge(row(f"n{i}", "1"))
+    assert len(held()) == 12 and reindex.Index(spark, folder)._tables()[0] > 0
+
+
+def test_python_rules(tmp_path):
+    parse = lambda text: parse_python.symbols(text, "/r/p/m.py", "/r")
+    of = lambda text: {s["name"]: (s["kind"], s["start"], s["end"]) for s in parse(text)}
+    assert of("import os\nX = 1\n\n@deco\ndef f():\n    pass\nY = 2\n") == {"__module__": ("module", 1, 3), "f": ("function", 4, 6)}
+    assert of("def f():\n    pass\nX = 1\n") == {"__module__": ("module", 1, 3), "f": ("function", 1, 2)}
+    assert of("print(1)\n") == {} and of("") == {}
+    assert of("@d\nclass A:\n    x = 1\n\n    @d\n    async def g(self):\n        pass\n") == {"A": ("class", 2, 4), "A.g": ("async-method", 5, 7)}
+    assert of("class A: pass\n") == {"A": ("class", 1, 1)}
+    rows = {s["name"]: s for s in parse("from .q import h as k\nfrom ..z import *\nfrom t.u import w\ndef a():\n    b(); k(); w(); a(); o.c()\ndef b(): pass\nclass C:\n    def a(self):\n        a(); C()\n")}
+    assert rows["a"]["refs"] == ["/r/p/m.py::b"] and rows["a"]["ext_refs"] == ["/r/p/q::h", "/r/t/u::w"]
+    assert rows["C.a"]["refs"] == ["/r/p/m.py::a"]
+
+
 def test_walk_errors(tmp_path):
     with pytest.raises(FileNotFoundError):
         repo.walk(str(tmp_path / "none"))
