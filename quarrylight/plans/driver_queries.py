@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from quarrylight.functions import text as T
 from quarrylight.operators import budget, changes, context, expand, lexical, rank, savings
-from quarrylight.sources import filters
+from quarrylight.sources import filters, samples
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -274,7 +274,12 @@ def dense_file_guard(spark, sf_dir):
     return changes.dense_guard(documents_as_chunks(spark, sf_dir), 50).select("chunk_id", "embeddable")
 
 
-@_query()
+@_query(
+    r"""WITH parts AS (SELECT page_id, html, regexp_extract(html, '(?is)^(.*?<script[^>]*>).*?</script>', 1) AS before, regexp_extract(html, '(?is)<script[^>]*>(.*?)</script>', 1) AS inside FROM pages),
+  masked AS (SELECT page_id, regexp_replace(before, '[^\n]', ' ', 'g') || inside || regexp_replace(substr(html, length(before) + length(inside) + 1), '[^\n]', ' ', 'g') AS masked
+    FROM parts WHERE regexp_matches(inside, '\S'))
+  SELECT page_id, CAST(length(masked) AS INTEGER) AS n_chars, md5(masked) AS masked_md5 FROM masked"""
+)
 def script_mask(spark, sf_dir):
     from quarrylight.functions import scripts
 
@@ -442,18 +447,50 @@ def index_stats(spark, sf_dir):
 # --- parsing and streaming --------------------------------------------------------------
 
 
-@_query()
-def parse_python_chunks(spark, sf_dir):
-    from quarrylight.sources import samples, symbols
+def _literal(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
 
-    return symbols.parsed(spark.createDataFrame(samples.PYTHON, "file_path string, content string"))
 
+def _parsed_sql(sources: list[tuple[str, str]], rows: str, code: str = "NULL") -> str:
+    """Expected symbols, written out by the rules; their code is the lines of the source but where a row states it."""
+    held = ", ".join(f"({_literal(p)}, {_literal(c)})" for p, c in sources)
+    return f"""WITH sources(file_path, content) AS (VALUES {held}), expected(file, name, kind, start_line, end_line, refs, ext_refs) AS (VALUES {rows}),
+  lines AS (SELECT e.*, array_to_string(list_slice(string_split(content, chr(10)), start_line, end_line), chr(10)) AS plain FROM expected e JOIN sources ON file_path = '/repo/' || file)
+  SELECT '/repo/' || file || '::' || name AS chunk_id, kind, start_line, end_line, refs, ext_refs, md5(coalesce({code}, plain)) AS code_md5 FROM lines"""
 
-@_query()
-def parse_ts_chunks(spark, sf_dir):
-    from quarrylight.sources import samples, symbols
 
-    return symbols.parsed(spark.createDataFrame(samples.SCRIPTS, "file_path string, content string"))
+def _symbol_rows(spark, sources):
+    from quarrylight.sources import symbols
+
+    found = symbols.parsed(spark.createDataFrame(sources, "file_path string, content string")).where("chunk_id IS NOT NULL")
+    return found.select("chunk_id", "kind", "start_line", "end_line", F.array_join("refs", " ").alias("refs"), F.array_join("ext_refs", " ").alias("ext_refs"), F.md5(F.col("code").cast("binary")).alias("code_md5"))
+
+
+@_query(
+    _parsed_sql(
+        samples.PYTHON,
+        """('app.py', '__module__', 'module', 1, 6, '', ''), ('app.py', 'start', 'function', 7, 8, '/repo/app.py::stop', '/repo/util::helper'),
+    ('app.py', 'stop', 'function', 11, 12, '', ''), ('app.py', 'Box', 'class', 15, 17, '', ''), ('app.py', 'Box.open', 'method', 18, 19, '/repo/app.py::start', ''),
+    ('app.py', 'Box.close', 'async-method', 21, 22, '/repo/app.py::stop', ''), ('util.py', 'helper', 'async-function', 1, 3, '', ''), ('plain.py', '__file__', 'file', 1, 2, '', '')""",
+    )
+)
+def parse_python_chunks(spark, sf_dir):
+    return _symbol_rows(spark, samples.PYTHON)
+
+
+@_query(
+    _parsed_sql(
+        samples.SCRIPTS,
+        """('auth.ts', 'login', 'function', 4, 6, '/repo/auth.ts::check', '/repo/users::find'), ('auth.ts', 'check', 'function', 8, 10, '', ''),
+    ('auth.ts', 'logout', 'const-function', 12, 14, '/repo/auth.ts::login', ''), ('auth.ts', '__module__', 'module', 1, 15, '', ''),
+    ('users.ts', 'User', 'interface', 1, 3, '', ''), ('users.ts', 'Users', 'class', 5, 7, '', ''), ('users.ts', 'Users.constructor', 'method', 9, 12, '', ''),
+    ('users.ts', 'Users.find', 'method', 14, 16, '/repo/users.ts::find', ''), ('users.ts', 'Users.size', 'method', 18, 20, '', ''), ('users.ts', 'find', 'function', 23, 25, '', ''),
+    ('view.vue', 'go', 'function', 4, 4, '', '/repo/auth::login'), ('view.vue', '__module__', 'module', 1, 6, '', ''), ('run.js', '__file__', 'file', 1, 2, '', '')""",
+        "CASE WHEN kind = 'class' THEN plain || chr(10) || '}' WHEN file = 'auth.ts' AND kind = 'module' THEN list_extract(string_split(plain, chr(10)), 1) || chr(10) || list_extract(string_split(plain, chr(10)), 2) WHEN kind = 'module' THEN list_extract(string_split(plain, chr(10)), 3) END",
+    )
+)
+def parse_ts_chunks(spark, sf_dir):
+    return _symbol_rows(spark, samples.SCRIPTS)
 
 
 @_query("SELECT '/repo/doc_' || doc_id AS file_path, sha1(coalesce(text, '')) AS hash FROM documents WHERE doc_id % 5 <> 0")
