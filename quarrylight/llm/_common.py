@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import ctypes
-import re
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -12,27 +10,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarrylight.sources.shared import shared_dir
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the driver tables, read by Spark alone (the path may be in any store)."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that ``spark.checkpoint.dir`` names, or that was set on the session's context.
-
-    Where both are missing, a session within one process (as in tests) gets a folder of its own;
-    on a cluster that would lose files, so there it is an error.
-    """
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not named:
-        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="quarrylight-"))
-        named = spark.sparkContext.getCheckpointDir()
-    return named.rstrip("/")
-
-
 def written(df: DataFrame, label: str) -> DataFrame:
     """Writes ``df`` below the shared folder and reads it again: lineage ends there.
 
@@ -77,10 +62,31 @@ def give_back() -> None:
         libc.malloc_trim(0)
 
 
+#: Memos that a worker process keeps from task to task, and the operator that they are for.
+_MEMOS: list[dict] = []
+_holder: str = ""
+
+
+def memo(held: dict) -> dict:
+    """Registers a memo: it is emptied when the worker goes on to another operator."""
+    _MEMOS.append(held)
+    return held
+
+
+def take_over(operator: str) -> None:
+    global _holder
+    if _holder != operator:
+        for held in _MEMOS:
+            held.clear()
+        _holder = operator
+
+
 def tidy(run: Callable) -> Callable:
     """A task that gives its memory back at its end: workers live on, and what they keep adds up over stages."""
+    operator = run.__module__
 
     def within(batches: Iterator) -> Iterator:
+        take_over(operator)
         try:
             yield from run(batches)
         finally:

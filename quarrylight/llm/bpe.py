@@ -25,10 +25,10 @@ import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarrylight.llm._common import small_batches, tidy
+from quarrylight.llm._common import memo, small_batches, tidy
 
 #: Entries after which a memo is emptied; a bound on memory, never on results.
-MEMO_ENTRIES = 100_000
+MEMO_ENTRIES = 250_000
 
 _codecs: dict[str, Codec] = {}
 
@@ -101,8 +101,8 @@ class Codec:
         self.ranks = ranks
         self.split = Splitter(pattern)
         self.token = {rank: token for token, rank in ranks.items()}
-        self.pairs: dict[tuple[int, int], bool] = {}
-        self.pieces: dict[str, tuple[int, ...]] = {}
+        self.pairs: dict[tuple[int, int], bool] = memo({})
+        self.pieces: dict[str, tuple[int, ...]] = memo({})
         self.automaton = ahocorasick.Automaton()
         #: The two tokens of each token's last merge.
         self.halves: dict[int, tuple[int, int]] = {}

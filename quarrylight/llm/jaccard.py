@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarrylight.llm import graph
-from quarrylight.llm._common import original, remove, reserved, small_batches, tidy, written
+from quarrylight.llm._common import memo, original, remove, reserved, small_batches, tidy, written
 
 #: Tokens that the order puts last, at most: a bound on the broadcast, not on what is joined.
 FREQUENT = 1 << 17
@@ -60,7 +60,7 @@ class _Words(dict):
         return value
 
 
-_words = _Words()
+_words = memo(_Words())
 
 
 def shingles(text: bytes, words: int = 5) -> np.ndarray:
