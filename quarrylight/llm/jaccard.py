@@ -303,7 +303,7 @@ def _parts(queries: DataFrame) -> DataFrame:
 def _salted(rows: DataFrame, few: DataFrame, kept: str) -> DataFrame:
     """Left join of rows (grp, id) with few rows (grp, ``kept``), a hot group's rows dealt to SALTS tasks."""
     spread = few.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).select("grp", "_salt", kept)
-    return rows.withColumn("_salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")).join(spread, ["grp", "_salt"], "left").drop("_salt")
+    return rows.withColumn("_salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int")).join(spread.hint("merge"), ["grp", "_salt"], "left").drop("_salt")  # the few rows times SALTS are for no broadcast
 
 
 def _split(members: DataFrame, queries: DataFrame) -> DataFrame:
