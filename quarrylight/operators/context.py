@@ -50,8 +50,8 @@ def render(results: DataFrame, chunks: DataFrame) -> DataFrame:
     )
     # the order within a file: the module first, then by line
     at = F.struct((~is_module).alias("a"), F.col("start_line").alias("b"), F.col("end_line").alias("c"), F.col("ord").alias("d"), text.alias("text"))
-    files = rows.withColumn("_at", at).withColumn("_other", other.cast("int")).groupBy("qid", "file_path", "file_rank").agg(F.array_sort(F.collect_list("_at")).alias("_parts"), F.sum("_other").alias("_others"))
-    lines = F.filter(F.transform("_parts", lambda p: p["text"]), lambda t: t.isNotNull())
+    files = rows.withColumn("_at", at).withColumn("_other", other.cast("int")).groupBy("qid", "file_path", "file_rank").agg(F.array_sort(F.collect_list(F.when(F.col("_at.text").isNotNull(), F.col("_at")))).alias("_parts"), F.sum("_other").alias("_others"))
+    lines = F.transform("_parts", lambda p: p["text"])  # symbols that show nothing were never collected
     more = F.when(F.col("_others") > COLLAPSED, F.array(F.concat(F.lit("//   … "), F.col("_others") - COLLAPSED, F.lit(" more symbol(s) in this file")))).otherwise(F.array().cast("array<string>"))
     head = F.array(F.concat(F.lit("// ═══ "), F.col("file_path"), F.lit(" ═══")))
     blocks = files.select("qid", "file_rank", F.array_join(F.concat(head, lines, more), "\n").alias("block"))

@@ -16,13 +16,14 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     """ord, ts, client, query, chunks, naive_tokens, targeted_tokens, saved_tokens.
 
     Blank and malformed lines and those without a numeric saving are dropped.  A missing
-    log is empty.  ``ord`` follows the lines of a file and files by name.
+    log is empty.  ``ord`` can be compared: files by when they were last written, then by name,
+    then the lines of each.
     """
     if "://" not in path and not os.path.exists(path):
-        lines = spark.createDataFrame([], "value string, file string")
+        numbered = spark.createDataFrame([], "value string, ord struct<written: timestamp, file: string, split: long, line: long>")
     else:
-        lines = spark.read.text(path).withColumn("file", F.input_file_name())
-    numbered = lines.withColumn("ord", F.monotonically_increasing_id())
+        of = F.struct(F.col("_metadata.file_modification_time").alias("written"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("line"))
+        numbered = spark.read.text(path).select("value", of.alias("ord"))
     kept = numbered.select("ord", F.from_json("value", SCHEMA, {"mode": "PERMISSIVE"}).alias("r")).where("r.savedTokens IS NOT NULL")
     return kept.select("ord", "r.ts", "r.client", "r.query", F.col("r.chunks").alias("chunks"), F.col("r.naiveTokens").alias("naive_tokens"), F.col("r.targetedTokens").alias("targeted_tokens"), F.col("r.savedTokens").alias("saved_tokens"))
 
