@@ -31,13 +31,8 @@ def from_text(text: Column) -> Column:
     return F.arrow_udf(_from_text, "array<float>")(text)
 
 
-def embedded(chunks: DataFrame, model: Callable[[list[str]], list[list[float]]] | None, most_in_file: int = 500) -> DataFrame:
-    """Adds embedding; null without a model, and for chunks of files with more than ``most_in_file``.
-
-    ``model`` maps texts to vectors of length 1 and runs on executors, a batch at a time.
-    """
-    if model is None:
-        return chunks.withColumn("embedding", F.lit(None).cast("array<float>"))
+def vector(text: Column, model: Callable[[list[str]], list[list[float]]]) -> Column:
+    """The model's vector of a text; null for null."""
 
     def run(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in texts:
@@ -45,6 +40,21 @@ def embedded(chunks: DataFrame, model: Callable[[list[str]], list[list[float]]]
             found = iter(model([t for t in held if t is not None]))
             yield pa.array([None if t is None else next(found) for t in held], pa.list_(pa.float32()))
 
+    return F.arrow_udf(run, "array<float>")(text)
+
+
+def has_any(chunks: DataFrame) -> bool:
+    """Whether some chunk has a vector."""
+    return "embedding" in chunks.columns and not chunks.where("embedding IS NOT NULL AND size(embedding) > 0").limit(1).isEmpty()
+
+
+def embedded(chunks: DataFrame, model: Callable[[list[str]], list[list[float]]] | None, most_in_file: int = 500) -> DataFrame:
+    """Adds embedding; null without a model, and for chunks of files with more than ``most_in_file``.
+
+    ``model`` maps texts to vectors of length 1 and runs on executors, a batch at a time.
+    """
+    if model is None:
+        return chunks.withColumn("embedding", F.lit(None).cast("array<float>"))
     guarded = changes.dense_guard(chunks, most_in_file)
     asked = F.when(F.col("embeddable"), T.embedding_input(F.col("symbol_name"), F.col("code")))
-    return guarded.withColumn("embedding", F.arrow_udf(run, "array<float>")(asked)).drop("embeddable")
+    return guarded.withColumn("embedding", vector(asked, model)).drop("embeddable")

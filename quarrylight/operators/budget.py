@@ -7,7 +7,6 @@ them, and the lines that their files would add to the view.
 
 from __future__ import annotations
 
-import math
 from collections import deque
 from collections.abc import Callable
 
@@ -16,16 +15,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarrylight.functions import text as T
+from quarrylight.functions.counters import quarter_length
 from quarrylight.operators.context import COLLAPSED
 
 MOST_PRIMARY = 25
 
 
-def quarter_length(text: str) -> int:
-    """Tokens by the fallback rule."""
-    return math.ceil(len(text.encode("utf-16-le")) / 2 / 4)
-
-
 def view(selected: list[str], chunks: dict[str, dict], files: dict[str, list[str]]) -> str:
     """The compact view of the selected chunks; twin of the DataFrame form."""
     chosen, blocks = set(selected), []

@@ -13,8 +13,10 @@ def _rounded(x):
 
 
 def index_stats(files: DataFrame, chunks: DataFrame) -> DataFrame:
-    """One row: files, chunks."""
-    return chunks.agg(F.count_distinct("chunk_id").alias("chunks")).crossJoin(files.agg(F.count("*").alias("files")))
+    """One row: files, chunks, last_updated (when a file was last indexed; null where files don't tell)."""
+    latest = F.max("updated") if "updated" in files.columns else F.lit(None).cast("timestamp")
+    counted = files.agg(F.count("*").alias("files"), latest.alias("last_updated"))
+    return counted.crossJoin(chunks.agg(F.count_distinct("chunk_id").alias("chunks"))).select("files", "chunks", "last_updated")
 
 
 def track_search(results: DataFrame, files: DataFrame, contexts: DataFrame) -> DataFrame:

@@ -6,14 +6,16 @@ id the place in the index.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarrylight.functions import text as T
-from quarrylight.operators import budget, changes, context, expand, lexical, rank, savings
-from quarrylight.sources import filters, samples
+from quarrylight.functions import answers, porter, vectors
+from quarrylight.operators import budget, changes, context, expand, lexical, neighbours, rank, savings
+from quarrylight.sources import filters, requests, samples, shared, snapshot
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -84,9 +86,8 @@ _INDEX = f"""{_CHUNKS}, {_BATCH},
   df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
   lens AS (SELECT chunk_id, len(tokens) AS len FROM toks),
   totals AS (SELECT count(*) AS n, coalesce(avg(len), 1) AS avgdl FROM lens)"""
-_SCORES = f"""{_INDEX},
-  qt AS (SELECT qid, term, count(*) AS qf FROM (SELECT qid, unnest({_tokens_sql("query")}) AS term FROM batch) GROUP BY ALL),
-  gt AS (SELECT qid, term, count(*) AS times FROM (SELECT qid, unnest({_GATE}) AS term FROM batch) GROUP BY ALL),
+_SCORED = """qt AS (SELECT qid, term, count(*) AS qf FROM asked GROUP BY ALL),
+  gt AS (SELECT qid, term, count(*) AS times FROM gated GROUP BY ALL),
   scores AS (SELECT qid, chunk_id, sum(qf * ln(1 + (n - df + 0.5) / (df + 0.5)) * (f * 2.5 / (f + 1.5 * (0.25 + 0.75 * len / avgdl)))) AS bm25
     FROM tf JOIN qt USING (term) JOIN df USING (term) JOIN lens USING (chunk_id) CROSS JOIN totals GROUP BY ALL),
   lex AS (SELECT qid, s.chunk_id, bm25, CASE WHEN max(bm25) OVER (PARTITION BY qid) > 0 THEN bm25 / max(bm25) OVER (PARTITION BY qid) ELSE 0 END
@@ -96,11 +97,42 @@ _SCORES = f"""{_INDEX},
   found AS (SELECT qid, chunk_id, lexical, matched, n.chunk_id IS NOT NULL AS name_hit FROM
     (SELECT coalesce(l.qid, m.qid) AS qid, coalesce(l.chunk_id, m.chunk_id) AS chunk_id, coalesce(lexical, 0) AS lexical, coalesce(matched, 0) AS matched
      FROM lex l FULL JOIN matched m ON l.qid = m.qid AND l.chunk_id = m.chunk_id) FULL JOIN named n USING (qid, chunk_id))"""
+_TERMS = f"asked AS (SELECT qid, unnest({_tokens_sql('query')}) AS term FROM batch), gated AS (SELECT qid, unnest({_GATE}) AS term FROM batch)"
+_SCORES = f"{_INDEX}, {_TERMS}, {_SCORED}"
 _PASSED = f"""{_SCORES}, passed AS (SELECT qid, chunk_id, 0.0::DOUBLE AS semantic, coalesce(lexical, 0) AS lexical, coalesce(matched, 0) AS matched, name_hit,
   round(0.2 * coalesce(lexical, 0), 6) AS score FROM found WHERE name_hit OR coalesce(matched, 0) >= 2)"""
 _RANKED = f"""{_PASSED}, ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY qid ORDER BY score DESC, chunk_id) AS INTEGER) AS rank FROM passed QUALIFY rank <= {K})"""
 
 
+def _stems_sql(words: str) -> str:
+    """CTEs up to ``stems(word, stem)`` of the distinct words of a relation ``words``: Porter's rules over letters marked by kind.
+
+    A y that is a consonant is written Y, so [aeiouy] are the vowels; a measure above 0 is a vowel
+    and a consonant, above 1 the same twice.
+    """
+    cut = lambda n, x="s": f"left({x}, length({x}) - {n})"
+    above = lambda n, x: f"regexp_matches({x}, '[aeiouy][^aeiouy]{'+[aeiouy]+[^aeiouy]' * n}')"
+    short = lambda x: f"regexp_matches({x}, '[^aeiouy][aeiouy][^aeiouywxY]$')"
+    vowel = lambda x: f"regexp_matches({x}, '[aeiouy]')"
+    head = "left(s, length(s) - length(x))"
+    return rf"""marked AS (SELECT word, regexp_replace(regexp_replace(word, '(^|[aeiou])y', '\1Y', 'g'), 'yy', 'yY', 'g') AS s FROM ({words})),
+  plural AS (SELECT word, CASE WHEN regexp_matches(s, '(sses|ies)$') THEN {cut(2)} WHEN regexp_matches(s, '(^|[^s])s$') THEN {cut(1)} ELSE s END AS s FROM marked),
+  past AS (SELECT word, s LIKE '%eed' AS kept, NOT s LIKE '%eed' AND (s LIKE '%ed' AND {vowel(cut(2))} OR s LIKE '%ing' AND {vowel(cut(3))}) AS off, s FROM plural),
+  bare AS (SELECT word, off, CASE WHEN kept AND {above(0, cut(3))} THEN {cut(1)} WHEN off AND s LIKE '%ed' THEN {cut(2)} WHEN off THEN {cut(3)} ELSE s END AS s FROM past),
+  mended AS (SELECT word, CASE WHEN NOT off THEN s WHEN regexp_matches(s, '(at|bl|iz)$') THEN s || 'e'
+      WHEN length(s) > 1 AND regexp_matches(s, '[^aeiouylsz]$') AND lower(right(s, 1)) = lower(left(right(s, 2), 1)) THEN {cut(1)}
+      WHEN {above(0, "s")} AND NOT {above(1, "s")} AND {short("s")} THEN s || 'e' ELSE s END AS s FROM bare),
+  ending AS (SELECT word, CASE WHEN regexp_matches(s, '[yY]$') AND {vowel(cut(1))} THEN {cut(1)} || 'i' ELSE s END AS s FROM mended),
+  two AS (SELECT word, s, list_filter(['ational', 'ization', 'iveness', 'fulness', 'ousness', 'tional', 'biliti', 'entli', 'ousli', 'ation', 'alism', 'aliti', 'iviti', 'enci', 'anci', 'izer', 'abli', 'alli', 'ator', 'eli'], lambda e: ends_with(s, e))[1] AS x FROM ending),
+  second AS (SELECT word, CASE WHEN x IS NOT NULL AND {above(0, head)} THEN {head} || MAP {{'ational': 'ate', 'tional': 'tion', 'enci': 'ence', 'anci': 'ance', 'izer': 'ize', 'abli': 'able', 'alli': 'al', 'entli': 'ent', 'eli': 'e', 'ousli': 'ous', 'ization': 'ize', 'ation': 'ate', 'ator': 'ate', 'alism': 'al', 'iveness': 'ive', 'fulness': 'ful', 'ousness': 'ous', 'aliti': 'al', 'iviti': 'ive', 'biliti': 'ble'}}[x] ELSE s END AS s FROM two),
+  three AS (SELECT word, s, list_filter(['icate', 'ative', 'alize', 'iciti', 'ical', 'ness', 'ful'], lambda e: ends_with(s, e))[1] AS x FROM second),
+  third AS (SELECT word, CASE WHEN x IS NOT NULL AND {above(0, head)} THEN {head} || MAP {{'icate': 'ic', 'ative': '', 'alize': 'al', 'iciti': 'ic', 'ical': 'ic', 'ful': '', 'ness': ''}}[x] ELSE s END AS s FROM three),
+  four AS (SELECT word, s, list_filter(['ement', 'ance', 'ence', 'able', 'ible', 'ment', 'ant', 'ent', 'ion', 'ism', 'ate', 'iti', 'ous', 'ive', 'ize', 'al', 'er', 'ic', 'ou'], lambda e: ends_with(s, e))[1] AS x FROM third),
+  fourth AS (SELECT word, CASE WHEN x IS NOT NULL AND {above(1, head)} AND (x <> 'ion' OR regexp_matches({head}, '[st]$')) THEN {head} ELSE s END AS s FROM four),
+  fifth AS (SELECT word, CASE WHEN s LIKE '%e' AND ({above(1, cut(1))} OR {above(0, cut(1))} AND NOT {short(cut(1))}) THEN {cut(1)} ELSE s END AS s FROM fourth),
+  stems AS (SELECT word, CASE WHEN length(word) < 3 OR NOT regexp_matches(word, '^[\x00-\x7F]*$') THEN word WHEN s LIKE '%ll' AND {above(1, "s")} THEN lower({cut(1)}) ELSE lower(s) END AS stem FROM fifth)"""
+
+
 # --- index and lexical ranking ----------------------------------------------------------
 
 
@@ -155,7 +187,24 @@ def rank_batch_queries(spark, sf_dir):
     return rank.rank(documents_as_chunks(spark, sf_dir), batch(spark), K).select("qid", "rank", "chunk_id", "score")
 
 
-@_query()
+_STEMMED = f"""{_CHUNKS}, {_BATCH},
+  toks AS (SELECT chunk_id, {_tokens_sql("concat_ws(' ', symbol_name, code)")} AS tokens FROM chunks),
+  plain AS (SELECT chunk_id, unnest(tokens) AS word FROM toks), {_TERMS.replace("asked AS", "asked_words AS").replace("gated AS", "gated_words AS")},
+  {_stems_sql("SELECT word FROM plain UNION SELECT term FROM asked_words UNION SELECT term FROM gated_words")},
+  tf AS (SELECT chunk_id, stem AS term, count(*) AS f FROM plain JOIN stems USING (word) GROUP BY ALL),
+  df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
+  lens AS (SELECT chunk_id, len(tokens) AS len FROM toks),
+  totals AS (SELECT count(*) AS n, coalesce(avg(len), 1) AS avgdl FROM lens),
+  asked AS (SELECT qid, stem AS term FROM asked_words JOIN stems ON term = word), gated AS (SELECT qid, stem AS term FROM gated_words JOIN stems ON term = word), {_SCORED}"""
+
+
+@_query(f"WITH {_CHUNKS}, {_stems_sql('SELECT DISTINCT unnest(' + _tokens_sql('code') + ') AS word FROM chunks')} SELECT word, stem AS term FROM stems")
+def porter_stems(spark, sf_dir):
+    words = documents_as_chunks(spark, sf_dir).select(F.explode(T.tokens(F.col("code"))).alias("term")).distinct()
+    return porter.stems(words)
+
+
+@_query(f"WITH {_PASSED.replace(_SCORES, _STEMMED)} SELECT qid, CAST(row_number() OVER (PARTITION BY qid ORDER BY score DESC, chunk_id) AS INTEGER) AS rank, chunk_id, score FROM passed QUALIFY rank <= {K}")
 def stemmed_rank(spark, sf_dir):
     return rank.rank(documents_as_chunks(spark, sf_dir), batch(spark), K, stem=True).select("qid", "rank", "chunk_id", "score")
 
@@ -200,6 +249,64 @@ def hybrid_rank(spark, sf_dir):
     return rank.rank(chunks, batch_with_vectors(spark, sf_dir), K, nearest_only=False).select("qid", "rank", "chunk_id", "score")
 
 
+def _index(spark, sf_dir):
+    """An index that was built on some vectors, was given the rest and some again, and lost others."""
+    every = _vectors(spark, sf_dir)
+    built = neighbours.build(every.where("chunk_id % 3 <> 1"))
+    return neighbours.remove(neighbours.add(built, every.where("chunk_id % 3 = 1 OR chunk_id % 10 = 0")), every.where("chunk_id % 11 = 4"))
+
+
+_WANTED = rank.wanted(K)
+
+
+@_query(f"WITH {_COSINE} SELECT qid, chunk_id, round(semantic, 6) AS semantic FROM sims WHERE chunk_id % 11 <> 4 QUALIFY row_number() OVER (PARTITION BY qid ORDER BY semantic DESC, chunk_id) <= {_WANTED}")
+def ann_index_search(spark, sf_dir):
+    asked = batch_with_vectors(spark, sf_dir)
+    # every list is opened, as the twin compares all
+    return neighbours.search(_index(spark, sf_dir), asked, _WANTED, 1.0).select("qid", "chunk_id", F.round("semantic", 6).alias("semantic"))
+
+
+@_query(
+    f"""WITH {_SCORES}, sims AS (SELECT qid, e.vec_id AS chunk_id, list_dot_product(q.embedding::DOUBLE[], e.embedding::DOUBLE[]) AS semantic
+  FROM embeddings e CROSS JOIN (SELECT qid, embedding FROM batch JOIN embeddings USING (vec_id)) q WHERE e.vec_id % 11 <> 4),
+  near AS (SELECT * FROM sims QUALIFY row_number() OVER (PARTITION BY qid ORDER BY semantic DESC, chunk_id) <= {_WANTED}),
+  every AS (SELECT coalesce(f.qid, s.qid) AS qid, coalesce(f.chunk_id, s.chunk_id) AS chunk_id, coalesce(lexical, 0) AS lexical, coalesce(matched, 0) AS matched,
+    coalesce(name_hit, FALSE) AS name_hit, coalesce(semantic, 0) AS semantic FROM found f FULL JOIN near s ON f.qid = s.qid AND f.chunk_id = s.chunk_id)
+  SELECT qid, CAST(row_number() OVER (PARTITION BY qid ORDER BY round(semantic + 0.2 * lexical, 6) DESC, chunk_id) AS INTEGER) AS rank, chunk_id, round(semantic + 0.2 * lexical, 6) AS score
+  FROM every JOIN chunks USING (chunk_id) WHERE name_hit OR matched >= 2 OR semantic >= 0.3 QUALIFY rank <= {K}"""
+)
+def ann_rank(spark, sf_dir):
+    asked = batch_with_vectors(spark, sf_dir)
+    near = neighbours.search(_index(spark, sf_dir), asked, _WANTED, 1.0)
+    return rank.rank(documents_as_chunks(spark, sf_dir), asked, K, near=near).select("qid", "rank", "chunk_id", "score")
+
+
+@_query(f"WITH {_COSINE} SELECT qid, CAST(row_number() OVER (PARTITION BY qid ORDER BY round(semantic, 6) DESC, chunk_id) AS INTEGER) AS rank, chunk_id, round(semantic, 6) AS score FROM sims JOIN documents ON doc_id = chunk_id WHERE semantic >= 0.3 QUALIFY rank <= {K}")
+def search_by_vector(spark, sf_dir):
+    chunks = documents_as_chunks(spark, sf_dir).join(_vectors(spark, sf_dir), "chunk_id", "left")
+    return rank.rank(chunks, batch_with_vectors(spark, sf_dir).withColumn("query", F.lit("")), K).select("qid", "rank", "chunk_id", "score")
+
+
+@_query("SELECT vec_id, CAST(4 * ceil(4 * len(embedding) / 3.0) AS INTEGER) AS text_length, round(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]), 6) AS norm2, embedding[1]::DOUBLE AS first, embedding[len(embedding)]::DOUBLE AS last FROM embeddings")
+def embedding_text(spark, sf_dir):
+    held = _table(spark, sf_dir, "embeddings").select("vec_id", vectors.to_text(F.col("embedding")).alias("text"))
+    back = held.select("vec_id", F.length("text").alias("text_length"), vectors.from_text(F.col("text")).alias("v"))
+    return back.select("vec_id", "text_length", F.round(T.dot(F.col("v"), F.col("v")), 6).alias("norm2"), F.col("v")[0].cast("double").alias("first"), F.element_at("v", -1).cast("double").alias("last"))
+
+
+@_query("SELECT doc_id, md5('doc_' || doc_id || chr(10) || substr(text, 1, 1000)) AS input_md5 FROM documents")
+def embedding_input(spark, sf_dir):
+    chunks = documents_as_chunks(spark, sf_dir)
+    return chunks.select(F.col("chunk_id").alias("doc_id"), F.md5(T.embedding_input(F.col("symbol_name"), F.col("code")).cast("binary")).alias("input_md5"))
+
+
+@_query("SELECT count(*) > 0 AS any_vector, FALSE AS any_without FROM documents JOIN embeddings ON doc_id = vec_id")
+def has_embedding(spark, sf_dir):
+    chunks = documents_as_chunks(spark, sf_dir)
+    found = vectors.has_any(chunks.join(_vectors(spark, sf_dir), "chunk_id", "left")), vectors.has_any(vectors.embedded(chunks, None))
+    return spark.createDataFrame([found], "any_vector boolean, any_without boolean")
+
+
 # --- incremental maintenance ------------------------------------------------------------
 
 
@@ -241,6 +348,15 @@ def reconcile_diff(spark, sf_dir):
     return changes.diff(_files(spark, sf_dir, False), _files(spark, sf_dir, True))
 
 
+@_query(f"WITH {_FILES} SELECT file_path, hash FROM seen")
+def snapshot_round_trip(spark, sf_dir):
+    """The newer of two saved versions is what is read."""
+    folder = f"{shared.shared_dir(spark)}/snapshot-{uuid.uuid4().hex}"
+    snapshot.save(spark, folder, {"files": _files(spark, sf_dir, False).drop("text")}, "model")
+    snapshot.save(spark, folder, {"files": _files(spark, sf_dir, True).drop("text")}, "model")
+    return snapshot.load(spark, folder, "model")["files"]
+
+
 # --- filters ----------------------------------------------------------------------------
 
 _PATHS = "paths AS (SELECT page_id, '/repo/' || CASE page_id % 4 WHEN 0 THEN 'src/' WHEN 1 THEN 'src/gen/' WHEN 2 THEN 'tests/' ELSE 'node_modules/' END || 'page_' || page_id || CASE page_id % 6 WHEN 0 THEN '.ts' WHEN 1 THEN '.py' WHEN 2 THEN '.md' WHEN 3 THEN '.test.ts' WHEN 4 THEN '.vue' ELSE '.TS' END AS path, html FROM pages)"
@@ -264,6 +380,16 @@ def ignore_filter(spark, sf_dir):
     return filters.not_ignored(_paths(spark, sf_dir), rules, "/repo").select("page_id", "path")
 
 
+@_query(
+    f"""WITH {_PATHS} SELECT page_id, path FROM paths WHERE NOT regexp_matches(path, '(^|/)node_modules(/|$)') AND path NOT LIKE '/repo/%.md'
+  AND NOT (path LIKE '/repo/src/%' AND path LIKE '%.vue') AND NOT (path LIKE '/repo/src/gen/%' AND path LIKE '%/page_2%' AND path NOT LIKE '%.py') AND path NOT LIKE '/repo/tests/%'"""
+)
+def nested_ignores(spark, sf_dir):
+    """Rules of nested folders hold below them; they can't take back what the root ignores, and a folder's ignored files stay so."""
+    rules = filters.rules([("/repo", "*.md\n/tests/\n"), ("/repo/src", "*.vue\n!*.md\n"), ("/repo/src/gen", "page_2*\n!*.py\n!*.vue\n"), ("/repo/tests", "!*\n")])
+    return filters.not_ignored(_paths(spark, sf_dir), rules, "/repo").select("page_id", "path")
+
+
 @_query("SELECT doc_id, n_chars FROM documents WHERE n_chars <= 4000")
 def size_filter(spark, sf_dir):
     return filters.at_most(_table(spark, sf_dir, "documents"), "n_chars", 4000).select("doc_id", "n_chars")
@@ -420,6 +546,29 @@ def _log(spark, sf_dir):
     return e.select(F.col("event_id").alias("ord"), F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("ts"), F.col("event_type").alias("client"), (F.floor(F.col("value")) * 4.0).alias("naive_tokens"), (F.floor(F.col("value")) * 1.0 + 20).alias("targeted_tokens"), saved.alias("saved_tokens"))
 
 
+_BLOCKS = f"""parts AS (SELECT qid, file_rank, file_path, others, kind <> 'module' AS late, ord, start_line, end_line,
+    CASE WHEN kind = 'module' THEN CASE WHEN modules = 1 THEN code END WHEN selected THEN '// ▸ ' || span || chr(10) || code WHEN shown <= 40 THEN '//   ' || span || ':  ' || signature END AS part FROM counted),
+  blocks AS (SELECT qid, file_rank, '// ═══ ' || file_path || ' ═══' || chr(10) || string_agg(part, chr(10) ORDER BY late, start_line, end_line, ord)
+    || CASE WHEN max(others) > 40 THEN chr(10) || '//   … ' || CAST(max(others) - 40 AS BIGINT) || ' more symbol(s) in this file' ELSE '' END AS block FROM parts WHERE part IS NOT NULL GROUP BY qid, file_rank, file_path),
+  contexts AS (SELECT qid, string_agg(block, chr(10) || chr(10) ORDER BY file_rank) AS context FROM blocks GROUP BY qid)"""
+
+
+@_query(
+    f"""WITH {_VIEW}, {_BLOCKS}, {_TRACKED.removeprefix(_RANKED + ", ")}
+  SELECT qid, md5(CASE WHEN context IS NULL THEN 'No matching context found. If you expected code here, read the relevant file directly.'
+    ELSE context || chr(10) || chr(10) || '---' || chr(10) || '~' || saved_tokens || ' tokens saved this call (' || naive_tokens || ' naive -> ' || targeted_tokens
+      || ' targeted). Lines shown are real; "// name (kind, lines …): signature" entries are other symbols in the file, collapsed — request them by name if you need their bodies.' END) AS answer_md5
+  FROM (SELECT qid FROM batch UNION ALL SELECT 99) LEFT JOIN contexts USING (qid) LEFT JOIN tracked USING (qid)"""
+)
+def search_answer(spark, sf_dir):
+    """The batch and a query that nothing matches, as its callers are answered."""
+    chunks = documents_as_chunks(spark, sf_dir)
+    asked = batch(spark).unionByName(spark.createDataFrame([(99, "zzz")], "qid int, query string"))
+    ranked = rank.rank(chunks, asked, K)
+    rows = asked.select("qid").join(context.render(ranked, chunks).select("qid", "context"), "qid", "left").join(track_search(spark, sf_dir), "qid", "left")
+    return rows.select("qid", F.md5(answers.answer(F.col("context"), F.col("naive_tokens"), F.col("targeted_tokens"), F.col("saved_tokens")).cast("binary")).alias("answer_md5"))
+
+
 _LOG = "log AS (SELECT event_id AS ord, strftime(ts, '%Y-%m-%d %H:%M:%S') AS ts, event_type AS client, floor(value) * 4.0 AS naive_tokens, floor(value) * 1.0 + 20 AS targeted_tokens, greatest(0.0, floor(value) * 3.0 - 20) AS saved_tokens FROM events WHERE event_id % 9 <> 4)"
 
 
@@ -438,10 +587,23 @@ def recent_calls(spark, sf_dir):
     return savings.recent(_log(spark, sf_dir))
 
 
-@_query("SELECT count(DISTINCT source) AS files, count(DISTINCT doc_id) AS chunks FROM documents")
+@_query("SELECT count(DISTINCT source) AS files, count(DISTINCT doc_id) AS chunks, strftime(max(DATE '2024-01-01' + CAST(doc_id % 365 AS INTEGER)), '%Y-%m-%d') AS last_updated FROM documents")
 def index_stats(spark, sf_dir):
     chunks = documents_as_chunks(spark, sf_dir)
-    return savings.index_stats(chunks.select("file_path").distinct(), chunks).select("files", "chunks")
+    day = F.date_add(F.lit("2024-01-01").cast("date"), (F.col("ord") % 365).cast("int")).cast("timestamp")
+    files = chunks.groupBy("file_path").agg(F.max(day).alias("updated"))
+    return savings.index_stats(files, chunks).select("files", "chunks", F.date_format("last_updated", "yyyy-MM-dd").alias("last_updated"))
+
+
+@_query(f"WITH {_LOG} SELECT CAST(ord AS VARCHAR) AS query, ts, client, naive_tokens, targeted_tokens, saved_tokens FROM log")
+def request_log_read(spark, sf_dir):
+    """Events appended to a log in two goes, with lines between them that are no searches."""
+    path = f"{shared.shared_dir(spark)}/log-{uuid.uuid4().hex}"
+    rows = _log(spark, sf_dir).withColumn("query", F.col("ord").cast("string")).withColumn("chunks", F.lit(1.0))
+    requests.append(rows.where("ord % 2 = 0"), path)
+    spark.createDataFrame([("",), ('{"ts": "x", "savedTok',), ('{"ts": "x", "client": "c", "savedTokens": null}',), ("[1]",)], "value string").write.mode("append").text(path)
+    requests.append(rows.where("ord % 2 = 1"), path)
+    return requests.read(spark, path).select("query", "ts", "client", "naive_tokens", "targeted_tokens", "saved_tokens")
 
 
 # --- parsing and streaming --------------------------------------------------------------

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-FORMAT = 1
+FORMAT = 2
 TABLES = ("files", "chunks", "postings", "edges", "search_log")
 
 
@@ -27,6 +27,12 @@ def _current(spark: SparkSession, folder: str) -> dict | None:
     return row.asDict() if row else None
 
 
+def current(spark: SparkSession, folder: str) -> int | None:
+    """The newest version's number."""
+    found = _current(spark, folder)
+    return found and found["snapshot"]
+
+
 def load(spark: SparkSession, folder: str, model: str = "") -> dict[str, DataFrame] | None:
     """The newest version's tables; None if there is none, or of another format or embedding model."""
     now = _current(spark, folder)
