@@ -104,16 +104,19 @@ class Engine:
         held = self.near is not None and "query_embedding" in queries.columns
         return queries, neighbours.search(self.near, queries, rank.wanted(k)) if held else None
 
+    def _ranked(self, queries: DataFrame, k: int, stem: bool) -> DataFrame:
+        """The k best of each query, written once: what follows reads them several times."""
+        shared.shared_dir(self.spark)
+        queries, near = self._asked(queries, k)
+        return rank.rank(self.chunks, queries, k, stem, postings=self.postings, near=near).checkpoint()
+
     def search(self, queries: DataFrame, k: int = rank.DEFAULT_K, stem: bool = True) -> DataFrame:
         """Ranked chunks of each query, then what its best match depends on: qid, chunk_id, hop, rank."""
-        queries, near = self._asked(queries, k)
-        return expand.expanded(rank.rank(self.chunks, queries, k, stem, postings=self.postings, near=near), self.edges)
+        return expand.expanded(self._ranked(queries, k, stem), self.edges)
 
     def search_within(self, queries: DataFrame, limit: int, stem: bool = True) -> DataFrame:
         """qid, place, chunk_id: as much of the ranked chunks and their dependencies as fits."""
-        queries, near = self._asked(queries, budget.MOST_PRIMARY)
-        ranked = rank.rank(self.chunks, queries, budget.MOST_PRIMARY, stem, postings=self.postings, near=near)
-        return budget.pack(ranked, self.chunks, self.edges, limit, self.counter)
+        return budget.pack(self._ranked(queries, budget.MOST_PRIMARY, stem), self.chunks, self.edges, limit, self.counter)
 
     def context(self, results: DataFrame) -> DataFrame:
         return context.render(results, self.chunks)
